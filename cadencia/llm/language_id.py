@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordCache, sums_by_text
 from .token_counts import MARK, tokenizer_path
@@ -211,15 +212,18 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: st
     return fit(counts, vocabulary or tokenizer_path(VOCABULARY))
 
 
-def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score (posterior of that language, all equally likely before) and n_words of each whole text."""
+def judge(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
+    """The rows with lang_pred and score (posterior of that language, all equally likely before); columns of these names are replaced."""
     langs = [*model.langs, UNDETERMINED]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    place = kept.index(text_col)
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(lambda words: word_scores(words, model))
         for batch in batches:
             pred, score = np.full(batch.num_rows, len(model.langs)), np.zeros(batch.num_rows)
-            for at, w in hashed(batch.column(1), lower=True, extra=NOT_LETTERS):
+            for at, w in hashed(batch.column(place), lower=True, extra=NOT_LETTERS):
                 if not model.langs or not len(w.hash):
                     continue
                 total = sums_by_text(cache(w), w)
@@ -228,7 +232,11 @@ def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
                 p = 1 / np.exp(np.maximum(logp - logp.max(axis=1, keepdims=True), -700)).sum(axis=1)
                 pred[at : at + len(here)][here] = best[here]
                 score[at : at + len(here)][here] = p[here]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()).take(pa.array(pred)), pa.array(score)], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()).take(pa.array(pred)), pa.array(score)], names=schema.names)
+
+    return docs.select(*kept).mapInArrow(run, schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred and score of each whole text."""
+    return judge(docs.select(id_col, F.col(text_col).cast("string").alias("__text")), model, "__text").select(id_col, "lang_pred", "score")
