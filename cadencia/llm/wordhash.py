@@ -137,7 +137,7 @@ def rolling(x: np.ndarray, size: int, base: int) -> np.ndarray:
         if bits:
             m = len(x) - 2 * width + 1
             part, width = part[:m] * q + part[width : width + m], 2 * width
-            q = q * q
+            q = U(int(q) * int(q) % (1 << 64))
     return out
 
 
