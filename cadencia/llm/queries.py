@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .common import residue, table
+from .decontamination import decontaminate
 from .ngram_join import ngram_join
 from .packing import pack
 from .substring_dedup import remove_repeats
@@ -29,6 +30,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_ids", "best_item", "best_similarity")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -48,4 +54,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op6_ngram_join, op7_token_counts, op8_language_id, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_decontamination, op6_ngram_join, op7_token_counts, op8_language_id, op10_packing)}
