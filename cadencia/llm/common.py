@@ -65,9 +65,8 @@ class WordCache:
             new = ~known
             data = w.data.tobytes()
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)]
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.rows = merged[order], np.concatenate([self.rows, self.make(texts)])[order]
+            rows = self.make(texts)
+            self.keys, self.rows = np.insert(self.keys, at[new], keys[new]), np.insert(self.rows, at[new], rows, axis=0)
             at = np.searchsorted(self.keys, keys)
         return self.rows[at][which]
 

@@ -1,3 +1,36 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+), g AS (
+  SELECT k, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS gram
+  FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), c AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM g
+), r AS (
+  SELECT k, count(DISTINCT i + o) AS n_repeat_words
+  FROM c, (SELECT unnest([0, 1, 2]) AS o) WHERE n >= 2 GROUP BY k
+), f AS (
+  SELECT w.k, doc_id, t, ws, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON w.k = r.k
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+            OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 40 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+            OR 100 * len(regexp_extract_all(t, '\p{Lu}')) > 60 * len(regexp_extract_all(t, '\p{L}'))
+            OR 100 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < 40 * n_words) AS kept
+FROM f
+""",
+}

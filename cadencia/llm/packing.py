@@ -88,15 +88,29 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 class Encoder:
     """Token ids of whole texts. The pre-tokenizer drops white space and joins nothing across it, so that words are
-    encoded apart, each distinct one once while it is cached."""
+    encoded apart, each distinct one once while it is cached. New words go to the tokenizer many at a time, with a
+    control character between them that is a token of its own."""
 
-    def __init__(self, path: str, most: int = 1 << 18) -> None:
+    BETWEEN = "\x01"
+
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
+        (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
         self.ids, self.n = np.zeros(1 << 16, np.uint32), 0
         self.cache = WordCache(self._encode, most)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and the number of each word's."""
+        texts = [f" {self.BETWEEN} ".join(words[k : k + 128]) + f" {self.BETWEEN}" for k in range(0, len(words), 128)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.flatnonzero(ids == self.between)
+        if len(ends) == len(words) and not any(self.BETWEEN in w for w in words):
+            return ids[ids != self.between], np.diff(ends, prepend=-1) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+
     def _encode(self, words: list[str]) -> np.ndarray:
         """(place, length) of each word's ids in self.ids."""
         if not words:
@@ -104,14 +118,13 @@ class Encoder:
             return np.zeros((0, 2), np.int64)
         out = []
         for some in batches_by_bytes(words):
-            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
-                ids = e.ids
-                while self.n + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.n : self.n + len(ids)] = ids
-                out.append((self.n, len(ids)))
-                self.n += len(ids)
-        return np.array(out, np.int64)
+            ids, length = self._ids(some)
+            while self.n + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.n : self.n + len(ids)] = ids
+            out.append(np.column_stack([self.n + np.cumsum(length) - length, length]))
+            self.n += len(ids)
+        return np.concatenate(out)
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""

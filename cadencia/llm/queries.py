@@ -12,12 +12,18 @@ from .common import residue, table
 from .decontamination import decontaminate
 from .ngram_join import ngram_join
 from .packing import pack
+from .quality_rules import apply_rules
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 
 TOKEN_LIMIT = 4096
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = toxicity.learn(docs, table(spark, sf_dir, "labels"), residue("doc_id", 5) != 0)
@@ -54,4 +60,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_decontamination, op6_ngram_join, op7_token_counts, op8_language_id, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_dedup, op4_decontamination, op6_ngram_join, op7_token_counts, op8_language_id, op10_packing)}
