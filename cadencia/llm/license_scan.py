@@ -73,6 +73,12 @@ def min_hash(some: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.xxhash64(k, F.array_min(F.transform(some, lambda h: F.xxhash64(h, k)))))
 
 
+def constants(docs: DataFrame, some: dict[str, Column]) -> dict[str, list]:
+    """The values of Columns over no input, which Spark would otherwise compute for each row."""
+    row = docs.sparkSession.range(1).select(*(c.alias(name) for name, c in some.items())).first()
+    return row.asDict()
+
+
 def _word_count(text: str) -> int:
     return len([w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() if w])
 
@@ -87,6 +93,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
     rows = docs.select(*kept, words(F.col(text_col)).alias("__words"))
     rows = rows.select(*kept, shingles(F.col("__words")).alias("__shingles"))
     found: list[Column] = []
+    all_known: set[int] = set()
     low = SIZE - 1
     for s in CLASSES:
         some = sorted(name for name, n in sized.items() if low < n <= s)
@@ -94,10 +101,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
         low = s
         if not some:
             continue
-        # constants, which Spark folds: shingles and band keys of each template
-        own = {x: F.array_distinct(shingles(words(F.lit(templates[x])))) for x in some}
-        every = F.array_distinct(F.flatten(F.array(*own.values())))
-        known = F.array(*(F.struct(F.lit(x).alias("license"), own[x].alias("shingles"), min_hash(own[x], n).alias("keys")) for x in some))
+        own = constants(docs, {x: F.array_distinct(shingles(words(F.lit(templates[x])))) for x in some})
+        keys_of = constants(docs, {x: min_hash(F.lit(own[x]), n) for x in some})
+        every = F.lit(sorted({h for x in some for h in own[x]}))
+        all_known |= {h for x in some for h in own[x]}
+        known = F.array(*(F.struct(F.lit(x).alias("license"), F.lit(own[x]).alias("shingles"), F.lit(keys_of[x]).alias("keys")) for x in some))
         width = 2 * s - SIZE + 1
 
         def scan(all_shingles: Column, s: int = s, n: int = n, every: Column = every, known: Column = known, width: int = width) -> Column:
@@ -107,9 +115,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
             retrieved = lambda w: let(min_hash(w, n), lambda keys: F.filter(known, lambda t: F.arrays_overlap(t.keys, keys)))
             return F.flatten(F.transform(windows, lambda w: F.transform(retrieved(w), lambda t: verify(w, t))))
 
-        found.append(F.when(F.arrays_overlap("__shingles", every), scan(F.col("__shingles"))))
+        found.append(scan(F.col("__shingles")))
     none = F.array().cast("array<struct<license:string,containment:double>>")
-    hits = F.filter(F.concat(*(F.coalesce(x, none) for x in found)) if found else none, lambda m: m.containment >= containment - 1e-12)
+    if found:
+        found = [F.when(F.arrays_overlap("__shingles", F.lit(sorted(all_known))), F.concat(*found))]
+    hits = F.filter(F.coalesce(*found, none), lambda m: m.containment >= containment - 1e-12)
     rows = rows.withColumn("__licenses", hits)
     names = F.array_sort(F.array_distinct(F.transform("__licenses", lambda m: m.license)))
     best = lambda name: F.struct(name.alias("license"), F.array_max(F.transform(F.filter("__licenses", lambda m: m.license == name), lambda m: m.containment)).alias("containment"))
