@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder
+from .common import by_bucket, saved, shared_folder
 from .components import components
 from .wordhash import U, Words, hashed, mix
 
@@ -39,8 +39,6 @@ SHARE, OF = 85, 100
 MOST_IN_CELL = 2048
 #: Shingles of a trie's node.
 NODE = 16
-#: Sets are looked up by hash bucket before texts are shuffled; the buckets are broadcast, at most so many.
-BUCKETS = 1 << 20
 
 
 def shingle_sets(w: Words, size: int = SIZE) -> Iterator[np.ndarray]:
@@ -285,8 +283,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def members(texts: DataFrame, placed: DataFrame, size: int) -> DataFrame:
     """(sig, shingles): the sets of the cells, each once. Only texts whose bucket holds one of them are shuffled."""
-    some = F.broadcast(placed.select(F.pmod(F.xxhash64("sig"), F.lit(BUCKETS)).alias("bucket")).distinct().limit(BUCKETS))
-    near = sets_of(texts, "text", size).filter("n_shingles > 0").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(BUCKETS))).join(some, "bucket", "left_semi")
+    near, _ = by_bucket(sets_of(texts, "text", size).filter("n_shingles > 0"), placed, "sig", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import removed, saved, shared_folder
+from .common import by_bucket, removed, saved, shared_folder
 from .wordhash import U, Words, hashed, mix, sliding_min
 
 SIZE, SHINGLE = 35, 9
 STEP, OTHER = U(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 #: Runs of an index before they are compacted, and batches that a whole table is added in.
 MOST_RUNS, BATCHES = 4, 2
-#: Texts are looked up by hash bucket before they are shuffled; the set of buckets is broadcast and has at most so many rows.
-BUCKETS = 1 << 20
 ENTRY = "fp bigint, content bigint, sig bigint, n_words bigint, start int, n int, inner boolean"
 
 
@@ -158,10 +156,6 @@ class FingerprintIndex:
         return texts.select("text", "sig", "n_words", "places").mapInArrow(run, "h1 bigint, h2 bigint, sig bigint, n_words bigint, start int, copies bigint")
 
 
-def bucket(sig: str = "sig") -> F.Column:
-    return F.pmod(F.xxhash64(sig), F.lit(BUCKETS))
-
-
 def signed(docs: DataFrame, text_col: str) -> DataFrame:
     """The rows with the hash of their word sequence, __sig, and n_words; columns of the operator's results are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
@@ -178,23 +172,16 @@ def signed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def near(texts: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that may be among sigs, and the others. The set of buckets that is broadcast has at most BUCKETS rows."""
-    some = F.broadcast(sigs.select(bucket().alias("__bucket")).distinct().limit(BUCKETS))
-    keyed = texts.withColumn("__bucket", bucket("__sig"))
-    return keyed.join(some, "__bucket", "left_semi").drop("__bucket"), keyed.join(some, "__bucket", "left_anti").drop("__bucket")
-
-
 def distinct_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(sig, n_words, text) of the wanted texts, each once."""
-    some, _ = near(signed(docs.select(F.col(text_col).cast("string").alias("text")), "text"), wanted)
+    some, _ = by_bucket(signed(docs.select(F.col(text_col).cast("string").alias("text")), "text"), wanted, "__sig", "sig")
     return some.withColumnRenamed("__sig", "sig").dropDuplicates(["sig", "n_words"])
 
 
 def without(docs: DataFrame, repeats: DataFrame, folder: str, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """The rows with n_words, n_removed and kept_text: the words left, joined by one space. Each word under a repeated window goes."""
     by_text = saved(repeats.groupBy(F.col("sig").alias("__sig"), "n_words").agg(F.collect_list(F.struct("start", "n")).alias("__places")), folder, "repeats")
-    some, rest = near(signed(docs, text_col), by_text.withColumnRenamed("__sig", "sig"))
+    some, rest = by_bucket(signed(docs, text_col), by_text, "__sig", "__sig")
     rows = some.join(by_text, ["__sig", "n_words"], "left").unionByName(rest, allowMissingColumns=True)
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
     place = kept.index(text_col)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadencia.llm import language_id
-from cadencia.llm.common import saved, shared_folder, table
+from cadencia.llm.common import by_bucket, saved, shared_folder, table
+from cadencia.llm.decontamination import decontaminate
+from cadencia.llm.ngram_join import ngram_join
 from cadencia.llm.packing import pack
+from cadencia.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +24,28 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return verdict.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of linked documents; of repeated rows (same id and text), one."""
+    groups = saved(ngram_join(docs).select("doc_id", "component_id"), shared_folder(spark), "groups")
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    # only rows whose id falls into the bucket of one of these are shuffled
+    some, rest = by_bucket(docs, gone.unionByName(repeated), "doc_id")
+    return rest.unionByName(some.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur elsewhere too; those of which nothing is left go."""
+    rows = remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return rows.filter("kept_text <> ''").withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no near copy of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_items = 0").select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
     return pack(docs)
@@ -28,6 +53,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", known_language),
+    ("ngram_join", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("decontamination", without_benchmark),
     ("packing", packed),
 ]
 
