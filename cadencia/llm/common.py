@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,6 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/written-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch, at most: what a Python worker holds of the input.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits for Arrow batches to those of the operators, where they are higher."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again, so that a lost executor costs no recomputation."""
     path = f"{folder}/{name}"

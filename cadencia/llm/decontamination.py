@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .wordhash import U, Words, hashed, mix
 
 SIZE, SIMILARITY = 5, 0.8
@@ -168,6 +169,7 @@ def _one_block(docs: DataFrame, items: DataFrame, text_col: str, size: int, leas
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, least: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows with matches (item_id, start, n, similarity of each item's best window, in words), n_items, item_ids, best_item and best_similarity."""
+    small_batches(docs.sparkSession)
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).alias("text"))
     items = items.groupBy("id").agg(F.min("text").alias("text"))
     blocks = max(1, -(-items.count() // block_items))

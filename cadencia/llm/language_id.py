@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, sums_by_text
+from .common import WordCache, small_batches, sums_by_text
 from .token_counts import MARK, tokenizer_path
 from .wordhash import U, hashed, mix
 
@@ -187,6 +187,7 @@ def expectations(starts: np.ndarray, pieces: list[np.ndarray], weight: np.ndarra
 
 def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> PieceModel:
     """A model fitted to at most per_lang documents of each of at most most_langs languages."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
     least = rows.join(F.broadcast(langs), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= per_lang).select("id", "lang")
@@ -214,6 +215,7 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: st
 
 def judge(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred and score (posterior of that language, all equally likely before); columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     langs = [*model.langs, UNDETERMINED]
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     place = kept.index(text_col)

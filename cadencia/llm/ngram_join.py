@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, saved, shared_folder
+from .common import by_bucket, saved, shared_folder, small_batches
 from .components import components
 from .wordhash import U, Words, hashed, mix
 
@@ -263,6 +263,7 @@ def join_cells(rows: DataFrame, share: int, of: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, share: int = SHARE, of: int = OF, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     """id, n_shingles, component_id (the least id reachable by links; the row's own without links) and n_links."""
+    small_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     rows = saved(sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", size).select("id", "n_shingles", "sig"), folder, "sets")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bucket, removed, saved, shared_folder
+from .common import by_bucket, removed, saved, shared_folder, small_batches
 from .wordhash import U, Words, hashed, mix, sliding_min
 
 SIZE, SHINGLE = 35, 9
@@ -83,6 +83,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, size: int = SIZE, most_runs: int = MOST_RUNS) -> None:
         self.spark, self.size, self.most_runs = spark, size, most_runs
+        small_batches(spark)
         self.folder = folder or shared_folder(spark)
         self.runs: list[str] = []
         self.made = 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache
+from .common import WordCache, small_batches
 from .wordhash import Powers, Words, byte_values, separators, text_slices
 
 MARK = "▁"
@@ -95,6 +95,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_bytes[at : at + len(offsets) - 1] = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)], names=[id_col, "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, f"{id_col} {kind}, n_bytes bigint, n_tokens bigint")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache
+from .common import WordCache, small_batches
 from .wordhash import U, Words, hashed, mix
 
 #: Labelled documents that are fitted to, and the number of hashed weights.
@@ -141,5 +141,6 @@ def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", t
                         texts[at + i] = w.data[w.start[first[k]] : w.end[last[k]]].tobytes().decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count), pa.array(worst), pa.array(worst_p), pa.array(texts, pa.string())], names=names)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_text string")
