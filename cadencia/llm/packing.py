@@ -10,6 +10,7 @@ Nulls count as empty texts (one piece, the end id alone); repeated rows are pack
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache
+from .common import WordCache, small_batches
 from .token_counts import batches_by_bytes, tokenizer_path
 from .wordhash import hashed
 
@@ -94,6 +95,7 @@ class Encoder:
     BETWEEN = "\x01"
 
     def __init__(self, path: str, most: int = 1 << 20) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -177,5 +179,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             sequence, offset = best_fit_decreasing(rows[:, 1], window)
             yield batch_of([r[0] for r in rest], np.column_stack([rows, base + full + sequence, offset]))
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
