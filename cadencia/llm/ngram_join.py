@@ -2,6 +2,10 @@
 
 A document's set has its distinct n-word shingles. Documents with equal sets form a class with one representative.
 
+Pruning: of the sets' shingles with the lowest hashes (a fixed share of the hash range) it is counted how many another set
+has too. A set can miss at most (1-t) of its shingles in a set that it links with, so one with more unshared ones among
+these links with none and goes. That needs no pairs, and leaves out documents that only share a passage.
+
 Candidates: two sets with similarity t have at most (1-t)/(1+t) * (|x|+|y|) shingles that only one of them has. With the
 shingles dealt by hash into more buckets than that, some bucket has the same content in both. So each distinct set
 gives a key for each bucket, for its own size class and the next (sizes of similar sets differ by less than 1/t, one
@@ -37,6 +41,8 @@ SIZE = 4
 #: Similarity as a fraction: 85 / 100.
 SHARE, OF = 85, 100
 MOST_IN_CELL = 2048
+#: Shingles whose hash is below this share of the range are counted for pruning.
+LOW = 0.3
 #: Shingles of a trie's node.
 NODE = 16
 
@@ -86,17 +92,77 @@ def keys(s: np.ndarray, share: int = SHARE, of: int = OF) -> np.ndarray:
     return np.concatenate(out)
 
 
+def low_part(s: np.ndarray) -> np.ndarray:
+    return s[: np.searchsorted(s, U(int(LOW * 2**64)))]
+
+
 def sets_of(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The rows with n_shingles and sig (0 for an empty set), the hash of the set."""
+    """The rows with n_shingles, n_low (those with low hashes) and sig (0 for an empty set), the hash of the set."""
     columns, place = docs.columns, docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, w in hashed(batch.column(place), lower=True) for s in shingle_sets(w, size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], names=[*columns, "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([len(low_part(s)) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], names=[*columns, "n_shingles", "n_low", "sig"])
+
+    return docs.mapInArrow(run, f"{fields}, n_shingles bigint, n_low bigint, sig bigint")
+
+
+def low_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(shingle, sig, credit) of the low shingles. A shingle of several sets of a batch is settled for them at once: it leaves one row without credit, and the sets a row with their number of settled shingles, negative, under a shingle of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            low, sig = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for _, w in hashed(batch.column(0), lower=True):
+                for s in shingle_sets(w, size):
+                    own = signature(s)
+                    if len(s) and own not in seen:
+                        seen.add(own)
+                        low.append(low_part(s))
+                        sig.append(np.full(len(low[-1]), own))
+            if len(seen) > 1 << 19:
+                seen.clear()
+            low, sig = np.concatenate(low), np.concatenate(sig)
+            _, first, which, count = np.unique(low, return_index=True, return_inverse=True, return_counts=True)
+            settled = count[which] > 1
+            some, n = np.unique(sig[settled], return_counts=True)
+            once = np.sort(first)  # a row for each shingle, in order of the sets
+            out = np.concatenate([low[once], mix(some.view(U) + U(0x2545F4914F6CDD1D))])
+            credit = np.concatenate([np.where(settled[once], 0, 1), -n]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(np.concatenate([sig[once], some])), pa.array(credit)], names=["shingle", "sig", "credit"])
+
+    return texts.mapInArrow(run, "shingle bigint, sig bigint, credit int")
+
+
+def credits_of(rows: DataFrame) -> DataFrame:
+    """(sig, n): how many low shingles of each set another set has. The rows of a shingle are read as a sorted stream."""
+
+    def settle(k: np.ndarray, s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        shared = np.zeros(0, bool)
+        if len(k):
+            several = np.minimum.reduceat(s, first) != np.maximum.reduceat(s, first)
+            shared = np.repeat(several, np.diff(np.append(first, len(k))))
+        got = np.where(c < 0, -c, np.where(shared, c, 0))
+        sig, back = np.unique(s[got > 0], return_inverse=True)
+        n = np.bincount(back, got[got > 0], len(sig)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n)], names=["sig", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, s, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for batch in batches:
+            k, s, c = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((k, s, c)))
+            if len(k) < 1 << 17:
+                continue
+            last = int(np.searchsorted(k, k[-1]))  # the last shingle may go on
+            yield settle(k[:last], s[:last], c[:last])
+            k, s, c = k[last:], s[last:], c[last:]
+        yield settle(k, s, c)
 
-    return docs.mapInArrow(run, f"{fields}, n_shingles bigint, sig bigint")
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
 
 
 def key_rows(texts: DataFrame, size: int, share: int, of: int) -> DataFrame:
@@ -116,15 +182,14 @@ def key_rows(texts: DataFrame, size: int, share: int, of: int) -> DataFrame:
             if len(seen) > 1 << 19:
                 seen.clear()
             key, sig = np.concatenate(key), np.concatenate(sig)
-            order = np.lexsort((sig, key))
-            key, sig = key[order], sig[order]
-            new = np.append(True, key[1:] != key[:-1])[: len(key)]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-            tied = np.unique(np.column_stack([sig[start], sig])[~new], axis=0)
+            _, first, which = np.unique(key, return_index=True, return_inverse=True)
+            head = sig[first][which]
+            tied = np.unique(np.column_stack([head, sig])[head != sig], axis=0)
             heads = np.unique(tied[:, 0])
+            once = np.sort(first)
             own = lambda x: mix(x.view(U) + U(0x2545F4914F6CDD1D))
-            out_key = np.concatenate([key[new], own(tied[:, 0].copy()), own(heads.copy())])
-            yield pa.RecordBatch.from_arrays([pa.array(out_key.view(np.int64)), pa.array(np.concatenate([sig[new], tied[:, 1], heads]))], names=["key", "sig"])
+            out_key = np.concatenate([key[once], own(tied[:, 0].copy()), own(heads.copy())])
+            yield pa.RecordBatch.from_arrays([pa.array(out_key.view(np.int64)), pa.array(np.concatenate([sig[once], tied[:, 1], heads]))], names=["key", "sig"])
 
     return texts.mapInArrow(run, "key bigint, sig bigint")
 
@@ -266,9 +331,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    rows = saved(sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", size).select("id", "n_shingles", "sig"), folder, "sets")
-    classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    cells = components(edges_of(key_rows(texts, size, share, of)), folder, "cells")
+    rows = saved(sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", size).select("id", "n_shingles", "n_low", "sig"), folder, "sets")
+    classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("n_low").alias("n_low"))
+    unshared = F.col("n_low") - F.coalesce("n", F.lit(0))
+    left = classes.join(credits_of(low_rows(texts, size)), "sig", "left").filter(unshared * of <= F.col("n_shingles") * (of - share)).select("sig")
+    left = saved(left, folder, "left")
+    classes = classes.select("sig", "least", "copies")
+    cells = components(edges_of(key_rows(by_bucket(sets_of(texts, "text", size), left, "sig")[0].select("text"), size, share, of)), folder, "cells")
     blocks = cells.groupBy("component").agg(F.ceil(F.count("*") / most_in_cell).cast("int").alias("blocks"))
     placed = cells.join(blocks, "component").join(classes, cells["node"] == classes["sig"]).select("sig", "copies", F.col("component").alias("cell"), "blocks", F.pmod(F.xxhash64("sig"), "blocks").cast("int").alias("block"))
     placed = saved(placed, folder, "placed")
@@ -284,7 +353,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def members(texts: DataFrame, placed: DataFrame, size: int) -> DataFrame:
     """(sig, shingles): the sets of the cells, each once. Only texts whose bucket holds one of them are shuffled."""
-    near, _ = by_bucket(sets_of(texts, "text", size).filter("n_shingles > 0"), placed, "sig", "sig")
+    near, _ = by_bucket(sets_of(texts, "text", size).filter("n_shingles > 0"), placed, "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
