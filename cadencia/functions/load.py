@@ -51,38 +51,42 @@ def rpe_load(minutes: Column, rpe: Column) -> Column:
     return minutes * present(rpe) * F.lit(RPE_CALIBRATION)
 
 
+def inputs(c=F.col) -> dict[str, Column]:
+    """What the scores are made of, as columns of their own, so that each is computed once."""
+    active = F.coalesce(F.nullif(c("moving_time_s"), F.lit(0)), c("duration_s"))
+    return {
+        "in_hr_max": effective_hr_max(c("hr_max"), c("age")),
+        "in_hr_rest": effective_hr_rest(c("hr_rest")),
+        "in_lthr": effective_lthr(c("lthr"), effective_hr_max(c("hr_max"), c("age"))),
+        "in_active_s": active,
+        "in_speed": present(c("distance_m")) / active,
+        "in_power": F.coalesce(present(c("normalized_power")), present(c("avg_power"))),
+        "in_threshold": F.when(c("sport") == "bike", c("ftp_watts")).when(c("sport") == "run", c("run_threshold_power_w")),
+    }
+
+
 def scores(c=F.col) -> dict[str, Column]:
-    """The score of each source, null where it isn't usable, over the columns of an activity joined with its profile."""
+    """The score of each source, null where it isn't usable, over the columns of an activity, its profile and inputs()."""
     minutes = c("duration_s") / 60
-    active = F.coalesce(F.nullif(c("moving_time_s"), F.lit(0)), c("duration_s"))
-    speed = present(c("distance_m")) / active
-    hr_max = effective_hr_max(c("hr_max"), c("age"))
-    lthr, rest = effective_lthr(c("lthr"), hr_max), effective_hr_rest(c("hr_rest"))
-    power = F.coalesce(present(c("normalized_power")), present(c("avg_power")))
-    threshold = F.when(c("sport") == "bike", c("ftp_watts")).when(c("sport") == "run", c("run_threshold_power_w"))
-    swim = pace_load(active, 100 / speed, c("css_s_per_100m"), 3)
+    swim = pace_load(c("in_active_s"), 100 / c("in_speed"), c("css_s_per_100m"), 3)
     return {
-        "power": power_load(active, power, threshold),
-        "heart_rate": hr_load(minutes, c("avg_hr"), rest, hr_max, lthr, c("sex")),
-        "pace": F.when(c("sport") == "swim", swim).otherwise(pace_load(active, 1000 / speed, c("threshold_pace_s_per_km"), 2)),
+        "power": power_load(c("in_active_s"), c("in_power"), c("in_threshold")),
+        "heart_rate": hr_load(minutes, c("avg_hr"), c("in_hr_rest"), c("in_hr_max"), c("in_lthr"), c("sex")),
+        "pace": F.when(c("sport") == "swim", swim).otherwise(pace_load(c("in_active_s"), 1000 / c("in_speed"), c("threshold_pace_s_per_km"), 2)),
         "rpe": rpe_load(minutes, c("rpe")),
     }
 
 
-def training_load(c=F.col) -> tuple[Column, Column, Column]:
-    """(score, source, confidence): the first usable source of the sport's list."""
-    each = scores(c)
-    score = source = None
+def training_load(c=F.col) -> Column:
+    """(score, source, confidence) over the columns load_<source>: the first usable source of the sport's list."""
+    entry = lambda s: F.when(c(f"load_{s}").isNotNull(), F.struct(c(f"load_{s}").alias("score"), F.lit(s).alias("source"), F.lit(CONFIDENCE[s]).alias("confidence")))
+    first = lambda order: F.coalesce(*(entry(s) for s in order))
+    by_list: dict[tuple, list[str]] = {}
     for sport, order in PRECEDENCE.items():
-        if sport == "other":
-            continue
-        best = F.coalesce(*(each[s] for s in order))
-        name = F.coalesce(*(F.when(each[s].isNotNull(), s) for s in order))
-        here = c("sport") == sport
-        score = F.when(here, best) if score is None else score.when(here, best)
-        source = F.when(here, name) if source is None else source.when(here, name)
-    order = PRECEDENCE["other"]
-    score = F.coalesce(score.otherwise(F.coalesce(*(each[s] for s in order))), F.lit(0.0))
-    source = F.coalesce(source.otherwise(F.coalesce(*(F.when(each[s].isNotNull(), s) for s in order))), F.lit("none"))
-    confidence = F.element_at(F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv)), source)
-    return score, source, confidence
+        by_list.setdefault(order, []).append(sport)
+    best = first(PRECEDENCE["other"])
+    for order, sports in by_list.items():
+        if order != PRECEDENCE["other"]:
+            best = F.when(c("sport").isin(*sports), first(order)).otherwise(best)
+    best = F.coalesce(best, F.struct(F.lit(0.0).alias("score"), F.lit("none").alias("source"), F.lit(CONFIDENCE["none"]).alias("confidence")))
+    return best

@@ -71,9 +71,9 @@ def hooper(c=F.col) -> Column:
 
 def athlete_days(wellness: DataFrame, daily: DataFrame) -> DataFrame:
     """One row for each athlete and day with wellness or load, carrying all that the composites need."""
-    load = workload(daily).select("user_id", "day", "load", "acwr", "acwr_reliable", "monotony", "ramp_pct")
-    form = form_curve(daily).select("user_id", "day", "ctl", "atl", "tsb")
-    return with_baselines(wellness).join(load.join(form, ["user_id", "day"]), ["user_id", "day"], "full")
+    # one sort by athlete and day serves the curve and the ratios
+    load = workload(form_curve(daily)).select("user_id", "day", "load", "acwr", "acwr_reliable", "monotony", "ramp_pct", "ctl", "atl", "tsb")
+    return with_baselines(wellness).join(load, ["user_id", "day"], "full")
 
 
 def readiness(rows: DataFrame) -> DataFrame:

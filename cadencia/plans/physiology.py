@@ -123,7 +123,7 @@ metrics AS (
 
 
 def metrics(spark, d) -> DataFrame:
-    return activities(spark, d).select("user_id", "activity_id", "day", "start_time", F.inline(fe.session_metrics()))
+    return activities(spark, d).select("user_id", "activity_id", "day", "start_time", F.inline_outer(fe.session_metrics())).filter("metric IS NOT NULL")
 
 
 @register(sql.query(sql.ACTIVITIES, _METRICS, select="SELECT user_id, activity_id, metric, value, unit FROM kept"))

@@ -54,7 +54,7 @@ def load_by_source(spark, d):
     rows = activities(spark, d).join(profiles(spark, d).drop("group_id"), "user_id", "left")
     hr_max, rest = fl.effective_hr_max(F.col("hr_max"), F.col("age")), fl.effective_hr_rest(F.col("hr_rest"))
     # the activity's own maximum gives way to the athlete's
-    rows = rows.withColumns({"hm": hr_max, "rest": rest})
+    rows = rows.withColumns({"hm": hr_max, "rest": rest} | fl.inputs())
     each = fl.scores()
     r = lambda c: F.round(c + 1e-9, 3)
     power = F.coalesce(F.col("normalized_power"), F.col("avg_power"))
@@ -172,7 +172,7 @@ def readiness(spark, d):
 @register(sql.query(*sql.READY, select="""SELECT user_id, day, name, round(c + 1e-9, 1) AS score, round(w / q, 3) AS weight, round(w / q * (c - 50) + 1e-9, 2) AS contribution
 FROM (SELECT user_id, day, q, unnest(['hrv', 'resting_hr', 'sleep', 'subjective', 'training_load']) AS name, unnest([c1, c2, c3, c4, c5]) AS c, unnest([0.30, 0.15, 0.25, 0.10, 0.20]::DOUBLE[]) AS w FROM ready) WHERE c IS NOT NULL"""))
 def readiness_drivers(spark, d):
-    return ready_rows(spark, d).select("user_id", "day", F.inline("drivers")).drop("place")
+    return ready_rows(spark, d).select("user_id", "day", F.inline_outer("drivers")).filter("name IS NOT NULL").drop("place")
 
 
 def risk_rows(spark, d):
@@ -188,7 +188,7 @@ def injury_risk(spark, d):
   SELECT user_id, day, unnest(f) AS v, unnest(['acwr_excess', 'ramp_excess', 'monotony_excess', 'sleep_debt_h', 'hrv_suppression', 'resting_hr_elevation', 'prior_injury', 'low_chronic_load', 'training_age', 'age_over_40']) AS name,
     unnest([0.45, 0.30, 0.25, 0.35, 0.30, 0.20, 0.85, 0.55, -0.40, 0.15]::DOUBLE[]) AS w FROM risk) WHERE abs(w * v) > 1e-9"""))
 def risk_drivers(spark, d):
-    return risk_rows(spark, d).select("user_id", "day", F.inline("risk_drivers")).drop("place")
+    return risk_rows(spark, d).select("user_id", "day", F.inline_outer("risk_drivers")).filter("name IS NOT NULL").drop("place")
 
 
 _PLANNED = """planned AS (
