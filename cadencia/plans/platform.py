@@ -229,11 +229,11 @@ def points_expiry(spark, d):
     return rel.fifo_expiry(earned, spent).select("lot", "left")
 
 
-@register("""WITH t AS (SELECT p_partkey, list_distinct([substr('  ' || lower(p_name) || ' ', i, 3) FOR i IN range(1, length(p_name) + 2)]) AS g FROM part), q AS (SELECT list_distinct([substr('  part 12 ', i, 3) FOR i IN range(1, 9)]) AS g)
+@register("""WITH t AS (SELECT p_partkey, list_distinct([substr('  ' || lower(p_name) || ' ', i, 3) FOR i IN range(1, length(p_name) + 2)]) AS g FROM part), q AS (SELECT list_distinct([substr('  smal ring ', i, 3) FOR i IN range(1, 11)]) AS g)
 SELECT p_partkey, round(len(list_intersect(t.g, q.g)) / len(list_distinct(list_concat(t.g, q.g)))::DOUBLE, 6) AS similarity FROM t, q WHERE len(list_intersect(t.g, q.g)) / len(list_distinct(list_concat(t.g, q.g)))::DOUBLE >= 0.3""")
 def name_search(spark, d):
-    """Parts whose names are like 'part 12'."""
-    s = rel.trigram_similarity(F.col("p_name"), F.lit("part 12"))
+    """Parts whose names are like 'smal ring'."""
+    s = rel.trigram_similarity(F.col("p_name"), F.lit("smal ring"))
     return table(spark, d, "part").select("p_partkey", F.round(s, 6).alias("similarity")).filter(F.col("similarity") >= 0.3)
 
 
