@@ -56,7 +56,7 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of the set of hash buckets that by_bucket broadcasts, at most.
+#: Buckets of by_bucket, and so the most rows that it broadcasts, whatever the size of the keys.
 BUCKETS = 1 << 20
 
 
@@ -64,7 +64,7 @@ def by_bucket(rows: DataFrame, keys: DataFrame, column: str, key: str | None = N
     """The rows whose key may be among keys, and the others, without a shuffle: by hash bucket. The buckets in use are broadcast."""
     key = key or keys.columns[0]
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    some = F.broadcast(keys.select(bucket(key).alias("__bucket")).distinct().limit(BUCKETS))
+    some = F.broadcast(keys.select(bucket(key).alias("__bucket")).distinct())
     keyed = rows.withColumn("__bucket", bucket(column))
     return keyed.join(some, "__bucket", "left_semi").drop("__bucket"), keyed.join(some, "__bucket", "left_anti").drop("__bucket")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, saved, shared_folder, small_batches
+from .common import by_bucket, removed, saved, shared_folder, small_batches
 from .components import components
 from .wordhash import U, Words, hashed, mix
 
@@ -343,6 +343,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = saved(placed, folder, "placed")
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", "copies", "cell", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
     found = saved(join_cells(dealt.join(members(texts, placed, size), "sig"), share, of), folder, "links")
+    for name in ("left", "placed"):
+        removed(docs.sparkSession, f"{folder}/{name}")
     linked = components(found.select(F.col("sig").alias("a"), F.col("other").alias("b")), folder, "linked")
     totals = found.groupBy("sig").agg(F.sum("n_links").alias("n"))
     of_class = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))

@@ -179,9 +179,10 @@ def distinct_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFra
     return some.withColumnRenamed("__sig", "sig").dropDuplicates(["sig", "n_words"])
 
 
-def without(docs: DataFrame, repeats: DataFrame, folder: str, text_col: str = "text", size: int = SIZE) -> DataFrame:
+def without(docs: DataFrame, repeats: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """The rows with n_words, n_removed and kept_text: the words left, joined by one space. Each word under a repeated window goes."""
-    by_text = saved(repeats.groupBy(F.col("sig").alias("__sig"), "n_words").agg(F.collect_list(F.struct("start", "n")).alias("__places")), folder, "repeats")
+    by_text = repeats.groupBy(F.col("sig").alias("__sig"), "n_words").agg(F.collect_list(F.struct("start", "n")).alias("__places"))
+    by_text = saved(by_text, shared_folder(docs.sparkSession), "repeats")
     some, rest = by_bucket(signed(docs, text_col), by_text, "__sig", "__sig")
     rows = some.join(by_text, ["__sig", "n_words"], "left").unionByName(rest, allowMissingColumns=True)
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
@@ -214,4 +215,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE, ba
     index = FingerprintIndex(docs.sparkSession, size=size, most_runs=most_runs)
     for k in range(batches):
         index.add(docs.filter(F.pmod(F.xxhash64(text_col), F.lit(batches)) == k), text_col)
-    return without(docs, index.repeats(docs, text_col), index.folder, text_col, size)
+    kept = without(docs, index.repeats(docs, text_col), text_col, size)
+    index.drop()  # the places to remove are written apart
+    return kept
