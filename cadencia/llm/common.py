@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .wordhash import U, Words
 
@@ -32,15 +38,40 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/written-{uuid.uuid4().hex}"
 
 
-#: Rows and bytes of an Arrow batch, at most: what a Python worker holds of the input.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Bytes of an Arrow batch, about: what a Python worker holds of the input.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limits for Arrow batches to those of the operators, where they are higher."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
-            spark.conf.set(key, str(most))
+    """Lowers the session's limit of bytes for Arrow batches to that of the operators, where it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trimmed() -> None:
+    """Gives memory that is free in this process back to the system: workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, seconds: float = 2.0) -> DataFrame:
+    """mapInArrow whose worker gives memory back now and then and at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        try:
+            for out in f(batches):
+                yield out
+                if time.monotonic() > last + seconds:
+                    trimmed()
+                    last = time.monotonic()
+        finally:
+            trimmed()
+
+    return df.mapInArrow(run, schema)
 
 
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import mapped, small_batches
 from .wordhash import U, Words, hashed, mix
 
 SIZE, SIMILARITY = 5, 0.8
@@ -164,7 +164,7 @@ def _one_block(docs: DataFrame, items: DataFrame, text_col: str, size: int, leas
                         found[at + text].append({"item_id": item, "start": start, "n": n, "similarity": sim})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, least: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, small_batches, sums_by_text
+from .common import WordCache, mapped, small_batches, sums_by_text
 from .token_counts import MARK, tokenizer_path
 from .wordhash import U, hashed, mix
 
@@ -207,7 +207,7 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: st
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     counts: dict[str, Counter] = {}
-    words = found.select("__lang", F.col(text_col).cast("string")).mapInArrow(word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = mapped(found.select("__lang", F.col(text_col).cast("string")), word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for r in words.toLocalIterator():
         counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     return fit(counts, vocabulary or tokenizer_path(VOCABULARY))
@@ -236,7 +236,7 @@ def judge(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFra
                 score[at : at + len(here)][here] = p[here]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()).take(pa.array(pred)), pa.array(score)], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs.select(*kept), run, schema)
 
 
 def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, removed, saved, shared_folder, small_batches
+from .common import by_bucket, mapped, removed, saved, shared_folder, small_batches, trimmed
 from .components import components
 from .wordhash import U, Words, hashed, mix
 
@@ -106,7 +106,7 @@ def sets_of(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             sets = [s for _, w in hashed(batch.column(place), lower=True) for s in shingle_sets(w, size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([len(low_part(s)) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], names=[*columns, "n_shingles", "n_low", "sig"])
 
-    return docs.mapInArrow(run, f"{fields}, n_shingles bigint, n_low bigint, sig bigint")
+    return mapped(docs, run, f"{fields}, n_shingles bigint, n_low bigint, sig bigint")
 
 
 def low_rows(texts: DataFrame, size: int) -> DataFrame:
@@ -134,7 +134,7 @@ def low_rows(texts: DataFrame, size: int) -> DataFrame:
             credit = np.concatenate([np.where(settled[once], 0, 1), -n]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(np.concatenate([sig[once], some])), pa.array(credit)], names=["shingle", "sig", "credit"])
 
-    return texts.mapInArrow(run, "shingle bigint, sig bigint, credit int")
+    return mapped(texts, run, "shingle bigint, sig bigint, credit int")
 
 
 def credits_of(rows: DataFrame) -> DataFrame:
@@ -151,18 +151,22 @@ def credits_of(rows: DataFrame) -> DataFrame:
         n = np.bincount(back, got[got > 0], len(sig)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n)], names=["sig", "n"])
 
+    def columns(some: list[pa.RecordBatch]) -> list[np.ndarray]:
+        return [np.concatenate([np.zeros(0, kind), *(b.column(i).to_numpy() for b in some)]) for i, kind in enumerate((np.int64, np.int64, np.int32))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, s, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            k, s, c = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((k, s, c)))
-            if len(k) < 1 << 17:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 1 << 17:
                 continue
+            k, s, c = columns(held)
             last = int(np.searchsorted(k, k[-1]))  # the last shingle may go on
             yield settle(k[:last], s[:last], c[:last])
-            k, s, c = k[last:], s[last:], c[last:]
-        yield settle(k, s, c)
+            held = [pa.Table.from_batches(held).combine_chunks().slice(last).to_batches()[0]]
+        yield settle(*columns(held))
 
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
+    return mapped(rows.repartition("shingle").sortWithinPartitions("shingle"), run, "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
 
 
 def key_rows(texts: DataFrame, size: int, share: int, of: int) -> DataFrame:
@@ -191,7 +195,7 @@ def key_rows(texts: DataFrame, size: int, share: int, of: int) -> DataFrame:
             out_key = np.concatenate([key[once], own(tied[:, 0].copy()), own(heads.copy())])
             yield pa.RecordBatch.from_arrays([pa.array(out_key.view(np.int64)), pa.array(np.concatenate([sig[once], tied[:, 1], heads]))], names=["key", "sig"])
 
-    return texts.mapInArrow(run, "key bigint, sig bigint")
+    return mapped(texts, run, "key bigint, sig bigint")
 
 
 def edges_of(rows: DataFrame) -> DataFrame:
@@ -210,7 +214,7 @@ def edges_of(rows: DataFrame) -> DataFrame:
             pairs = np.unique(np.column_stack([s, first])[s != first], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "a bigint, b bigint")
+    return mapped(rows.repartition("key").sortWithinPartitions("key", "sig"), run, "a bigint, b bigint")
 
 
 class Trie:
@@ -321,6 +325,8 @@ def join_cells(rows: DataFrame, share: int, of: int) -> DataFrame:
                 root[max(a, b)] = min(a, b)
         some = np.flatnonzero(n)
         other = np.array([find(int(x)) for x in some], np.int64)
+        if len(sets) > 200:
+            trimmed()
         return pa.table({"sig": sig[some], "other": sig[other], "n_links": n[some]})
 
     return rows.groupBy("cell", "low", "high").applyInArrow(run, "sig bigint, other bigint, n_links bigint")
@@ -362,4 +368,4 @@ def members(texts: DataFrame, placed: DataFrame, size: int) -> DataFrame:
             sets = [s.tobytes() for _, w in hashed(batch.column(0), lower=True) for s in shingle_sets(w, size)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], names=["sig", "shingles"])
 
-    return near.select("text", "sig").join(placed.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]).select("text", "sig").mapInArrow(run, "sig bigint, shingles binary")
+    return mapped(near.select("text", "sig").join(placed.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]).select("text", "sig"), run, "sig bigint, shingles binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bucket, removed, saved, shared_folder, small_batches
+from .common import by_bucket, mapped, removed, saved, shared_folder, small_batches
 from .wordhash import U, Words, hashed, mix, sliding_min
 
 SIZE, SHINGLE = 35, 9
@@ -75,7 +75,7 @@ def entries(docs: DataFrame, text_col: str, size: int) -> DataFrame:
                     sig = signatures(w)
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in (x["fp"].view(np.int64), x["content"].view(np.int64), sig[x["text"]], w.counts[x["text"]].astype(np.int64), x["start"].astype(np.int32), x["n"].astype(np.int32), x["inner"])], names=["fp", "content", "sig", "n_words", "start", "n", "inner"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, ENTRY)
+    return mapped(docs.select(F.col(text_col).cast("string")), run, ENTRY)
 
 
 class FingerprintIndex:
@@ -144,7 +144,7 @@ class FingerprintIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sig, places = batch.column(1).to_numpy(), batch.column(3)
-                n_words = batch.column(2).to_numpy()
+                n_words, out = batch.column(2).to_numpy(), []
                 for at, w in hashed(batch.column(0)):
                     one, other = w.windows(size)[0].view(np.int64), w.windows(size, OTHER)[0].view(np.int64)
                     for i in range(len(w.first) - 1):
@@ -152,9 +152,11 @@ class FingerprintIndex:
                         start, n, copies = (mine.field(k).to_numpy() for k in range(3))
                         word = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                         k = len(word)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one[w.first[i] + word], other[w.first[i] + word], np.full(k, sig[at + i]), np.full(k, n_words[at + i]), word.astype(np.int32), np.minimum(np.repeat(copies, n), 2).astype(np.int64))], names=["h1", "h2", "sig", "n_words", "start", "copies"])
+                        out.append((one[w.first[i] + word], other[w.first[i] + word], np.full(k, sig[at + i]), np.full(k, n_words[at + i]), word.astype(np.int32), np.minimum(np.repeat(copies, n), 2).astype(np.int64)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h1", "h2", "sig", "n_words", "start", "copies"])
 
-        return texts.select("text", "sig", "n_words", "places").mapInArrow(run, "h1 bigint, h2 bigint, sig bigint, n_words bigint, start int, copies bigint")
+        return mapped(texts.select("text", "sig", "n_words", "places"), run, "h1 bigint, h2 bigint, sig bigint, n_words bigint, start int, copies bigint")
 
 
 def signed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -170,7 +172,7 @@ def signed(docs: DataFrame, text_col: str) -> DataFrame:
                 sig[at : at + len(w.counts)], n[at : at + len(w.counts)] = signatures(w), w.counts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig), pa.array(n)], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs.select(*kept), run, schema)
 
 
 def distinct_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def without(docs: DataFrame, repeats: DataFrame, text_col: str = "text", size: i
                 out.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array(n_removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return rows.select(*kept, "n_words", "__places").mapInArrow(run, schema)
+    return mapped(rows.select(*kept, "n_words", "__places"), run, schema)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE, batches: int = BATCHES, most_runs: int = MOST_RUNS) -> DataFrame:

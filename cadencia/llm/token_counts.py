@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, small_batches
+from .common import WordCache, mapped, small_batches
 from .wordhash import Powers, Words, byte_values, separators, text_slices
 
 MARK = "▁"
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, f"{id_col} {kind}, n_bytes bigint, n_tokens bigint")
+    return mapped(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), count, f"{id_col} {kind}, n_bytes bigint, n_tokens bigint")
 
 
 __all__ = ["batches_by_bytes", "separators", "split_is_safe", "token_counts", "tokenizer_path"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, small_batches
+from .common import WordCache, mapped, small_batches
 from .wordhash import U, Words, hashed, mix
 
 #: Labelled documents that are fitted to, and the number of hashed weights.
@@ -143,4 +143,4 @@ def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", t
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_text string")
+    return mapped(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_text string")
