@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are hashed in slices of about this many bytes, which bounds memory; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, SLICE_BYTES + 1)
             step = np.full(size, self.base, U)
             step[0] = 1
             self.up = np.cumprod(step, dtype=U)
