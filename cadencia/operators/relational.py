@@ -82,6 +82,19 @@ def streaks(days: DataFrame, by: str = "user_id", day: str = "day") -> DataFrame
     return days.withColumn("island", island).groupBy(by, "island").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.count("*").alias("length")).drop("island")
 
 
+def ranked(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
+    """rank (ties share it) and place (ties in order of a unique column), highest score first.
+
+    A group's rows are never sorted together: scores are counted first, the counts are summed from the top, and only equal
+    scores are numbered among themselves.
+    """
+    counts = rows.groupBy(group, score).agg(F.count("*").alias("__n"))
+    above = F.sum("__n").over(Window.partitionBy(group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(group, score, F.coalesce(above, F.lit(0)).alias("__above"))
+    order = F.row_number().over(Window.partitionBy(group, score).orderBy(tie))
+    return rows.join(counts, [group, score]).withColumns({"rank": F.col("__above") + 1, "place": F.col("__above") + order}).drop("__above")
+
+
 def fifo_expiry(earned: DataFrame, spent: DataFrame, by: str = "user_id") -> DataFrame:
     """What is left of each lot when spending takes the oldest first. Expects lot, at, points; spent has points by user."""
     before = F.sum("points").over(Window.partitionBy(by).orderBy("at", "lot").rowsBetween(Window.unboundedPreceding, -1))

@@ -158,8 +158,7 @@ def challenge_progress(spark, d):
 
 @register(f"WITH {sql.ACTIVITIES}, {_PROGRESS} SELECT group_id, user_id, sessions, rank() OVER (PARTITION BY group_id ORDER BY sessions DESC) AS rank, row_number() OVER (PARTITION BY group_id ORDER BY sessions DESC, user_id) AS place FROM progress")
 def leaderboard(spark, d):
-    w = Window.partitionBy("group_id").orderBy(F.desc("sessions"))
-    return progress(spark, d).select("group_id", "user_id", "sessions", F.rank().over(w).alias("rank"), F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("sessions"), "user_id")).alias("place"))
+    return rel.ranked(progress(spark, d), "group_id", "sessions", "user_id").select("group_id", "user_id", "sessions", "rank", "place")
 
 
 @register('WITH x AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_id % 3 = 0), i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS g FROM x) SELECT user_id, min(day) AS start, max(day) AS "end", count(*) AS length FROM i GROUP BY user_id, g')
