@@ -122,7 +122,8 @@ class FingerprintIndex:
         """(sig, n_words, start, n): runs of windows that occur elsewhere too. docs holds all texts that were added."""
         rows = self.rows()
         weight = F.sum(F.when(F.col("inner"), 2).otherwise(1))
-        shared = rows.groupBy("fp").agg(weight.alias("w")).filter("w > 1").select("fp")
+        # written, so that the join's sides are both dealt anew and a hot key can be split
+        shared = saved(rows.groupBy("fp").agg(weight.alias("w")).filter("w > 1").select("fp"), self.folder, "shared")
         candidates = saved(rows.join(shared, "fp"), self.folder, "candidates")
         kinds = candidates.groupBy("fp", "content").agg(F.count("*").alias("copies"), F.min(F.struct("sig", "n_words", "start", "n", "inner")).alias("one"))
         kinds = saved(kinds, self.folder, "kinds")
@@ -130,11 +131,13 @@ class FingerprintIndex:
         found = candidates.join(whole, ["fp", "content"]).select("sig", "n_words", "start", "n").distinct()
         # windows of spans that are not alone with their fingerprint, one span for each content
         several = kinds.groupBy("fp").agg(F.count("*").alias("k"), F.max(F.col("one.inner") & (F.col("copies") == 1)).alias("inner")).filter("k > 1 or inner").select("fp")
+        several = saved(several, self.folder, "several")
         ones = kinds.join(several, "fp").select("one.sig", "one.n_words", "one.start", "one.n", "copies")
         wanted = ones.groupBy("sig", "n_words").agg(F.collect_list(F.struct("start", "n", "copies")).alias("places"))
         wanted = saved(wanted, self.folder, "wanted")
         windows = saved(self._windows(distinct_texts(docs, text_col, wanted).join(wanted, ["sig", "n_words"])), self.folder, "windows")
         twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("h1", "h2")
+        twice = saved(twice, self.folder, "twice")
         edge = windows.filter("copies = 1").join(twice, ["h1", "h2"]).select("sig", "n_words", "start", F.lit(1).cast("int").alias("n"))
         return found.unionByName(edge)
 
