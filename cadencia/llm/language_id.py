@@ -189,8 +189,11 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: st
     """A model fitted to at most per_lang documents of each of at most most_langs languages."""
     small_batches(docs.sparkSession)
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
-    least = rows.join(F.broadcast(langs), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= per_lang).select("id", "lang")
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    # about twice as many as are wanted of each language go on, by hash, so that no language's rows meet in one task
+    share = F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)
+    some = rows.join(F.broadcast(langs), "lang").filter(share * F.col("n") < 2 * per_lang + 50)
+    least = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= per_lang).select("id", "lang")
     # at most per_lang * most_langs ids
     found = docs.join(F.broadcast(least.select(F.col("id").alias(id_col), F.col("lang").alias("__lang")).distinct()), id_col)
 
