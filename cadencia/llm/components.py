@@ -21,6 +21,8 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join's sides are both dealt anew and a node with many neighbours can be split
+        least = saved(least, folder, f"{name}-least-{k}")
         # every larger neighbour of a node goes to the node's least neighbour
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = saved(large, folder, f"{name}-large-{k}")
@@ -30,6 +32,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         k += 1
         old, now = f"{folder}/{name}-{k - 1}", saved(small, folder, f"{name}-{k}")
         removed(spark, f"{folder}/{name}-large-{k - 1}")
+        removed(spark, f"{folder}/{name}-least-{k - 1}")
         removed(spark, old)
         last, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == last:
