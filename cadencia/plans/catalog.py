@@ -26,7 +26,7 @@ def register(oracle: str | None = None):
     return add
 
 
-@register(sql.query(sql.PROFILES, select="SELECT user_id, sex, age, hr_max, lthr, ftp AS ftp_watts, level FROM profiles WHERE user_id = 42"))
+@register(sql.query(sql.PROFILES, select="SELECT user_id, sex, CAST(age AS INT) AS age, CAST(hr_max AS INT) AS hr_max, CAST(lthr AS INT) AS lthr, ftp AS ftp_watts, level FROM profiles WHERE user_id = 42"))
 def profile_lookup(spark, d):
     return profiles(spark, d).filter("user_id = 42").select("user_id", "sex", "age", "hr_max", "lthr", "ftp_watts", "level")
 
@@ -84,7 +84,7 @@ def share_guard(spark, d):
     return table(spark, d, "events").select("event_id", (~F.arrays_overlap(fields, health)).alias("allowed"), (F.size(F.array_except(F.array("event_type"), known)) == 0).alias("known"))
 
 
-@register(sql.query(sql.PROFILES, select="SELECT user_id, coalesce(CASE WHEN user_id % 3 = 0 THEN 60 + user_id % 150 END, hr_max) AS hr_max, coalesce(CASE WHEN user_id % 4 = 1 THEN 50 + user_id % 60 END, hr_rest) AS hr_rest FROM profiles WHERE coalesce(CASE WHEN user_id % 3 = 0 THEN 60 + user_id % 150 END, hr_max) > coalesce(CASE WHEN user_id % 4 = 1 THEN 50 + user_id % 60 END, hr_rest)"))
+@register(sql.query(sql.PROFILES, select="SELECT user_id, CAST(coalesce(CASE WHEN user_id % 3 = 0 THEN 60 + user_id % 150 END, hr_max) AS INT) AS hr_max, CAST(coalesce(CASE WHEN user_id % 4 = 1 THEN 50 + user_id % 60 END, hr_rest) AS INT) AS hr_rest FROM profiles WHERE coalesce(CASE WHEN user_id % 3 = 0 THEN 60 + user_id % 150 END, hr_max) > coalesce(CASE WHEN user_id % 4 = 1 THEN 50 + user_id % 60 END, hr_rest)"))
 def patched_profiles(spark, d):
     """Profiles after a patch, where the maximum stays above the resting rate."""
     u = F.col("user_id")
@@ -191,7 +191,7 @@ def lockouts(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(failed.alias("failures"), (failed >= 5).alias("locked"))
 
 
-@register("""SELECT ts::DATE AS day, quantile_cont(cost, 0.5) AS p50, round(quantile_cont(cost, 0.95), 6) AS p95, max(cost) AS most FROM (SELECT ts, user_id, ts::DATE AS day, sum(event_id % 97) OVER (PARTITION BY user_id, ts::DATE) AS cost, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS r FROM events) WHERE r = 1 GROUP BY 1""")
+@register("""SELECT ts::DATE AS day, quantile_cont(cost, 0.5) AS p50, round(quantile_cont(cost, 0.95), 6) AS p95, CAST(max(cost) AS BIGINT) AS most FROM (SELECT ts, user_id, ts::DATE AS day, sum(event_id % 97) OVER (PARTITION BY user_id, ts::DATE) AS cost, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS r FROM events) WHERE r = 1 GROUP BY 1""")
 def cost_spikes(spark, d):
     rows = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum(F.col("event_id") % 97).alias("cost"))
     return rows.groupBy("day").agg(F.percentile("cost", 0.5).alias("p50"), F.round(F.percentile("cost", 0.95), 6).alias("p95"), F.max("cost").alias("most"))

@@ -89,7 +89,7 @@ def load_dense(spark, d):
 RATIO_COLUMNS = ["user_id", "day", "acwr", "acwr_zone", "acwr_reliable", "observed_days", "dense_days"]
 
 
-@register(sql.query(*sql.RATIOS, select="SELECT user_id, day, acwr, acwr_zone, acwr_reliable, observed AS observed_days, dense_days FROM workload"))
+@register(sql.query(*sql.RATIOS, select="SELECT user_id, day, acwr, acwr_zone, acwr_reliable, observed AS observed_days, CAST(dense_days AS INT) AS dense_days FROM workload"))
 def acwr_rolling(spark, d):
     return so.workload(daily(spark, d)).select(*RATIO_COLUMNS)
 
