@@ -11,6 +11,8 @@ Nulls count as empty texts (one piece, the end id alone); repeated rows are pack
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +143,14 @@ class Encoder:
                 yield ids[a:b]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The worker process's encoder, which later tasks of the process use on: its cache is bounded and most words recur."""
+    kept = sys.modules.setdefault("cadencia_worker_state", types.ModuleType("cadencia_worker_state")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids."""
 
@@ -149,7 +159,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer or tokenizer_path(MODEL))
+        encode = worker_encoder(tokenizer or tokenizer_path(MODEL))
         base = TaskContext.get().partitionId() * PER_PARTITION
         names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         rest: list[tuple] = []
