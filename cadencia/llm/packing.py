@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import types
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ WINDOW = 2048
 END_ID = 1
 #: Sequences of one partition are numbered below this.
 PER_PARTITION = 1 << 40
+#: Bytes of a partition's ids that wait in memory, and ids of a batch that is given out, about.
+SPOOL_BYTES, OUT_IDS = 32 << 20, 1 << 20
 
 
 class CapacityTree:
@@ -152,7 +155,9 @@ def worker_encoder(path: str) -> Encoder:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids."""
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids.
+
+    Pieces that aren't full windows wait for the end of their partition; beyond SPOOL_BYTES their ids wait on disk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
@@ -161,34 +166,62 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         encode = worker_encoder(tokenizer or tokenizer_path(MODEL))
         base = TaskContext.get().partitionId() * PER_PARTITION
-        names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         rest: list[tuple] = []
         full = 0
-
-        def batch_of(ids: list, rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(rows[:, k]) for k in range(6))], names=[id_col, *names[1:]])
-
         kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            keys, rows, of = batch.column(0).to_pylist(), [], []
-            for key, ids in zip(keys, encode(batch.column(1)), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), window):
-                    part = ids[start : start + window]
-                    if len(part) == window:
-                        rows.append((start, window, crc32(part.tobytes()), len(ids), base + full, 0))
-                        of.append(key)
-                        full += 1
-                    else:
-                        rest.append((key, start, len(part), crc32(part.tobytes()), len(ids)))
-            if rows:
-                yield batch_of(of, np.array(rows, np.int64))
-        if rest:
-            rows = np.array([r[1:] for r in rest], np.int64)
-            sequence, offset = best_fit_decreasing(rows[:, 1], window)
-            yield batch_of([r[0] for r in rest], np.column_stack([rows, base + full + sequence, offset]))
+
+        def batch_of(keys: list, rows: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            ends = np.concatenate([[0], np.cumsum(rows[:, 1])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4")))
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(rows[:, k]) for k in range(6)), lists], names=names)
+
+        with tempfile.SpooledTemporaryFile(SPOOL_BYTES) as spool:
+            for batch in batches:
+                kind = batch.column(0).type
+                keys, rows, of, parts = batch.column(0).to_pylist(), [], [], []
+                for key, ids in zip(keys, encode(batch.column(1)), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(ids), window):
+                        part = ids[start : start + window]
+                        data = part.tobytes()
+                        if len(part) == window:
+                            rows.append((start, window, crc32(data), len(ids), base + full, 0))
+                            of.append(key)
+                            parts.append(part)
+                            full += 1
+                        else:
+                            rest.append((key, start, len(part), crc32(data), len(ids)))
+                            spool.write(data)
+                if rows:
+                    yield batch_of(of, np.array(rows, np.int64), np.concatenate(parts))
+            if rest:
+                keys, rows = [r[0] for r in rest], np.array([r[1:] for r in rest], np.int64)
+                sequence, offset = best_fit_decreasing(rows[:, 1], window)
+                rows = np.column_stack([rows, base + full + sequence, offset])
+                spool.seek(0)
+                first = np.flatnonzero(np.diff(np.cumsum(rows[:, 1]) // OUT_IDS, prepend=-1)).tolist()
+                for a, b in zip(first, [*first[1:], len(rows)], strict=True):
+                    yield batch_of(keys[a:b], rows[a:b], np.frombuffer(spool.read(4 * int(rows[a:b, 1].sum())), "<u4"))
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return mapped(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>")
+
+
+def digested(pieces: DataFrame) -> DataFrame:
+    """The pieces with ids_crc32 computed from their ids, as little-endian 32-bit numbers, in place of the ids."""
+    kept = [c for c in pieces.columns if c != "ids"]
+    schema = pieces.select(*kept).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            ends = lists.offsets.to_numpy()
+            values = lists.values.to_numpy().astype("<i4", copy=False)
+            crc = pa.array([crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(batch.schema.get_field_index(c)) for c in kept], names=kept)
+
+    return mapped(pieces, run, schema)

@@ -13,7 +13,7 @@ from .common import residue, table
 from .decontamination import decontaminate
 from .license_scan import scan_licenses
 from .ngram_join import ngram_join
-from .packing import pack
+from .packing import digested, pack
 from .quality_rules import apply_rules
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
@@ -84,7 +84,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return digested(pack(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_dedup, op4_decontamination, op5_chat_format, op6_ngram_join, op7_token_counts, op8_language_id, op9_license_scan, op10_packing)}
