@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = toxicity.learn(docs, table(spark, sf_dir, "labels"), residue("doc_id", 5) != 0)
     scores = toxicity.score(docs, weights)
-    return scores.select("doc_id", (residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_sentence", "worst_text")
+    return scores.select("doc_id", (residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_sentence", "worst_text", "offending")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

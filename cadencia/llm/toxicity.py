@@ -3,8 +3,8 @@
 A document is a bag of sentences. A sentence's probability is logistic in its distinct words, each the sum of
 the weights of hashed parts (the word, its beginnings, its runs of 4 characters); the document's is
 their noisy-or, 1 - prod(1 - p). Only document labels are learned from: the loss is the log loss of the noisy-or, and
-its gradient reaches the sentences through it. Afterwards the sentences with the highest probability are the offending
-ones. The weights are fitted on a bounded sample: the `most_docs` labelled documents with the least hash of their id.
+its gradient reaches the sentences through it. Afterwards all sentences of probability 0.5 or more are the offending
+ones. Words of any length are scored whole. The weights are fitted on a bounded sample: the `most_docs` labelled documents with the least hash of their id.
 
 Null and empty texts have no sentence and score 0. Documents with a null label teach nothing; a document with several
 labels counts as toxic if any says so; with nothing to learn from, all scores are 0. Repeated rows are scored each.
@@ -21,18 +21,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordCache, mapped, small_batches
-from .wordhash import U, Words, hashed, mix
+from .wordhash import Powers, U, Words, byte_values, mix, separators, text_slices
 
 #: Labelled documents that are fitted to, and the number of hashed weights.
 MOST_DOCS, BITS = 4000, 18
 #: A word's weight is learned if so many of the sample's documents have it.
 LEAST_DOCS = 4
 START, ROUNDS, RATE, SHRINK = -9.0, 200, 0.5, 2e-5
-#: Characters of a word that count; the rest of a longer one is ignored.
-LONGEST = 64
 #: ASCII that is neither a letter nor a digit ends a word; these bytes also end a sentence.
 NOT_WORDS = bytes(b for b in range(128) if not chr(b).isalnum())
 ENDS = b".!?\n"
+#: So do these code points beyond ASCII (Unicode's sentence terminals, line and paragraph separators), and other Unicode blanks end a word.
+TERMINALS = (
+    "0085 0589 061D-061F 06D4 0700-0702 07F9 0837 0839 083D-083E 0964-0965 104A-104B 1362 1367-1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB 1B5A-1B5B 1B5E-1B5F 1B7D-1B7E 1C3B-1C3C "
+    "1C7E-1C7F 2024 2028-2029 203C-203D 2047-2049 2E2E 2E3C 2E53-2E54 3002 A4FF A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE12 FE15-FE16 FE52 FE56-FE57 FF01 FF0E FF1F FF61"
+)
+BLANKS = "00A0 1680 2000-200A 202F 205F 3000"
+
+
+def code_points(ranges: str) -> list[int]:
+    return [c for r in ranges.split() for c in range(int(r[:4], 16), int(r[-4:], 16) + 1)]
+
+
+#: The ASCII byte that stands for a code point in ascii_marks; 0 for the others.
+MARKS = np.zeros(1 << 16, np.uint8)
+MARKS[code_points(TERMINALS)] = ord(".")
+MARKS[code_points(BLANKS)] = ord(" ")
+
+
+def ascii_marks(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of the same length, with ASCII ones for the terminals and blanks beyond ASCII."""
+    out = data
+    for low, high, size in ((0xC2, 0xE0, 2), (0xE0, 0xF0, 3)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at + size <= len(data)]
+        code = data[at].astype(np.int64) & (0xFF >> (size + 1))
+        for k in range(1, size):
+            code = code << 6 | (data[at + k] & 0x3F)
+        mark = MARKS[code]
+        at, mark = at[mark > 0], mark[mark > 0]
+        if len(at):
+            out = data.copy() if out is data else out
+            out[at] = mark
+            for k in range(1, size):
+                out[at + k] = ord(" ")
+    return out
+
+
+def bags(texts: pa.Array) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """(index of the first text, Words, the texts' own bytes) for slices of texts."""
+    powers, values, ends = Powers(0xD6E8FEB86659FD93), byte_values(lower=True), separators(NOT_WORDS)
+    for at, data, offsets in text_slices(texts):
+        yield at, Words(ascii_marks(data), offsets, powers, values, ends), data
 
 
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +94,7 @@ def distinct(w: Words, sentence: np.ndarray) -> np.ndarray:
 
 def word_features(word: str, bits: int = BITS) -> list[int]:
     """Hashed features of a word: itself, its beginnings and its runs of 4 characters, so that inflected or disguised forms share some."""
-    word = word.lower()[:LONGEST]
+    word = word.lower()
     parts = {f"={word}", *(f"^{word[:k]}" for k in range(3, min(6, len(word)) + 1)), *(word[k : k + 4] for k in range(len(word) - 3))}
     return [zlib.crc32(p.encode()) >> (32 - bits) for p in parts]
 
@@ -70,7 +110,7 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = R
     size, n = len(labels), 0
     known: dict[str, int] = {}
     word, sent, doc = [], [], []
-    for at, w in hashed(texts, lower=True, extra=NOT_WORDS):
+    for at, w, _ in bags(texts):
         sentence, text, _ = sentences(w)
         data = w.data.tobytes()
         once = distinct(w, sentence)
@@ -114,15 +154,18 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, n_sentences, and the sentence with the highest probability: its number, probability and text."""
+    """id, score, n_sentences, the sentence with the highest probability (its number, probability and text), and offending:
+    all sentences of probability 0.5 or more, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "score", "n_sentences", "worst_sentence", "worst_score", "worst_text"]
+        names = [id_col, "score", "n_sentences", "worst_sentence", "worst_score", "worst_text", "offending"]
+        kind = pa.list_(pa.struct([("sentence", pa.int64()), ("probability", pa.float64()), ("text", pa.string())]))
         cache = WordCache(lambda words: np.array([weights[word_features(x)].sum() for x in words]))
         for batch in batches:
             n = batch.num_rows
             total, count, worst, worst_p, texts = np.zeros(n), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n), [None] * n
-            for at, w in hashed(batch.column(1), lower=True, extra=NOT_WORDS):
+            offending: list[list[tuple]] = [[] for _ in range(n)]
+            for at, w, own in bags(batch.column(1)):
                 if weights is None or not len(w.hash):
                     continue
                 sentence, text, first = sentences(w)
@@ -134,13 +177,16 @@ def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", t
                 start = np.concatenate([[0], np.cumsum(count[at : at + size])])
                 order = np.lexsort((np.arange(len(p)), -p, text))  # of equals, the first sentence
                 last = np.append(first[1:], len(w.start)) - 1
+                said = lambda k: own[w.start[first[k]] : w.end[last[k]]].tobytes().decode("utf-8", "replace")  # noqa: E731, B023
                 for i in np.flatnonzero(count[at : at + size]).tolist():
                     k = int(order[start[i]])
                     worst[at + i], worst_p[at + i] = k - start[i], p[k]
                     if p[k] >= 0.5:
-                        texts[at + i] = w.data[w.start[first[k]] : w.end[last[k]]].tobytes().decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count), pa.array(worst), pa.array(worst_p), pa.array(texts, pa.string())], names=names)
+                        texts[at + i] = said(k)
+                for k in np.flatnonzero(p >= 0.5).tolist():
+                    offending[at + int(text[k])].append((k - int(start[text[k]]), float(p[k]), said(k)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count), pa.array(worst), pa.array(worst_p), pa.array(texts, pa.string()), pa.array(offending, kind)], names=names)
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_text string")
+    return mapped(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_text string, offending array<struct<sentence: bigint, probability: double, text: string>>")

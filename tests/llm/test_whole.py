@@ -1,10 +1,12 @@
 """Operators give out their whole results, and take in their whole inputs."""
 
+import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cadencia.llm import packing
+from cadencia.llm import packing, toxicity
 from cadencia.llm.token_counts import tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -31,3 +33,23 @@ def test_packed_sequences_are_rebuilt_from_the_ids(spark, monkeypatch):
     assert sum(map(len, sequences.values())) == sum(map(len, found.values())) and max(map(len, sequences.values())) <= packing.WINDOW
     want = sorted(tuple(r)[:-1] for r in rows)
     assert sorted(tuple(r) for r in packing.digested(pieces).collect()) == want
+
+
+def test_toxicity_scores_all_of_a_word_and_returns_all_offending_sentences(spark):
+    rnd = random.Random(5)
+    plain = [f"{a}{b}" for a in "bcdfgl" for b in ("an", "or", "ist", "elle", "ung")]
+    han = "的一是了我不人在他有这上们来到时大地为子中你说生国年着就那和要她出也得里后自以会"
+    rows = []
+    for i in range(600):
+        words = ["".join(rnd.choices(han, k=30)) for _ in range(3)] if i % 2 else [" ".join(rnd.choices(plain, k=9)) for _ in range(3)]
+        if i % 4 < 2:
+            words[1] += "坏蛋混账" if i % 2 else " zorkface"
+        rows.append((i, ("。" if i % 2 else ". ").join(words), int(i % 4 < 2)))
+    weights = toxicity.learn(spark.createDataFrame([r[:2] for r in rows], DOCS), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), F.lit(True))
+    clean = "".join(rnd.choices(han, k=100))
+    texts = [(1, f"{clean}坏蛋混账"), (2, "ban zorkface cor. dist dung. fan zorkface。gor"), (3, f"{clean}。{clean}"), (4, "ban　的x坏蛋混账。dor"), (5, "".join(rnd.choices("bcdfgl", k=100)) + "zorkface")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(texts, DOCS), weights).collect()}
+    assert [got[i].score >= 0.5 for i in (1, 2, 3, 4, 5)] == [True, True, False, True, True]
+    assert [(s.sentence, s.text) for s in got[2].offending] == [(0, "ban zorkface cor"), (2, "fan zorkface")]
+    assert got[2].n_sentences == 4 and got[3].n_sentences == 2 and got[3].offending == []
+    assert [(s.sentence, s.text) for s in got[4].offending] == [(0, "ban　的x坏蛋混账")] and got[4].n_sentences == 2
