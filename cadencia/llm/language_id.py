@@ -7,7 +7,7 @@ sample: for each language, the `per_lang` documents with the least hash of their
 
 A text that is null or has no letter gets `und` and score 0; rows with a null language teach nothing; ties between
 languages go to the first in alphabetical order; repeated rows are predicted each; with nothing to learn from, every
-text gets `und`. Words longer than 32 characters are scored in runs of 32. Extra columns are ignored.
+text gets `und`. Every language of the table is learned, and words of any length are scored whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ from .token_counts import MARK, tokenizer_path
 from .wordhash import U, hashed, mix
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Documents of each language that are fitted to; languages beyond MOST_LANGS (the rarest) aren't learned.
-PER_LANG, MOST_LANGS = 600, 200
-LONGEST_PIECE, LONGEST_RUN, ROUNDS = 8, 32, 3
+#: Documents of each language that are fitted to.
+PER_LANG, ROUNDS = 600, 3
+#: Characters of the longest piece of VOCABULARY; a model has the length of its own vocabulary's.
+LONGEST_PIECE = 16
+#: Sums are scaled each so many characters; cells (words by characters, or by languages) that are worked on at once, about.
+SCALE_EVERY, CELLS = 8, 400_000
 #: ASCII that isn't a letter ends a word here.
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 UNDETERMINED = "und"
@@ -50,13 +53,13 @@ def piece_texts(vocabulary: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in found if 0 < len(p) <= LONGEST_PIECE and all(c.isalpha() for c in p.removeprefix(MARK)))
+    return sorted(p for p in found if p and all(c.isalpha() for c in p.removeprefix(MARK)))
 
 
-def string_hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+def string_hashes(codes: np.ndarray, longest: int = LONGEST_PIECE) -> Iterator[np.ndarray]:
     """For each length, hashes of the runs of that many code points that start at each."""
     out = np.zeros(len(codes), U)
-    for size in range(1, LONGEST_PIECE + 1):
+    for size in range(1, longest + 1):
         if size > len(codes):
             out = np.zeros(0, U)
         else:
@@ -65,16 +68,14 @@ def string_hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def lattice(words: list[str], keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Starts of the runs in the flat characters, and for each piece length the piece that starts at each character (-1: none).
-
-    A word is cut into runs of LONGEST_RUN characters; the caller passes words that are cut already."""
+    """Starts of the words in the flat characters, and for each piece length the piece that starts at each character (-1: none)."""
     flat = "".join(words)
     codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(codes))
     pieces = []
-    for size, h in enumerate(string_hashes(codes), 1):
-        found = np.full(len(codes), -1, np.int64)
+    for size, h in enumerate(string_hashes(codes, len(keys)), 1):
+        found = np.full(len(codes), -1, np.int32)
         if len(keys[size - 1]) and len(h):
             at = np.minimum(np.searchsorted(keys[size - 1], h), len(keys[size - 1]) - 1)
             hit = (keys[size - 1][at] == h) & (left[: len(h)] >= size)
@@ -84,48 +85,46 @@ def lattice(words: list[str], keys: list[np.ndarray]) -> tuple[np.ndarray, list[
 
 
 def forward(starts: np.ndarray, pieces: list[np.ndarray], model: PieceModel) -> np.ndarray:
-    """Log of the sum over segmentations, by run and language. Positions are handled together, over all runs."""
+    """Log of the sum over segmentations, by word and language. Positions are handled together, over all words; the sums
+    of the last positions are kept, and scaled now and then so that long words don't underflow."""
     sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
-    first, n_langs = starts[:-1][order], len(model.langs)
+    first, n_langs, longest, kept = starts[:-1][order], len(model.langs), int(sizes.max(initial=0)), len(pieces) + 1
     probs = [np.exp(p) for p in model.logp]
     unknown = np.exp(model.unknown)
-    alpha = np.zeros((int(sizes.max(initial=0)) + 1, len(sizes), n_langs))
+    alpha = np.zeros((kept, len(sizes), n_langs))
     alpha[0] = 1
-    active = np.searchsorted(-sizes[order], -np.arange(len(alpha)), "right")  # runs of at least that size
-    for end in range(1, len(alpha)):
-        n = active[end]
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
+    scale, logs = np.zeros((len(sizes), n_langs)), np.zeros((len(sizes), n_langs))
+    active = np.searchsorted(-sizes[order], -np.arange(longest + 2), "right")  # words of at least that size
+    for end in range(1, longest + 1):
+        n, longer = active[end], active[end + 1]
+        new = np.zeros((n, n_langs))
+        for size in range(1, min(len(pieces), end) + 1):
             piece = pieces[size - 1][first[:n] + end - size]
             hit = piece >= 0
             if size == 1:
-                alpha[end, :n][~hit] = alpha[end - 1, :n][~hit] * unknown
+                new[~hit] = alpha[(end - 1) % kept, :n][~hit] * unknown
             if hit.any():
-                alpha[end, :n][hit] += alpha[end - size, :n][hit] * probs[size - 1][piece[hit]]
+                new[hit] += alpha[(end - size) % kept, :n][hit] * probs[size - 1][piece[hit]]
+        alpha[end % kept, :n] = new
+        logs[longer:n] = np.log(np.maximum(new[longer:], 1e-300)) + scale[longer:n]
+        if end % SCALE_EVERY == 0 and longer:
+            top = alpha[:, :longer].max(axis=0)
+            alpha[:, :longer] /= top
+            scale[:longer] += np.log(top)
     out = np.zeros((len(sizes), n_langs))
-    out[order] = np.log(np.maximum(alpha[sizes[order], np.arange(len(sizes))], 1e-300))
+    out[order] = logs
     return out
 
 
-def runs_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The marked, lower-case words cut into runs, and the word of each run."""
-    runs, of = [], []
-    for i, w in enumerate(words):
-        w = MARK + w.lower()
-        for k in range(0, len(w), LONGEST_RUN):
-            runs.append(w[k : k + LONGEST_RUN])
-            of.append(i)
-    return runs, np.array(of, np.int64)
-
-
-def word_scores(words: list[str], model: PieceModel, block: int = 20_000) -> np.ndarray:
+def word_scores(words: list[str], model: PieceModel) -> np.ndarray:
     """Log-probability by language, and in the last column whether the word has a letter. Words without one score 0."""
     out = np.zeros((len(words), len(model.langs) + 1))
     letters = np.array([any(c.isalpha() for c in w) for w in words], bool)
     out[:, -1] = letters
+    block = max(1, min(20_000, CELLS // max(1, len(model.langs))))
     for a in range(0, len(words), block):
-        runs, of = runs_of(words[a : a + block])
-        np.add.at(out[a : a + block, :-1], of, forward(*lattice(runs, model.keys), model))
+        out[a : a + block, :-1] = forward(*lattice([MARK + w.lower() for w in words[a : a + block]], model.keys), model)
     out[~letters, :-1] = 0
     return out
 
@@ -133,9 +132,10 @@ def word_scores(words: list[str], model: PieceModel, block: int = 20_000) -> np.
 def fit(counts: dict[str, Counter], vocabulary: str, rounds: int = ROUNDS) -> PieceModel:
     """Piece probabilities by language from its word counts, by expectation-maximisation."""
     langs = sorted(counts)
-    by_size: list[dict[int, str]] = [{} for _ in range(LONGEST_PIECE)]
-    for p in piece_texts(vocabulary):
-        key = list(string_hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32)))[len(p) - 1]
+    texts = piece_texts(vocabulary)
+    by_size: list[dict[int, str]] = [{} for _ in range(max(map(len, texts), default=1))]
+    for p in texts:
+        key = list(string_hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32), len(p)))[len(p) - 1]
         by_size[len(p) - 1][int(key[0])] = p
     keys = [np.array(sorted(x), U) for x in by_size]
     flat = max(1, sum(map(len, keys)))
@@ -143,9 +143,7 @@ def fit(counts: dict[str, Counter], vocabulary: str, rounds: int = ROUNDS) -> Pi
     lattices = {}
     for lang in langs:
         words = [w for w in counts[lang] if any(c.isalpha() for c in w)]
-        runs, of = runs_of(words)
-        weight = np.array([counts[lang][w] for w in words], float)
-        lattices[lang] = (*lattice(runs, keys), weight[of] if len(of) else np.zeros(0))
+        lattices[lang] = (*lattice([MARK + w.lower() for w in words], keys), np.array([counts[lang][w] for w in words], float))
     for _ in range(rounds):
         expected = [np.full((len(k), len(langs)), 0.01) for k in keys]
         for j, lang in enumerate(langs):
@@ -157,44 +155,54 @@ def fit(counts: dict[str, Counter], vocabulary: str, rounds: int = ROUNDS) -> Pi
 
 
 def expectations(starts: np.ndarray, pieces: list[np.ndarray], weight: np.ndarray, model: PieceModel, lang: int, expected: list[np.ndarray]) -> None:
-    """Adds the expected count of each piece over all segmentations of the runs, weighted by their counts."""
-    probs, unknown = [np.exp(p[:, lang]) for p in model.logp], float(np.exp(model.unknown[lang]))
+    """Adds the expected count of each piece over all segmentations of the words, weighted by their counts. Sums are logs
+    here, so that long words don't underflow; words of like length are handled together."""
+    logp, unknown = [p[:, lang] for p in model.logp], float(model.unknown[lang])
     sizes = np.diff(starts)
-    if not len(sizes):
-        return
     order = np.argsort(-sizes, kind="stable")
-    first, longest = starts[:-1][order], int(sizes.max())
-    active = np.searchsorted(-sizes[order], -np.arange(longest + 1), "right")
-    p = lambda piece, size: np.where(piece >= 0, probs[size - 1][np.maximum(piece, 0)] if len(probs[size - 1]) else 0.0, unknown if size == 1 else 0.0)
-    alpha, beta = np.zeros((longest + 1, len(sizes))), np.zeros((longest + 1, len(sizes)))
-    alpha[0] = 1
-    for end in range(1, longest + 1):
-        n = active[end]
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
-            alpha[end, :n] += alpha[end - size, :n] * p(pieces[size - 1][first[:n] + end - size], size)
-    beta[sizes[order], np.arange(len(sizes))] = 1
-    total = np.maximum(alpha[sizes[order], np.arange(len(sizes))], 1e-300)
-    for at in range(longest - 1, -1, -1):
-        for size in range(1, min(LONGEST_PIECE, longest - at) + 1):
-            n = active[at + size]
-            piece = pieces[size - 1][first[:n] + at]
-            ahead = beta[at + size, :n] * p(piece, size)
-            beta[at, :n] += ahead
-            hit = piece >= 0
-            if hit.any():
-                np.add.at(expected[size - 1][:, lang], piece[hit], (weight[order[:n]] * alpha[at, :n] * ahead / total[:n])[hit])
-
-
-def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> PieceModel:
-    """A model fitted to at most per_lang documents of each of at most most_langs languages."""
+    at = 0
+    while at < len(order):
+        block = order[at : at + max(1, CELLS // (int(sizes[order[at]]) + 1))]
+        at += len(block)
+        size_of, first, w = sizes[block], starts[:-1][block], weight[block]
+        longest = int(size_of[0])
+        active = np.searchsorted(-size_of, -np.arange(longest + 1), "right")
+        before, after = np.full((longest + 1, len(block)), -np.inf), np.full((longest + 1, len(block)), -np.inf)
+        before[0] = 0
+        for end in range(1, longest + 1):
+            for size in range(1, min(len(pieces), end) + 1):
+                rows, p, _ = steps(pieces[size - 1][first[: active[end]] + end - size], logp[size - 1], unknown, size)
+                before[end, rows] = np.logaddexp(before[end, rows], before[end - size, rows] + p)
+        after[size_of, np.arange(len(block))] = 0
+        total = before[size_of, np.arange(len(block))]
+        for start in range(longest - 1, -1, -1):
+            for size in range(1, min(len(pieces), longest - start) + 1):
+                rows, p, piece = steps(pieces[size - 1][first[: active[start + size]] + start], logp[size - 1], unknown, size)
+                ahead = after[start + size, rows] + p
+                after[start, rows] = np.logaddexp(after[start, rows], ahead)
+                hit = piece >= 0
+                if hit.any():
+                    some = rows[hit]
+                    np.add.at(expected[size - 1][:, lang], piece[hit], w[some] * np.exp(before[start, some] + ahead[hit] - total[some]))
+
+
+def steps(piece: np.ndarray, logp: np.ndarray, unknown: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a step of that size, its log-probability, and its piece (-1: an unknown character)."""
+    rows = np.arange(len(piece)) if size == 1 else np.flatnonzero(piece >= 0)
+    piece = piece[rows]
+    return rows, np.where(piece >= 0, logp[np.maximum(piece, 0)] if len(logp) else unknown, unknown), piece
+
+
+def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, per_lang: int = PER_LANG) -> PieceModel:
+    """A model fitted to at most per_lang documents of each language."""
     small_batches(docs.sparkSession)
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # about twice as many as are wanted of each language go on, by hash, so that no language's rows meet in one task
     share = F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)
     some = rows.join(F.broadcast(langs), "lang").filter(share * F.col("n") < 2 * per_lang + 50)
     least = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= per_lang).select("id", "lang")
-    # at most per_lang * most_langs ids
+    # at most per_lang ids of each language
     found = docs.join(F.broadcast(least.select(F.col("id").alias(id_col), F.col("lang").alias("__lang")).distinct()), id_col)
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

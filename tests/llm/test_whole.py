@@ -2,11 +2,12 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadencia.llm import packing, toxicity
+from cadencia.llm import language_id, packing, toxicity
 from cadencia.llm.token_counts import tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -53,3 +54,37 @@ def test_toxicity_scores_all_of_a_word_and_returns_all_offending_sentences(spark
     assert [(s.sentence, s.text) for s in got[2].offending] == [(0, "ban zorkface cor"), (2, "fan zorkface")]
     assert got[2].n_sentences == 4 and got[3].n_sentences == 2 and got[3].offending == []
     assert [(s.sentence, s.text) for s in got[4].offending] == [(0, "ban　的x坏蛋混账")] and got[4].n_sentences == 2
+
+
+def segmentations(word, model, lang):
+    """Log of the sum over all segmentations, in plain Python."""
+    piece = [dict(zip(k.tolist(), p[:, lang].tolist(), strict=True)) for k, p in zip(model.keys, model.logp, strict=True)]
+    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+    key = [h.tolist() for h in language_id.string_hashes(codes, len(model.keys))]
+    logs = [0.0]
+    for end in range(1, len(word) + 1):
+        ways = []
+        for size in range(1, min(end, len(piece)) + 1):
+            p = piece[size - 1].get(key[size - 1][end - size], float(model.unknown[lang]) if size == 1 else None)
+            if p is not None:
+                ways.append(logs[end - size] + p)
+        logs.append(float(np.logaddexp.reduce(ways)))
+    return logs[-1]
+
+
+def test_language_id_uses_all_pieces_and_whole_words():
+    vocabulary = tokenizer_path(language_id.VOCABULARY)
+    texts = language_id.piece_texts(vocabulary)
+    assert "algorithm" in texts and "▁application" in texts and max(map(len, texts)) == language_id.LONGEST_PIECE
+    model = language_id.fit({"a": Counter({"algorithm": 5, "application" * 30: 2, "漢" * 400: 1}), "b": Counter({"haus": 4})}, vocabulary)
+    words = ["algorithm", "applicationalgorithm" * 20, "漢字x" * 300, "haus", "x" * 31, "algorithmalgorithmalgorithmalgor"]
+    got = language_id.word_scores(words, model)
+    for w, row in zip(words, got, strict=True):
+        assert np.allclose(row[:2], [segmentations(language_id.MARK + w, model, j) for j in range(2)], rtol=1e-9)
+
+
+def test_language_id_learns_every_language(spark):
+    rows = [(i, f"{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"l{i:03}") for i in range(230)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    model = language_id.learn(docs, F.lit(True))
+    assert model.langs == [r[2] for r in rows]
