@@ -14,7 +14,7 @@ from ..operators import plan as po
 from ..operators import trend
 from ..params import RACES_M, TRANSITIONS_S
 from ..sources.bridge import activities, profiles, table
-from . import sql
+from . import sql, whole
 from .training import daily
 
 SPARK: dict = {}
@@ -194,10 +194,15 @@ steps AS (
 
 @register(sql.query(_RACES, _BESTS, _EQUAL, select="SELECT k, 'time_' || CAST(floor(target) AS INT) || 'm' AS metric, round((a + g) / 2 + 1e-9, 1) AS value, round(least(a, g) + 1e-9, 1) AS low, round(greatest(a, g) + 1e-9, 1) AS high, round(greatest(0.2, 1 - abs(a - g) / ((a + g) / 2) * 5) + 1e-9, 2) AS confidence FROM steps"))
 def equivalent_times(spark, d):
-    """For each twentieth race, as the reports do."""
-    some = races(spark, d).filter("k % 20 = 0")
+    """The rows of equivalent_times_all that the SQL covers: each twentieth race."""
+    return equivalent_times_all(spark, d).filter("k % 20 = 0")
+
+
+@whole
+def equivalent_times_all(spark, d):
+    """For every race."""
     fits = trend.riegel_fit(trend.bests(races(spark, d)))
-    return trend.equivalent_times(some.join(fits, "user_id")).select("k", "metric", "value", "low", "high", "confidence")
+    return trend.equivalent_times(races(spark, d).join(fits, "user_id")).select("k", "metric", "value", "low", "high", "confidence")
 
 
 @register(sql.query(_RACES, select="""SELECT k, user_id, round(cs + 1e-9, 4) AS critical_speed, round(dist - cs * t + 1e-9, 1) AS d_prime, round(p - w / t + 1e-9, 1) AS critical_power, round(w + 1e-9, 0) AS w_prime, round(0.95 * p + 1e-9, 1) AS ftp FROM (
