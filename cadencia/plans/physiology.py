@@ -267,7 +267,7 @@ weeks AS (SELECT *, CASE WHEN rec THEN 'recovery' ELSE phase0 END AS phase, CASE
 def requests(spark, d) -> DataFrame:
     k = F.col("c_custkey")
     pick = lambda *x: F.get(F.array(*(F.lit(v) for v in x)), (k % len(x)).cast("int"))
-    return table(spark, d, "customer").filter("c_custkey <= 200").select(
+    return table(spark, d, "customer").select(
         k.alias("id"), (4 + k % 14).cast("int").alias("weeks"), (1 + k % 9).cast("int").alias("sessions_per_week"), pick("beginner", "intermediate", "advanced").alias("level"), (k * 7 % 90).cast("double").alias("current_ctl"), (k % 4 != 0).alias("has_race"), pick("run", "bike", "swim").alias("primary_sport"),
         F.when(k % 5 == 0, F.array(F.lit("swim"), F.lit("bike"))).otherwise(F.array().cast("array<string>")).alias("secondary_sports"),
     )
@@ -275,7 +275,18 @@ def requests(spark, d) -> DataFrame:
 
 @register(sql.query(_PLAN, select="SELECT id, w AS week, phase, rec AS is_recovery, round(load + 1e-9, 1) AS target_load FROM weeks"))
 def plan_weeks(spark, d):
-    return po.weeks(requests(spark, d)).select("id", "week", "phase", "is_recovery", F.round(F.col("load") + 1e-9, 1).alias("target_load"))
+    """The rows of plan_weeks_all that the SQL covers."""
+    return weeks_of(requests(spark, d).filter("id <= 200"))
+
+
+@whole
+def plan_weeks_all(spark, d):
+    """For every customer."""
+    return weeks_of(requests(spark, d))
+
+
+def weeks_of(some) -> DataFrame:
+    return po.weeks(some).select("id", "week", "phase", "is_recovery", F.round(F.col("load") + 1e-9, 1).alias("target_load"))
 
 
 _SLOTS = """quality AS (SELECT *, CASE phase WHEN 'recovery' THEN [] WHEN 'taper' THEN [('threshold', 1.2)] WHEN 'base' THEN [('tempo', 1.4)] WHEN 'build' THEN [('threshold', 1.5), ('tempo', 1.3)] ELSE [('vo2max', 1.6), ('threshold', 1.4)] END AS q FROM weeks),
@@ -290,7 +301,18 @@ shares AS (SELECT *, load * t[2]::DOUBLE / sum(t[2]::DOUBLE) OVER (PARTITION BY
 @register(sql.query(_PLAN, _SLOTS, select="""SELECT id, w AS week, s AS slot, (w * 7 + CASE WHEN cnt >= 7 THEN s % 7 ELSE least(6, CAST(round_even(s * 7.0::DOUBLE / cnt, 0) AS INT)) END)::INT AS day_offset, t[1] AS intensity, t[3] AS is_key, round(sl + 1e-9, 1) AS target_load,
   greatest(20, CAST(round_even(60 * sl / ph, 0) AS INT)) AS duration_min, CASE WHEN id % 5 <> 0 OR s % 2 = 0 THEN sport WHEN (s // 2) % 2 = 0 THEN 'swim' ELSE 'bike' END AS sport FROM shares"""))
 def plan_sessions(spark, d):
-    return po.sessions(po.weeks(requests(spark, d))).select("id", "week", "slot", "day_offset", "intensity", "is_key", "target_load", "duration_min", "sport")
+    """The rows of plan_sessions_all that the SQL covers."""
+    return sessions_of(requests(spark, d).filter("id <= 200"))
+
+
+@whole
+def plan_sessions_all(spark, d):
+    """For every customer."""
+    return sessions_of(requests(spark, d))
+
+
+def sessions_of(some) -> DataFrame:
+    return po.sessions(po.weeks(some)).select("id", "week", "slot", "day_offset", "intensity", "is_key", "target_load", "duration_min", "sport")
 
 
 @register(sql.query(*sql.LOADS, select="SELECT user_id, date_trunc('week', day)::DATE AS week, round(greatest(0, least(2, sum(load) / (200 + any_value(user_id) % 200))) + 1e-9, 3) AS compliance FROM daily GROUP BY ALL"))

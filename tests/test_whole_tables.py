@@ -19,3 +19,15 @@ def test_equivalent_times_of_every_race(spark, sf_dir):
     races = {k for k, user in read(spark, sf_dir, "orders", "o_orderkey", "o_custkey") if user in fitted}
     assert {r[0] for r in rows} == races and len(rows) == 5 * len(races)
     assert {r for r in rows if r[0] % 20 == 0} == part and len(part) < len(rows)
+
+
+def test_plans_of_every_customer(spark, sf_dir):
+    sf_dir = sf_dir.replace("0.001", "0.01")  # the smallest has few customers
+    customers = {k for (k,) in read(spark, sf_dir, "customer", "c_custkey")}
+    assert max(customers) > 200
+    for name in ("plan_weeks", "plan_sessions"):
+        part, rows = both(spark, sf_dir, name)
+        assert {r[0] for r in rows} == customers
+        assert {r for r in rows if r[0] <= 200} == part
+    weeks = {(k, w) for k in customers for w in range(4 + k % 14)}
+    assert {r[:2] for r in rows} == weeks
