@@ -9,7 +9,7 @@ from ..operators import relational as rel
 from ..sources import provider as pv
 from ..sources import sinks, synthetic
 from ..sources.bridge import activities, profiles, table
-from . import sql
+from . import sql, whole
 from .ingest import payloads
 
 SPARK: dict = {}
@@ -96,10 +96,21 @@ def patched_profiles(spark, d):
 @register("""WITH s AS (SELECT o_custkey AS user_id, o_orderkey AS snapshot, o_orderdate AS t FROM orders) SELECT e.l_orderkey, e.l_linenumber, e.l_shipdate, max(s.snapshot) FILTER (s.t = m) AS snapshot FROM (
   SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, o_custkey, (SELECT max(t) FROM s WHERE s.user_id = o_custkey AND t <= l_shipdate) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0) e JOIN s ON s.user_id = e.o_custkey AND s.t = m GROUP BY ALL""")
 def twin_as_of(spark, d):
+    """The rows of twin_as_of_all that the SQL covers."""
+    return snapshots(spark, d, table(spark, d, "lineitem").filter("l_partkey % 10 = 0"))
+
+
+@whole
+def twin_as_of_all(spark, d):
+    """For every row of lineitem."""
+    return snapshots(spark, d, table(spark, d, "lineitem"))
+
+
+def snapshots(spark, d, items) -> DataFrame:
     """The latest snapshot of the athlete before each row: a union and the last one seen, no range join."""
     orders = table(spark, d, "orders")
     snaps = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("snapshot"))
-    rows = table(spark, d, "lineitem").filter("l_partkey % 10 = 0").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")), "l_orderkey").select("user_id", F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber")
+    rows = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")), "l_orderkey").select("user_id", F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber")
     both = snaps.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy("user_id").orderBy("at", "kind", "snapshot").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("seen", F.last("snapshot", ignorenulls=True).over(w)).filter("kind = 1 AND seen IS NOT NULL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as rel
 from ..sources.bridge import activities, table
-from . import sql
+from . import sql, whole
 from .training import daily
 
 SPARK: dict = {}
@@ -163,9 +163,16 @@ def leaderboard(spark, d):
 
 @register('WITH x AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_id % 3 = 0), i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS g FROM x) SELECT user_id, min(day) AS start, max(day) AS "end", count(*) AS length FROM i GROUP BY user_id, g')
 def streaks(spark, d):
+    """Of the activities that the SQL covers, a third; gaps are rarer in streaks_all."""
     return rel.streaks(activities(spark, d).filter("activity_id % 3 = 0").select("user_id", "day").distinct())
 
 
+@whole
+def streaks_all(spark, d):
+    """Of all activities."""
+    return rel.streaks(activities(spark, d).select("user_id", "day").distinct())
+
+
 _VERSIONS = "versions AS (SELECT * FROM (VALUES (1, TIMESTAMP '1994-01-01', TIMESTAMP '1997-03-15', 5000), (2, TIMESTAMP '1997-03-15', TIMESTAMP '2000-01-01', 6000), (3, TIMESTAMP '2000-01-01', NULL, 7000)) v(version, active_from, active_to, bps))"
 
 

@@ -1,5 +1,7 @@
 """Queries over whole tables, whose SQL covers a part of the rows."""
 
+from datetime import timedelta
+
 import __spark_entry__ as entry
 
 
@@ -31,3 +33,30 @@ def test_plans_of_every_customer(spark, sf_dir):
         assert {r for r in rows if r[0] <= 200} == part
     weeks = {(k, w) for k in customers for w in range(4 + k % 14)}
     assert {r[:2] for r in rows} == weeks
+
+
+def test_a_snapshot_for_every_row(spark, sf_dir):
+    part, rows = both(spark, sf_dir, "twin_as_of")
+    snaps, user = {}, {}
+    for k, u, at in read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"):
+        snaps.setdefault(u, []).append((at, k))
+        user[k] = u
+    want = set()
+    for k, n, at in read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate"):
+        before = [s for s in snaps.get(user.get(k), []) if s[0] <= at]
+        if before:
+            want.add((k, n, at, max(before)[1]))
+    assert rows == want and part < rows
+
+
+def test_streaks_of_all_activities(spark, sf_dir):
+    days = {}
+    for user, at in read(spark, sf_dir, "events", "user_id", "ts"):
+        days.setdefault(user, set()).add(at.date())
+    want = set()
+    for user, some in days.items():
+        for first in (x for x in some if x - timedelta(1) not in some):
+            n = next(k for k in range(1, len(some) + 1) if first + timedelta(k) not in some)
+            want.add((user, first, first + timedelta(n - 1), n))
+    rows = entry.queries()["streaks_all"](spark, sf_dir).select("user_id", "start", "end", "length").collect()
+    assert {tuple(r) for r in rows} == want
