@@ -153,8 +153,14 @@ def stream_blobs(spark, d):
 
 @register("""WITH s AS (SELECT event_id AS activity_id, unnest(range(0, least(900 + event_id * 37 % 6300, 3600), 60)) AS offset_s FROM events WHERE event_id % 50 = 0) SELECT activity_id, count(*) AS samples, CAST(max(offset_s) AS BIGINT) AS last_offset FROM s GROUP BY 1""")
 def synthetic_heart_rate(spark, d):
-    """One sample a minute of the first hour, for each fiftieth session."""
-    rows = activities(spark, d).filter("activity_id % 50 = 0").select("activity_id", F.col("duration_s").cast("double").alias("duration_s"), "avg_hr")
+    """The rows of synthetic_heart_rate_all that the SQL covers: each fiftieth session."""
+    return synthetic_heart_rate_all(spark, d).filter("activity_id % 50 = 0")
+
+
+@whole
+def synthetic_heart_rate_all(spark, d):
+    """One sample a minute of the first hour, for every session."""
+    rows = activities(spark, d).select("activity_id", F.col("duration_s").cast("double").alias("duration_s"), "avg_hr")
     return synthetic.heart_rate_stream(rows).groupBy("activity_id").agg(F.count("*").alias("samples"), F.max("offset_s").cast("bigint").alias("last_offset"))
 
 

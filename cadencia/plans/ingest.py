@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as fq
 from ..sources import provider as pv
 from ..sources import synthetic
+from . import whole
 from ..sources.bridge import activities, table
 
 SPARK: dict = {}
@@ -185,7 +186,14 @@ def local_dates(spark, d):
 p AS (SELECT *, CASE dayofweek(day) WHEN 1 THEN 'run' WHEN 2 THEN 'bike' WHEN 3 THEN 'swim' WHEN 4 THEN 'run' WHEN 6 THEN 'strength' WHEN 0 THEN 'bike' END AS sport, CASE dayofweek(day) WHEN 1 THEN 3600 WHEN 2 THEN 4500 WHEN 3 THEN 2700 WHEN 4 THEN 3000 WHEN 6 THEN 2400 WHEN 0 THEN 9000 END::DOUBLE AS base, [1, 1.08, 1.16, 0.55]::DOUBLE[] AS cyc FROM k)
 SELECT id, day, sport, round(base * cyc[1 + ((day - DATE '2026-01-01') // 7) % 4] * (1 + ((('0x' || substr(sha256('athlete-' || id || '|' || day || '|' || sport), 1, 16))::UBIGINT % 10000) / 10000.0::DOUBLE * 2 - 1) * 0.08::DOUBLE), 0) AS duration_s FROM p WHERE sport IS NOT NULL""")
 def synthetic_activities(spark, d):
-    athletes = table(spark, d, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("id"))
+    """The rows of synthetic_activities_all that the SQL covers."""
+    return synthetic_activities_all(spark, d).filter("id <= 50")
+
+
+@whole
+def synthetic_activities_all(spark, d):
+    """For every customer."""
+    athletes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     rows = synthetic.activities(athletes.withColumn("athlete", F.concat(F.lit("athlete-"), F.col("id").cast("string"))), "2026-01-01", 60)
     return rows.select("id", "day", "sport", F.round("duration_s", 0).alias("duration_s"))
 
@@ -194,7 +202,14 @@ def synthetic_activities(spark, d):
 p AS (SELECT *, day - DATE '2026-01-01' AS o, ('0x' || substr(sha256('athlete-' || id || '|' || day || '|wellness'), 1, 16))::UBIGINT % 10000 AS s FROM k)
 SELECT id, day, round(CASE WHEN o BETWEEN 40 AND 46 THEN 5.4 ELSE 7.6 END::DOUBLE * (1 + (s / 10000.0::DOUBLE * 2 - 1) * 0.06::DOUBLE), 4) AS sleep_h, round(CASE WHEN o BETWEEN 40 AND 46 THEN 44 ELSE 58 END::DOUBLE * (1 + ((s + 1) % 10000 / 10000.0::DOUBLE * 2 - 1) * 0.09::DOUBLE), 4) AS hrv FROM p WHERE o % 23 <> 0""")
 def synthetic_wellness(spark, d):
-    athletes = table(spark, d, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("id"))
+    """The rows of synthetic_wellness_all that the SQL covers."""
+    return synthetic_wellness_all(spark, d).filter("id <= 50")
+
+
+@whole
+def synthetic_wellness_all(spark, d):
+    """For every customer."""
+    athletes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     rows = synthetic.wellness(athletes.withColumn("athlete", F.concat(F.lit("athlete-"), F.col("id").cast("string"))), "2026-01-01", 60)
     return rows.select("id", "day", F.round("sleep_h", 4).alias("sleep_h"), F.round("hrv", 4).alias("hrv"))
 

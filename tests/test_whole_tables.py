@@ -60,3 +60,15 @@ def test_streaks_of_all_activities(spark, sf_dir):
             want.add((user, first, first + timedelta(n - 1), n))
     rows = entry.queries()["streaks_all"](spark, sf_dir).select("user_id", "start", "end", "length").collect()
     assert {tuple(r) for r in rows} == want
+
+
+def test_synthetic_rows_of_every_athlete_and_session(spark, sf_dir):
+    customers = {k for (k,) in read(spark, sf_dir, "customer", "c_custkey")}
+    for name in ("synthetic_activities", "synthetic_wellness"):
+        part, rows = both(spark, sf_dir, name)
+        assert {r[0] for r in rows} == customers and max(customers) > 50
+        assert {r for r in rows if r[0] <= 50} == part
+    part, rows = both(spark, sf_dir, "synthetic_heart_rate")
+    want = {(e, -(-min(900 + e * 37 % 6300, 3600) // 60)) for (e,) in read(spark, sf_dir, "events", "event_id")}
+    assert {r[:2] for r in rows} == want
+    assert {r for r in rows if r[0] % 50 == 0} == part
