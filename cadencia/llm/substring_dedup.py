@@ -3,7 +3,8 @@
 A window is `size` consecutive words of one document. Consecutive windows with the same least 9-word hash (their
 fingerprint, a winnowing) form a span. Equal windows have equal fingerprints, so only spans that share one can hold
 equal windows. The index is a list of immutable runs, each written sorted by fingerprint; a batch of documents becomes
-a new run, is merge-joined with the earlier ones, and runs are compacted into one when there are too many.
+a new run, and runs are compacted into one when there are too many. remove_repeats adds a whole table in a few runs and
+groups all of them by fingerprint at once; only known() merge-joins a new batch with the earlier runs.
 
 Spans whose fingerprint occurs once are unique. Of the others, spans with equal content are verified as a whole by a
 64-bit hash over all their windows; what remains (the edges of repeated passages) is verified window by window with
