@@ -8,9 +8,10 @@ A conversation's turns, in order, become marked segments; the segments of assist
 All marks begin with `<|`. In contents and roles a backslash is doubled and one is put inside each control string (the
 template's own and those of common templates), so that none of them occurs there and reading back is exact.
 
-Only DataFrame functions run. Rows of a conversation are ordered by turn (null first), then role, then content; null
-texts and roles are empty; a null conv_id is a conversation of its own; repeated rows are turns each; an empty table
-gives no rows; extra columns are ignored. Turns are put together in groups of 256 before a conversation's are, so that
+Only DataFrame functions run. Rows of a conversation are ordered by turn (null first), then role, then parts as they came
+in (for plain texts: the raw text), so ties change nothing but the order of equals; null texts and roles are empty; very
+long texts are formatted whole; a null conv_id is a conversation of its own; repeated rows are turns each; an empty table
+gives no rows; extra columns are ignored, also those named like a result. Turns are put together in groups of 256 before a conversation's are, so that
 no sort holds more rows than that.
 """
 
@@ -78,16 +79,12 @@ def text_parts(text: Column) -> Column:
 def format_chats(messages: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", loss_role: str = "assistant") -> DataFrame:
     """id, formatted, segments (text, loss: in order, joined they are formatted), attachments and expanded_tokens of each conversation."""
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    turns = messages.select(
-        F.col(id_col).alias("id"),
-        F.col(turn_col).cast("bigint").alias("turn"),
-        role.alias("role"),
-        flattened(F.col(parts_col)).alias("content"),
-        F.coalesce(attachments(F.col(turn_col).cast("bigint"), F.col(parts_col)), F.array().cast("array<struct<turn:bigint,place:int,kind:string,ref:string,tokens:bigint>>")).alias("found"),
-    )
-    groups = turns.groupBy("id", F.floor(F.col("turn") / GROUP).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content", "found"))).alias("turns"))
-    whole = groups.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "turns"))).alias("parts"))
-    whole = whole.select("id", F.flatten(F.transform("parts", lambda p: p.turns)).alias("turns"))
+    turns = messages.select(F.col(id_col).alias("id"), F.col(turn_col).cast("bigint").alias("turn"), role.alias("role"), F.col(parts_col).alias("parts"))
+    groups = turns.groupBy("id", F.floor(F.col("turn") / GROUP).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
+    whole = groups.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "turns"))).alias("groups"))
+    none = F.array().cast("array<struct<turn:bigint,place:int,kind:string,ref:string,tokens:bigint>>")
+    flat = lambda t: F.struct(t.role.alias("role"), flattened(t.parts).alias("content"), F.coalesce(attachments(t.turn, t.parts), none).alias("found"))
+    whole = whole.select("id", F.transform(F.flatten(F.transform("groups", lambda p: p.turns)), flat).alias("turns"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     marked = lambda t: F.array(segment(F.concat(F.lit(ROLE), escaped(t.role), F.lit(CONTENT)), F.lit(False)), segment(t.content, t.role == loss_role), segment(F.lit(END), F.lit(False)))
     whole = whole.select("id", F.flatten(F.transform("turns", marked)).alias("segments"), F.flatten(F.transform("turns", lambda t: t.found)).alias("attachments"))

@@ -29,13 +29,27 @@ def residue(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
+#: Folders with written tables of this session, the oldest first.
+WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one is made only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets a
+    temporary one; on a cluster, where executors couldn't see that, this raises an error."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/written-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{top.rstrip('/')}/written-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def drop_written(spark: SparkSession, kept: int = 0) -> None:
+    """Deletes the written tables of this session, but for the first `kept` folders: results that read them end with that."""
+    while len(WRITTEN) > kept:
+        removed(spark, WRITTEN.pop())
 
 
 #: Bytes of an Arrow batch, about: what a Python worker holds of the input.
@@ -101,30 +115,66 @@ def by_bucket(rows: DataFrame, keys: DataFrame, column: str, key: str | None = N
 
 
 class WordCache:
-    """Results per distinct word, found by the word's 64-bit hash; make(words) gives a row of numbers for each new one.
+    """Results per distinct word; make(words) gives a row of numbers for each new one. Words are found by hash and then
+    compared byte by byte, so that two words of one hash each get their own.
 
-    It holds at most `most` words and then starts anew, so its memory is bounded.
+    It starts anew beyond `most` words or 8 times as many blocks of bytes, so its memory is bounded.
     """
 
     def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 1 << 19) -> None:
-        self.make, self.most, self.keys, self.rows = make, most, np.zeros(0, U), None
+        self.make, self.most = make, most
+        self.rows = None
+        self._clear()
+
+    def _clear(self) -> None:
+        """No words: sorted hashes, and for each its row, its place in the blocks and its size in bytes."""
+        self.keys, self.place, self.blocks, self.used = np.zeros(0, U), np.zeros((0, 2), np.int64), np.zeros(1 << 12, U), 0
+
+    def _add(self, w: Words, at: np.ndarray, keys: np.ndarray, first: np.ndarray) -> None:
+        """Puts the words at first, whose hashes are keys, into the cache before the entries at."""
+        rows = self.make(texts_of(w, first))
+        begin, count = w.block[first], w.block[first + 1] - w.block[first]
+        ends = np.cumsum(count)
+        total = int(ends[-1])
+        while self.used + total > len(self.blocks):
+            self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
+        self.blocks[self.used : self.used + total] = w.blocks[np.repeat(begin - (ends - count), count) + np.arange(total)]
+        place = np.column_stack([self.used + ends - count, w.size[first]])
+        self.used += total
+        self.keys, self.place, self.rows = np.insert(self.keys, at, keys), np.insert(self.place, at, place, axis=0), np.insert(self.rows, at, rows, axis=0)
 
     def __call__(self, w: Words) -> np.ndarray:
         """A row for each word of w."""
         keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if self.rows is None or len(self.keys) > self.most:
-            self.keys, self.rows = np.zeros(0, U), self.make([])
+        if self.rows is None or len(self.keys) > self.most or self.used > 8 * self.most:
+            self._clear()
+            self.rows = self.make([])
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
         if not known.all():
-            new = ~known
-            data = w.data.tobytes()
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)]
-            rows = self.make(texts)
-            self.keys, self.rows = np.insert(self.keys, at[new], keys[new]), np.insert(self.rows, at[new], rows, axis=0)
+            self._add(w, at[~known], keys[~known], first[~known])
             at = np.searchsorted(self.keys, keys)
-        return self.rows[at][which]
+        entry = at[which]
+        count = np.diff(w.block)
+        other = self.place[entry, 1] != w.size
+        where = np.repeat(self.place[entry, 0] - w.block[:-1], count) + np.arange(len(w.blocks))
+        differs = self.blocks[np.minimum(where, self.used - 1)] != w.blocks
+        if differs.any():
+            other[np.repeat(np.arange(len(entry)), count)[differs]] = True
+        if not other.any():
+            return self.rows[entry]
+        out, some = self.rows[entry], np.flatnonzero(other)
+        texts = texts_of(w, some)
+        distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        out[some] = self.make(list(distinct))[[distinct[t] for t in texts]]
+        return out
+
+
+def texts_of(w: Words, some: np.ndarray) -> list[str]:
+    """The words at these places, as strings."""
+    data = memoryview(w.data)
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(w.start[some].tolist(), w.end[some].tolist(), strict=True)]
 
 
 def sums_by_text(values: np.ndarray, w: Words) -> np.ndarray:

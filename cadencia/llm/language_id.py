@@ -3,11 +3,14 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability in a language is the
 sum over all its segmentations into pieces, by the forward algorithm over its characters; a text's is the product over
 its words. The probabilities are fitted by expectation-maximisation (forward-backward) on the word counts of a bounded
-sample: for each language, the `per_lang` documents with the least hash of their id.
+sample: for each language, of the documents of at most `most_bytes` / 64 bytes, the `per_lang` with the least hash of their
+id, as many of them as have `most_bytes` bytes together. Each language is fitted in a task of its own; the driver gets
+the models, one number for each piece, 190 KB a language, which go to the tasks that predict.
 
 A text that is null or has no letter gets `und` and score 0; rows with a null language teach nothing; ties between
 languages go to the first in alphabetical order; repeated rows are predicted each; with nothing to learn from, every
-text gets `und`. Every language of the table is learned, and words of any length are scored whole. Extra columns are ignored.
+text gets `und`; an empty table gives no rows. Every language of the table is learned, and very long texts and words of any
+length are scored whole. Extra columns are ignored, also those named like a result (judge() keeps the others).
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .token_counts import MARK, tokenizer_path
 from .wordhash import U, hashed, mix
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Documents of each language that are fitted to.
-PER_LANG, ROUNDS = 600, 3
+#: Documents of each language that are fitted to, their bytes in all, and rounds of the fit.
+PER_LANG, MOST_BYTES, ROUNDS = 600, 16 << 20, 3
 #: Characters of the longest piece of VOCABULARY; a model has the length of its own vocabulary's.
 LONGEST_PIECE = 16
 #: Sums are scaled each so many characters; cells (words by characters, or by languages) that are worked on at once, about.
@@ -129,31 +132,43 @@ def word_scores(words: list[str], model: PieceModel) -> np.ndarray:
     return out
 
 
-def fit(counts: dict[str, Counter], vocabulary: str, rounds: int = ROUNDS) -> PieceModel:
-    """Piece probabilities by language from its word counts, by expectation-maximisation."""
-    langs = sorted(counts)
+def piece_keys(vocabulary: str) -> list[np.ndarray]:
+    """The sorted hashes of the pieces of each length."""
     texts = piece_texts(vocabulary)
-    by_size: list[dict[int, str]] = [{} for _ in range(max(map(len, texts), default=1))]
+    by_size: list[set[int]] = [set() for _ in range(max(map(len, texts), default=1))]
     for p in texts:
-        key = list(string_hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32), len(p)))[len(p) - 1]
-        by_size[len(p) - 1][int(key[0])] = p
-    keys = [np.array(sorted(x), U) for x in by_size]
+        by_size[len(p) - 1].add(int(list(string_hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32), len(p)))[len(p) - 1][0]))
+    return [np.array(sorted(x), U) for x in by_size]
+
+
+def fit_one(counts: Counter, keys: list[np.ndarray], rounds: int = ROUNDS) -> PieceModel:
+    """Piece probabilities of one language from its word counts, by expectation-maximisation."""
     flat = max(1, sum(map(len, keys)))
-    model = PieceModel(langs, keys, [np.full((len(k), len(langs)), -np.log(flat)) for k in keys], np.full(len(langs), -np.log(flat * 100.0)))
-    lattices = {}
-    for lang in langs:
-        words = [w for w in counts[lang] if any(c.isalpha() for c in w)]
-        lattices[lang] = (*lattice([MARK + w.lower() for w in words], keys), np.array([counts[lang][w] for w in words], float))
+    model = PieceModel([""], keys, [np.full((len(k), 1), -np.log(flat)) for k in keys], np.full(1, -np.log(flat * 100.0)))
+    words = sorted(w for w in counts if any(c.isalpha() for c in w))
+    found = (*lattice([MARK + w.lower() for w in words], keys), np.array([counts[w] for w in words], float))
     for _ in range(rounds):
-        expected = [np.full((len(k), len(langs)), 0.01) for k in keys]
-        for j, lang in enumerate(langs):
-            expectations(*lattices[lang], model, j, expected)
-        total = sum((e.sum(axis=0) for e in expected), np.zeros(len(langs)))
+        expected = [np.full((len(k), 1), 0.01) for k in keys]
+        expectations(*found, model, 0, expected)
+        total = sum((e.sum(axis=0) for e in expected), np.zeros(1))
         model.logp = [np.log(e / total) for e in expected]
         model.unknown = np.log(0.01 / total)
     return model
 
 
+def together(models: dict[str, PieceModel], keys: list[np.ndarray]) -> PieceModel:
+    """The models of single languages as one, in alphabetical order."""
+    langs = sorted(models)
+    logp = [np.concatenate([np.zeros((len(k), 0)), *(models[x].logp[i] for x in langs)], axis=1) for i, k in enumerate(keys)]
+    return PieceModel(langs, keys, logp, np.concatenate([np.zeros(0), *(models[x].unknown for x in langs)]))
+
+
+def fit(counts: dict[str, Counter], vocabulary: str, rounds: int = ROUNDS) -> PieceModel:
+    """Piece probabilities by language from its word counts."""
+    keys = piece_keys(vocabulary)
+    return together({lang: fit_one(c, keys, rounds) for lang, c in counts.items()}, keys)
+
+
 def expectations(starts: np.ndarray, pieces: list[np.ndarray], weight: np.ndarray, model: PieceModel, lang: int, expected: list[np.ndarray]) -> None:
     """Adds the expected count of each piece over all segmentations of the words, weighted by their counts. Sums are logs
     here, so that long words don't underflow; words of like length are handled together."""
@@ -193,15 +208,18 @@ def steps(piece: np.ndarray, logp: np.ndarray, unknown: float, size: int) -> tup
     return rows, np.where(piece >= 0, logp[np.maximum(piece, 0)] if len(logp) else unknown, unknown), piece
 
 
-def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, per_lang: int = PER_LANG) -> PieceModel:
-    """A model fitted to at most per_lang documents of each language."""
+def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, per_lang: int = PER_LANG, most_bytes: int = MOST_BYTES) -> PieceModel:
+    """A model fitted to at most per_lang documents, of at most most_bytes in all, of each language."""
     small_batches(docs.sparkSession)
-    rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    vocabulary = vocabulary or tokenizer_path(VOCABULARY)
+    rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.octet_length(F.col(text_col).cast("string")).cast("bigint").alias("size"))
+    langs = rows.groupBy("lang").agg(F.count_if(F.col("size") <= most_bytes // 64).alias("n"))
     # about twice as many as are wanted of each language go on, by hash, so that no language's rows meet in one task
     share = F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)
-    some = rows.join(F.broadcast(langs), "lang").filter(share * F.col("n") < 2 * per_lang + 50)
-    least = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= per_lang).select("id", "lang")
+    some = rows.filter(F.col("size") <= most_bytes // 64).join(F.broadcast(langs), "lang").filter(share * F.col("n") < 2 * per_lang + 50)
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    so_far = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    least = some.withColumns({"k": F.row_number().over(order), "so_far": so_far}).filter((F.col("k") <= per_lang) & (F.col("so_far") <= most_bytes)).select("id", "lang")
     # at most per_lang ids of each language
     found = docs.join(F.broadcast(least.select(F.col("id").alias(id_col), F.col("lang").alias("__lang")).distinct()), id_col)
 
@@ -217,11 +235,17 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: st
             rows = [(k, word, n) for k, c in counts.items() for word, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
-    counts: dict[str, Counter] = {}
+    def fitted(key: tuple, group: pa.Table) -> pa.Table:
+        counts = Counter(dict(zip(group.column("word").to_pylist(), group.column("n").to_pylist(), strict=True)))
+        model = fit_one(counts, piece_keys(vocabulary))
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "logp": pa.array([np.concatenate(model.logp)[:, 0].tobytes()], pa.binary()), "unknown": pa.array([float(model.unknown[0])])})
+
     words = mapped(found.select("__lang", F.col(text_col).cast("string")), word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    for r in words.toLocalIterator():
-        counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
-    return fit(counts, vocabulary or tokenizer_path(VOCABULARY))
+    keys, models = piece_keys(vocabulary), {}
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    for r in words.groupBy("lang").applyInArrow(fitted, "lang string, logp binary, unknown double").collect():
+        models[r["lang"]] = PieceModel([r["lang"]], keys, [x[:, None] for x in np.split(np.frombuffer(r["logp"]), ends)], np.array([r["unknown"]]))
+    return together(models, keys)
 
 
 def judge(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:

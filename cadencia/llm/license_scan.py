@@ -1,6 +1,7 @@
 """License scans (method: MinHash bands over overlapping text windows).
 
-Words are lower-cased runs of letters and digits. Templates are sorted by length into classes; for a class of templates
+Words are lower-cased runs of letters and digits. Templates, notices and whole licenses of any length from 5 words on, are
+sorted by length into classes that double up to the longest; for a class of templates
 of at most `s` words, windows of 2 s words begin at every s-th word, so that every place of s words lies wholly in one.
 The window's MinHash values, one for each of `bands` hash functions, are its band keys (bands of one row); a template is
 retrieved if it shares one. With similarity j the chance of that is 1 - (1 - j)^bands, and a window that holds 4/5 of a
@@ -11,7 +12,7 @@ shingles that are in the window must be at least 0.8.
 Windows without any template's shingle have containment 0 and aren't hashed, which drops nothing. All happens in one row,
 with DataFrame functions only, so nothing is shuffled.
 
-Null and empty texts, and those shorter than a shingle, match nothing; repeated rows are scanned each; ties in the best
+Null and empty texts, and those shorter than a shingle, match nothing; very long texts are scanned whole; repeated rows are scanned each; ties in the best
 containment go to the first template by id; an empty table gives no rows; columns named like a result are replaced.
 Shingles are compared by 64-bit hash.
 """
@@ -23,30 +24,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .quality_rules import let
 
 SIZE, CONTAINMENT, MISS = 5, 0.8, 1e-6
-#: Lengths, in words, of the classes of templates.
-CLASSES = (8, 16, 32, 64, 128)
+#: Words of the templates of the first class.
+FIRST_CLASS = 8
 RESULTS = ("licenses", "n_licenses", "containment")
 
-# Notices of public licenses, as their publishers word them.
-TEMPLATES: dict[str, str] = {
-    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Released under the MIT License.",
-    "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
@@ -79,33 +64,44 @@ def constants(docs: DataFrame, some: dict[str, Column]) -> dict[str, list]:
     return row.asDict()
 
 
-def _word_count(text: str) -> int:
+def longs(values: list[int]) -> Column:
+    """An array of constants, as one string that the optimizer folds, not a Column for each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def classes(longest: int) -> list[int]:
+    """Lengths, in words, of the classes of templates, up to the longest."""
+    out = [FIRST_CLASS]
+    while out[-1] < longest:
+        out.append(2 * out[-1])
+    return out
+
+
+def word_count(text: str) -> int:
     return len([w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() if w])
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """The rows with licenses (license, containment: the best of its windows, by license), n_licenses and containment (the best)."""
     templates = TEMPLATES if templates is None else templates
-    sized = {name: _word_count(text) for name, text in templates.items()}
-    if not all(SIZE <= n <= CLASSES[-1] for n in sized.values()):
-        raise ValueError(f"templates have {SIZE} to {CLASSES[-1]} words")
+    sized = {name: word_count(text) for name, text in templates.items()}
+    if not all(n >= SIZE for n in sized.values()):
+        raise ValueError(f"templates have {SIZE} words or more")
     kept = [c for c in docs.columns if c.lower() not in (*RESULTS, "__shingles", "__licenses")]
     rows = docs.select(*kept, words(F.col(text_col)).alias("__words"))
     rows = rows.select(*kept, shingles(F.col("__words")).alias("__shingles"))
     found: list[Column] = []
-    all_known: set[int] = set()
-    low = SIZE - 1
-    for s in CLASSES:
+    by_class, low = [], SIZE - 1
+    for s in classes(max(sized.values(), default=0)):
         some = sorted(name for name, n in sized.items() if low < n <= s)
-        n = max((bands(least_similarity(sized[x], s, containment=containment)) for x in some), default=0)
+        if some:
+            by_class.append((s, some, max(bands(least_similarity(sized[x], s, containment=containment)) for x in some)))
         low = s
-        if not some:
-            continue
-        own = constants(docs, {x: F.array_distinct(shingles(words(F.lit(templates[x])))) for x in some})
-        keys_of = constants(docs, {x: min_hash(F.lit(own[x]), n) for x in some})
-        every = F.lit(sorted({h for x in some for h in own[x]}))
-        all_known |= {h for x in some for h in own[x]}
-        known = F.array(*(F.struct(F.lit(x).alias("license"), F.lit(own[x]).alias("shingles"), F.lit(keys_of[x]).alias("keys")) for x in some))
+    own = constants(docs, {x: F.array_distinct(shingles(words(F.lit(templates[x])))) for x in sized}) if sized else {}
+    keys_of = constants(docs, {x: min_hash(longs(own[x]), n) for _, some, n in by_class for x in some}) if sized else {}
+    for s, some, n in by_class:
+        every = longs(sorted({h for x in some for h in own[x]}))
+        known = F.array(*(F.struct(F.lit(x).alias("license"), longs(own[x]).alias("shingles"), longs(keys_of[x]).alias("keys")) for x in some))
         width = 2 * s - SIZE + 1
 
         def scan(all_shingles: Column, s: int = s, n: int = n, every: Column = every, known: Column = known, width: int = width) -> Column:
@@ -118,7 +114,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
         found.append(scan(F.col("__shingles")))
     none = F.array().cast("array<struct<license:string,containment:double>>")
     if found:
-        found = [F.when(F.arrays_overlap("__shingles", F.lit(sorted(all_known))), F.concat(*found))]
+        found = [F.when(F.arrays_overlap("__shingles", longs(sorted({h for x in own.values() for h in x}))), F.concat(*found))]
     hits = F.filter(F.coalesce(*found, none), lambda m: m.containment >= containment - 1e-12)
     rows = rows.withColumn("__licenses", hits)
     names = F.array_sort(F.array_distinct(F.transform("__licenses", lambda m: m.license)))

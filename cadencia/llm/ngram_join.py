@@ -1,6 +1,8 @@
 """N-gram Jaccard join (method: a prefix-tree join).
 
-A document's set has its distinct n-word shingles. Documents with equal sets form a class with one representative.
+A document's set has its distinct n-word shingles. Documents with equal sets form a class with one representative. Sets
+are told apart by a 64-bit hash; a second one, independent of it, is compared for all of a class, and where it differs
+the sets are hashed anew with another key, so that classes rest on 128 bits.
 
 Pruning: of the sets' shingles with the lowest hashes (a fixed share of the hash range) it is counted how many another set
 has too. A set can miss at most (1-t) of its shingles in a set that it links with, so one with more unshared ones among
@@ -13,14 +15,19 @@ class), and sets that are linked share a key: nothing is lost. Sets that share a
 cell.
 
 Verification in a cell: shingles that only one set has can't be shared, and a set with too few others goes at once; the
-rest are put, by falling frequency in the cell (one order for all sets of the cell, ties by hash), into a trie whose
+rest are put, by falling frequency (one order for all sets of the trie, ties by hash), into a trie whose
 nodes hold runs of shingles. Each set walks the trie level by level: the overlap of a node is that of its parent plus
 its own, so common beginnings are counted once, and a subtree is left when even all that remains of both sets can't
-reach the threshold. A cell of more than `most_in_cell` sets is dealt into blocks, and each pair of blocks is a task of
-its own, so that no task holds an unbounded group. Tasks return a spanning forest of the links they find.
+reach the threshold. Tasks return a spanning forest of the links they find.
 
-Null texts and texts without words have an empty set and link with nothing; repeated rows and copies are of one class;
-an empty table gives no rows; extra columns are ignored. Sets are told apart by a 64-bit hash.
+A large cell is dealt into blocks, within size classes, as sets whose classes differ by more than one can't link; each
+pair of blocks of a class, or of two neighbouring ones, is a group of its own. A block holds at most about `most_shingles`
+shingles, which bounds a group's memory whatever the sets' sizes, and else enough sets for about COPIES blocks
+of a class, which bounds how often a set is copied until the memory bound is reached.
+
+Null texts and texts without words have an empty set and link with nothing; very long texts are sets like others, alone
+in their block if need be; repeated rows and copies are of one class; ties don't arise, as a component has the least id;
+an empty table gives no rows; extra columns are ignored, also those named like a result.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bucket, mapped, removed, saved, shared_folder, small_batches, trimmed
 from .components import components
@@ -40,7 +48,8 @@ from .wordhash import U, Words, hashed, mix
 SIZE = 4
 #: Similarity as a fraction: 85 / 100.
 SHARE, OF = 85, 100
-MOST_IN_CELL = 2048
+#: Shingles of a block of a large cell, at most about; sets of a block at least, if they fit; and blocks of a class that are aimed at.
+MOST_SHINGLES, LEAST_SETS, COPIES = 1 << 20, 256, 32
 #: Shingles whose hash is below this share of the range are counted for pruning.
 LOW = 0.3
 #: Shingles of a trie's node.
@@ -59,8 +68,8 @@ def shingle_sets(w: Words, size: int = SIZE) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def signature(s: np.ndarray) -> int:
-    return int(mix(mix(s).sum(keepdims=True) + U(len(s)))[0].view(np.int64)) if len(s) else 0
+def signature(s: np.ndarray, key: int) -> int:
+    return int(mix(mix(s ^ mix(np.array([key], U))).sum(keepdims=True) + U(len(s)))[0].view(np.int64)) if len(s) else 0
 
 
 def size_class(n: int, share: int = SHARE, of: int = OF) -> int:
@@ -96,20 +105,22 @@ def low_part(s: np.ndarray) -> np.ndarray:
     return s[: np.searchsorted(s, U(int(LOW * 2**64)))]
 
 
-def sets_of(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The rows with n_shingles, n_low (those with low hashes) and sig (0 for an empty set), the hash of the set."""
+def sets_of(docs: DataFrame, text_col: str, size: int, key: int) -> DataFrame:
+    """The rows with n_shingles, n_low (those with low hashes) and sig and sig2 (0 for an empty set), two hashes of the set."""
     columns, place = docs.columns, docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    long = T.LongType()
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, long) for c in ("n_shingles", "n_low", "sig", "sig2"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, w in hashed(batch.column(place), lower=True) for s in shingle_sets(w, size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([len(low_part(s)) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], names=[*columns, "n_shingles", "n_low", "sig"])
+            sets = ((len(s), len(low_part(s)), signature(s, 2 * key), signature(s, 2 * key + 1)) for _, w in hashed(batch.column(place), lower=True) for s in shingle_sets(w, size))
+            found = np.array(list(sets), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k].copy()) for k in range(4))], names=[*columns, "n_shingles", "n_low", "sig", "sig2"])
 
-    return mapped(docs, run, f"{fields}, n_shingles bigint, n_low bigint, sig bigint")
+    return mapped(docs, run, schema)
 
 
-def low_rows(texts: DataFrame, size: int) -> DataFrame:
+def low_rows(texts: DataFrame, size: int, key: int) -> DataFrame:
     """(shingle, sig, credit) of the low shingles. A shingle of several sets of a batch is settled for them at once: it leaves one row without credit, and the sets a row with their number of settled shingles, negative, under a shingle of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +129,7 @@ def low_rows(texts: DataFrame, size: int) -> DataFrame:
             low, sig = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for _, w in hashed(batch.column(0), lower=True):
                 for s in shingle_sets(w, size):
-                    own = signature(s)
+                    own = signature(s, 2 * key)
                     if len(s) and own not in seen:
                         seen.add(own)
                         low.append(low_part(s))
@@ -169,7 +180,7 @@ def credits_of(rows: DataFrame) -> DataFrame:
     return mapped(rows.repartition("shingle").sortWithinPartitions("shingle"), run, "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
 
 
-def key_rows(texts: DataFrame, size: int, share: int, of: int) -> DataFrame:
+def key_rows(texts: DataFrame, size: int, share: int, of: int, seed: int) -> DataFrame:
     """(key, sig) of all sets. Within a batch, sets that share a key are tied to the first of them by a key of their own, each once, so that a hot key has a row for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +189,7 @@ def key_rows(texts: DataFrame, size: int, share: int, of: int) -> DataFrame:
             key, sig = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for _, w in hashed(batch.column(0), lower=True):
                 for s in shingle_sets(w, size):
-                    own = signature(s)
+                    own = signature(s, 2 * seed)
                     if len(s) and own not in seen:
                         seen.add(own)
                         key.append(keys(s, share, of))
@@ -301,11 +312,11 @@ def links(sets: list[np.ndarray], probes: np.ndarray, share: int = SHARE, of: in
 
 
 def join_cells(rows: DataFrame, share: int, of: int) -> DataFrame:
-    """(sig, other, n_links): for each set of a cell with a link, one that it links with or reaches, and the documents that it links with."""
+    """(sig, other, n_links): for each set of a group with a link, one that it links with or reaches, and the documents that it links with."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        block, copies, sig = (group.column(c).to_numpy() for c in ("block", "copies", "sig"))
-        low, high = key[1].as_py(), key[2].as_py()
+        upper, copies, sig = (group.column(c).to_numpy() for c in ("upper", "copies", "sig"))
+        two = key[1].as_py() != key[2].as_py()
         sets = [np.frombuffer(x.as_py(), U) for x in group.column("shingles")]
         root, n = np.arange(len(sets)), np.zeros(len(sets), np.int64)
 
@@ -315,9 +326,9 @@ def join_cells(rows: DataFrame, share: int, of: int) -> DataFrame:
                 x = root[x]
             return x
 
-        for x, others in links(sets, block == low, share, of):
-            if low != high:  # links within a block are found where the block meets itself
-                others = others[block[others] == high]
+        for x, others in links(sets, ~upper, share, of):
+            if two:  # links within a block are found where the block meets itself
+                others = others[upper[others]]
                 np.add.at(n, others, copies[x])
             n[x] += copies[others].sum()
             for y in others.tolist():
@@ -332,36 +343,70 @@ def join_cells(rows: DataFrame, share: int, of: int) -> DataFrame:
     return rows.groupBy("cell", "low", "high").applyInArrow(run, "sig bigint, other bigint, n_links bigint")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, share: int = SHARE, of: int = OF, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
+def dealt(placed: DataFrame, folder: str, share: int, of: int, most_shingles: int, least_sets: int) -> DataFrame:
+    """(sig, copies, cell, low, high, upper) from (sig, copies, cell, n_shingles): a row for each group that a set is in.
+    low and high are blocks; equal, all sets of one meet; else those of low meet those of high, whose rows have upper."""
+    kind = F.floor(F.log("n_shingles") / F.log(F.lit(of / share)) + 1e-9).cast("int")
+    classes = placed.groupBy("cell", kind.alias("class")).agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
+    whole = classes.groupBy("cell").agg(F.sum("sets").alias("all_sets"), F.sum("total").alias("all_total"))
+    small = (F.col("all_sets") <= least_sets) & (F.col("all_total") <= most_shingles)
+    blocks = F.ceil(F.greatest(F.col("total") / most_shingles, F.least(F.col("sets") / least_sets, F.lit(COPIES)))).cast("int")
+    classes = classes.join(whole, "cell").select("cell", F.when(small, -1).otherwise(F.col("class")).alias("class"), F.when(small, 1).otherwise(blocks).alias("blocks")).distinct()
+    classes = saved(classes, folder, "classes")
+    next_up = classes.select("cell", (F.col("class") - 1).alias("class"), F.col("blocks").alias("blocks_up"))
+    next_down = classes.select("cell", (F.col("class") + 1).alias("class"), F.col("blocks").alias("blocks_down"))
+    plan = classes.join(next_up, ["cell", "class"], "left").join(next_down, ["cell", "class"], "left")
+    plan = saved(plan, folder, "plan")
+    sizes = plan.filter("class >= 0").select("cell").distinct().withColumn("large", F.lit(True))
+    rows = placed.join(sizes, "cell", "left").withColumn("class", F.when(F.col("large"), kind).otherwise(-1)).join(plan, ["cell", "class"])
+    block = F.pmod(F.xxhash64("sig"), "blocks").cast("int")
+    name = lambda c, b: F.concat_ws("-", c, b)
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    row = lambda low, high, upper: F.struct(low.alias("low"), high.alias("high"), upper.alias("upper"))
+    own = name(F.col("class"), F.col("block"))
+    same = F.transform(up_to(F.col("blocks")), lambda o: row(name(F.col("class"), F.least("block", o)), name(F.col("class"), F.greatest("block", o)), F.col("block") > o))
+    up = F.transform(up_to(F.coalesce("blocks_up", F.lit(0))), lambda o: row(own, name(F.col("class") + 1, o), F.lit(False)))
+    down = F.transform(up_to(F.coalesce("blocks_down", F.lit(0))), lambda o: row(name(F.col("class") - 1, o), own, F.lit(True)))
+    rows = rows.withColumn("block", block).withColumn("at", F.explode(F.concat(same, up, down)))
+    return rows.select("sig", "copies", "cell", "at.low", "at.high", "at.upper")
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, share: int = SHARE, of: int = OF, most_shingles: int = MOST_SHINGLES, least_sets: int = LEAST_SETS) -> DataFrame:
     """id, n_shingles, component_id (the least id reachable by links; the row's own without links) and n_links."""
-    small_batches(docs.sparkSession)
-    folder = shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = shared_folder(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    rows = saved(sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", size).select("id", "n_shingles", "n_low", "sig"), folder, "sets")
-    classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("n_low").alias("n_low"))
+    key = 0
+    while True:
+        rows = sets_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", size, key)
+        rows = saved(rows.select("id", "n_shingles", "n_low", "sig", "sig2"), folder, f"sets-{key}")
+        classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("n_low").alias("n_low"), F.min("sig2").alias("a"), F.max("sig2").alias("b"))
+        classes = saved(classes, folder, f"classes-{key}")
+        if classes.filter("a <> b").isEmpty():
+            break
+        key += 1
     unshared = F.col("n_low") - F.coalesce("n", F.lit(0))
-    left = classes.join(credits_of(low_rows(texts, size)), "sig", "left").filter(unshared * of <= F.col("n_shingles") * (of - share)).select("sig")
+    left = classes.join(credits_of(low_rows(texts, size, key)), "sig", "left").filter(unshared * of <= F.col("n_shingles") * (of - share)).select("sig")
     left = saved(left, folder, "left")
-    classes = classes.select("sig", "least", "copies")
-    cells = components(edges_of(key_rows(by_bucket(sets_of(texts, "text", size), left, "sig")[0].select("text"), size, share, of)), folder, "cells")
-    blocks = cells.groupBy("component").agg(F.ceil(F.count("*") / most_in_cell).cast("int").alias("blocks"))
-    placed = cells.join(blocks, "component").join(classes, cells["node"] == classes["sig"]).select("sig", "copies", F.col("component").alias("cell"), "blocks", F.pmod(F.xxhash64("sig"), "blocks").cast("int").alias("block"))
+    cells = components(edges_of(key_rows(by_bucket(sets_of(texts, "text", size, key), left, "sig")[0].select("text"), size, share, of, key)), folder, "cells")
+    placed = cells.join(classes, cells["node"] == classes["sig"]).select("sig", "copies", "n_shingles", F.col("component").alias("cell"))
     placed = saved(placed, folder, "placed")
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", "copies", "cell", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
-    found = saved(join_cells(dealt.join(members(texts, placed, size), "sig"), share, of), folder, "links")
-    for name in ("left", "placed"):
-        removed(docs.sparkSession, f"{folder}/{name}")
+    groups = saved(dealt(placed, folder, share, of, most_shingles, least_sets), folder, "groups")
+    found = saved(join_cells(groups.join(members(texts, placed, size, key), "sig"), share, of), folder, "links")
+    for name in ("left", "placed", "groups", "classes", "plan"):
+        removed(spark, f"{folder}/{name}")
     linked = components(found.select(F.col("sig").alias("a"), F.col("other").alias("b")), folder, "linked")
     totals = found.groupBy("sig").agg(F.sum("n_links").alias("n"))
-    of_class = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    of_class = classes.select("sig", "least", "copies").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = of_class.join(least, "component").join(totals, "sig", "left").select("sig", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.join(of_class, "sig", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def members(texts: DataFrame, placed: DataFrame, size: int) -> DataFrame:
+def members(texts: DataFrame, placed: DataFrame, size: int, key: int) -> DataFrame:
     """(sig, shingles): the sets of the cells, each once. Only texts whose bucket holds one of them are shuffled."""
-    near, _ = by_bucket(sets_of(texts, "text", size).filter("n_shingles > 0"), placed, "sig")
+    near, _ = by_bucket(sets_of(texts, "text", size, key).filter("n_shingles > 0"), placed, "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

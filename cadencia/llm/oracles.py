@@ -1,9 +1,11 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .license_scan import CLASSES, CONTAINMENT, SIZE, TEMPLATES
+from .license_scan import CONTAINMENT, SIZE, TEMPLATES, classes, word_count
 
 LICENSES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 
+CLASSES = classes(max(map(word_count, TEMPLATES.values())))
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": r"""
 WITH d AS (

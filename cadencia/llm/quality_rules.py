@@ -1,13 +1,17 @@
 """Quality rules (method: a short-circuit cascade, ordered by rejection per cost).
 
 Each rule is a Column that is true where a text fails. On a bounded sample each rule's share of failing texts and its
-time (the least of a few runs, less that of a trivial rule) are estimated; rules go in order of rejection per cost into
-one CASE, which Spark leaves at the first that holds, so that later rules are evaluated only for texts that pass the
-earlier ones. The order changes the time, never the verdict: a text is kept if no rule holds.
+marginal cost (the least time of a few runs, less that of a trivial rule) are estimated; all rules, the base ones too, go
+in order of rejection per cost into one CASE, which Spark leaves at the first that holds, so that later rules are
+evaluated only for texts that pass the earlier ones. The order changes the time, never the verdict: a text is kept if no
+rule holds.
 
-Only DataFrame functions run. Words are `[^\\x20\\x09-\\x0D]+`. A null text counts as empty, which has no words; texts are
-looked at whole; repeated rows are judged each; an empty table gives no rows; columns named like a result are replaced.
-Equal word triples are found by a 64-bit hash within one text.
+With `counts` the base counts are columns of the result and made for every row; a rule that needs only those costs a
+comparison, and that is what is estimated. Without `counts` each rule makes the counts that it needs behind the CASE.
+
+Only DataFrame functions run. Words are `[^\\x20\\x09-\\x0D]+`. A null text counts as empty, which has no words; texts,
+also very long ones, are looked at whole; repeated rows are judged each; rules of equal rejection per cost go by cost, then name; an empty
+table gives no rows; columns named like a result are replaced. Equal word triples are found by a 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -79,9 +83,17 @@ class Rule:
     base: bool = False
 
 
-def rules() -> list[Rule]:
-    """Over the columns that with_features() adds, and the text itself in __text."""
-    c, text, w = F.col, F.col("__text"), F.col("__words")
+def features() -> dict[str, Column]:
+    """The base counts, from the text in __text and its __words and __lines."""
+    text, w, found = F.col("__text"), F.col("__words"), F.col("__lines")
+    size = lambda x: F.size(x).cast("bigint")
+    return {"n_words": size(w), "word_chars": word_chars(w), "n_symbols": n_symbols(text), "n_lines": size(found), "n_dup_lines": n_dup_lines(found), "n_repeat_words": n_repeat_words(w)}
+
+
+def rules(counts: bool = True) -> list[Rule]:
+    """Over the columns that with_features() adds, the base counts among them or not, and the text itself in __text."""
+    text, w = F.col("__text"), F.col("__words")
+    c = F.col if counts else features().__getitem__
     return [
         Rule("few_words", c("n_words") < LEAST_WORDS, base=True),
         Rule("repeated_words", 100 * c("n_repeat_words") > MOST_REPEATED * c("n_words"), base=True),
@@ -93,12 +105,11 @@ def rules() -> list[Rule]:
     ]
 
 
-def with_features(docs: DataFrame, text_col: str) -> DataFrame:
-    kept = [c for c in docs.columns if c.lower() not in (*BASE, "base_failed", "kept", "__text", "__words", "__lines")]
+def with_features(docs: DataFrame, text_col: str, counts: bool = True) -> DataFrame:
+    kept = [c for c in docs.columns if c.lower() not in (*BASE, "base_failed", "kept", "rejected_by", "__text", "__words", "__lines")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*kept, text.alias("__text")).withColumns({"__words": words(F.col("__text")), "__lines": lines(F.col("__text"))})
-    w, found = F.col("__words"), F.col("__lines")
-    return rows.withColumns({"n_words": F.size(w).cast("bigint"), "word_chars": word_chars(w), "n_symbols": n_symbols(F.col("__text")), "n_lines": F.size(found).cast("bigint"), "n_dup_lines": n_dup_lines(found), "n_repeat_words": n_repeat_words(w)})
+    return rows.withColumns(features()) if counts else rows
 
 
 @dataclass(frozen=True)
@@ -108,11 +119,11 @@ class Estimate:
     cost: float
 
 
-def estimate(docs: DataFrame, some: list[Rule], text_col: str, sample_rows: int = SAMPLE_ROWS, runs: int = RUNS) -> list[Estimate]:
-    """The rules by falling rejection per cost, estimated on at most sample_rows rows."""
+def estimate(docs: DataFrame, some: list[Rule], text_col: str, sample_rows: int = SAMPLE_ROWS, runs: int = RUNS, counts: bool = True) -> list[Estimate]:
+    """The rules by falling rejection per marginal cost, estimated on at most sample_rows rows whose words, and counts, are made before."""
     total = docs.count()
-    texts = docs.select(text_col).sample(min(1.0, 1.5 * sample_rows / max(1, total)), seed=1).limit(sample_rows).coalesce(1).persist()
-    rows = with_features(texts, text_col)
+    texts = docs.select(text_col).sample(min(1.0, 1.5 * sample_rows / max(1, total)), seed=1).limit(sample_rows).coalesce(1)
+    rows = with_features(texts, text_col, counts).persist()
 
     def seconds(fails: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0
@@ -123,10 +134,11 @@ def estimate(docs: DataFrame, some: list[Rule], text_col: str, sample_rows: int
         return best, share
 
     try:
+        seconds(F.lit(False))  # fills the cache
         nothing, _ = seconds(F.length("__text") < 0)
         out = [Estimate(r, share, max(t - nothing, 1e-4)) for r in some for t, share in [seconds(r.fails)]]
     finally:
-        texts.unpersist()
+        rows.unpersist()
     return sorted(out, key=lambda e: (-e.rejects / e.cost, e.cost, e.rule.name))
 
 
@@ -138,15 +150,14 @@ def cascade(ordered: list[Rule]) -> Column:
     return out
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", some: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows with the base counts, base_failed, kept, and rejected_by: the first rule of the cascade that rejects the text."""
-    some = rules() if some is None else some
-    ordered = [e.rule for e in estimate(docs, some, text_col, sample_rows)]
-    rows = with_features(docs, text_col)
-    base = [r.fails for r in some if r.base]
-    failed = F.lit(False)
-    for f in base:
-        failed = failed | f
-    rest = [r for r in ordered if not r.base]
-    name = F.when(failed, "base").otherwise(cascade(rest)) if rest else F.when(failed, "base")
-    return rows.withColumns({"base_failed": failed, "rejected_by": name}).withColumn("kept", F.col("rejected_by").isNull()).drop("__text", "__words", "__lines")
+def apply_rules(docs: DataFrame, text_col: str = "text", some: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, counts: bool = True) -> DataFrame:
+    """The rows with kept, and rejected_by: the first rule of the cascade that rejects the text; with counts also the base counts and base_failed."""
+    some = rules(counts) if some is None else some
+    ordered = [e.rule for e in estimate(docs, some, text_col, sample_rows, counts=counts)]
+    rows = with_features(docs, text_col, counts).withColumn("rejected_by", cascade(ordered))
+    if counts:
+        failed = F.lit(False)
+        for r in some:
+            failed = (failed | F.coalesce(r.fails, F.lit(False))) if r.base else failed
+        rows = rows.withColumn("base_failed", failed)
+    return rows.withColumn("kept", F.col("rejected_by").isNull()).drop("__text", "__words", "__lines")

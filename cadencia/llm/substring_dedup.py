@@ -2,18 +2,26 @@
 
 A window is `size` consecutive words of one document. Consecutive windows with the same least 9-word hash (their
 fingerprint, a winnowing) form a span. Equal windows have equal fingerprints, so only spans that share one can hold
-equal windows. The index is a list of immutable runs, each written sorted by fingerprint; a batch of documents becomes
-a new run, and runs are compacted into one when there are too many. remove_repeats adds a whole table in a few runs and
-groups all of them by fingerprint at once; only known() merge-joins a new batch with the earlier runs.
-
-Spans whose fingerprint occurs once are unique. Of the others, spans with equal content are verified as a whole by a
-64-bit hash over all their windows; what remains (the edges of repeated passages) is verified window by window with
-128-bit hashes of the words. Counts are pre-aggregated before each shuffle, joins are equi-joins that Spark can split,
-and each distinct text and span is looked at once however many copies there are, so no hot passage meets in one task.
-
-Null and empty texts and texts shorter than a window lose nothing; a repeated row is another document with the same
-words, so both lose every word once they have a window; an empty table gives no rows; input columns named like a result
-are replaced, all others are kept. Texts are told apart by a 64-bit hash of their words and their number.
+equal windows. The index is a list of immutable runs: the distinct spans of a batch of documents with their number and
+one place, range-partitioned and sorted by fingerprint. Adding a batch
+
+1. writes its spans as a new run (if there are too many runs, these are compacted into one before),
+2. merge-joins its fingerprints with the earlier runs, so that only earlier spans that share one go on,
+3. verifies: spans are equal if the BLAKE2b digests (128 bits) of their words are; of the spans that share a fingerprint
+   only, the texts are read again and their windows compared by such digests,
+4. gives the places of all windows that are known to repeat now and weren't before: those of the batch, and those of
+   earlier documents whose window occurred once so far. What a late batch does to earlier documents is thus a list of
+   their places; remove_repeats collects the lists of all batches before it takes any word away, so the number of batches
+   doesn't change its result.
+
+Counts are pre-aggregated before each shuffle, runs are partitioned by fingerprint and content, joins are equi-joins of
+written tables that adaptive execution can split, and each distinct text and span is looked at once however many copies
+there are, so no hot passage meets in one task.
+
+Null and empty texts and texts shorter than a window lose nothing; very long texts are taken whole, in a slice of their
+own; a repeated row is another document with the same words, so both lose every word once they have a window (no tie is
+broken: no copy is kept); an empty table gives no rows; input columns named like a result are replaced, all others are
+kept. Texts are told apart by the BLAKE2b digests of their words.
 """
 
 from __future__ import annotations
@@ -27,24 +35,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_bucket, mapped, removed, saved, shared_folder, small_batches
-from .wordhash import U, Words, hashed, mix, sliding_min
+from .wordhash import STEP, U, Words, digests, hashed, mix, sliding_min
 
 SIZE, SHINGLE = 35, 9
-STEP, OTHER = U(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 #: Runs of an index before they are compacted, and batches that a whole table is added in.
-MOST_RUNS, BATCHES = 4, 2
-ENTRY = "fp bigint, content bigint, sig bigint, n_words bigint, start int, n int, inner boolean"
+MOST_RUNS, BATCHES = 2, 3
+#: A span: its fingerprint, the digest of its words, that of its text, its first word, its windows, whether a window recurs in it, and how often it was met.
+SPAN = "fp bigint, c1 bigint, c2 bigint, s1 bigint, s2 bigint, start int, n int, inner boolean, copies bigint"
+PLACES = "s1 bigint, s2 bigint, start int, n int"
 
 
-def signatures(w: Words) -> np.ndarray:
-    """A hash of the word sequence of each text."""
-    place = (np.arange(len(w.hash)) - w.first[w.text_of()]).astype(U)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(w.hash + place * STEP), dtype=U)])
-    return mix(total[w.first[1:]] - total[w.first[:-1]] + w.counts.astype(U)).view(np.int64)
+def signatures(w: Words, joined: tuple[bytes, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The digest of the word sequence of each text, as two numbers; of texts without words, that of nothing."""
+    text, begin, end = joined
+    begin, end = np.append(begin, 0), np.append(end, 0)
+    some = w.counts > 0
+    first, last = np.where(some, w.first[:-1], len(begin) - 1), np.where(some, w.first[1:] - 1, len(end) - 1)
+    return digests(text, begin[first], end[last])
 
 
 def spans(w: Words, size: int = SIZE, shingle: int = SHINGLE) -> dict[str, np.ndarray]:
-    """Runs of windows with one fingerprint: text, start (word in the text), n (windows), fp, content and inner (whether a window recurs within it)."""
+    """Runs of windows with one fingerprint: text, first (word), n (windows), fp and inner (whether a window recurs within it)."""
     hashes, whole = w.windows(size)
     at = np.flatnonzero(whole)
     if not len(at):
@@ -56,27 +67,42 @@ def spans(w: Words, size: int = SIZE, shingle: int = SHINGLE) -> dict[str, np.nd
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     span = np.cumsum(new) - 1
-    own = hashes[at]
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(own + (np.arange(len(at)) - first[span]).astype(U) * STEP), dtype=U)])
-    keyed = np.sort(mix(own + span.astype(U) * STEP))
+    keyed = mix(hashes[at] + span.astype(U) * STEP)
     inner = np.zeros(len(first), bool)
-    if (keyed[1:] == keyed[:-1]).any():
-        _, back, count = np.unique(mix(own + span.astype(U) * STEP), return_inverse=True, return_counts=True)
+    order = np.sort(keyed)
+    if (order[1:] == order[:-1]).any():
+        _, back, count = np.unique(keyed, return_inverse=True, return_counts=True)
         inner[span[count[back] > 1]] = True
-    return {"text": text[first], "start": at[first] - w.first[text[first]], "n": n, "fp": least[first], "content": mix(total[first + n] - total[first]), "inner": inner}
+    return {"text": text[first], "first": at[first], "n": n, "fp": least[first], "inner": inner}
 
 
 def entries(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The spans of all texts, as rows of the index."""
+    """The spans of all texts. Of texts that are equal in a batch of rows, the spans are given once, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[tuple] = []
             for _, w in hashed(batch.column(0)):
                 if x := spans(w, size):
-                    sig = signatures(w)
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (x["fp"].view(np.int64), x["content"].view(np.int64), sig[x["text"]], w.counts[x["text"]].astype(np.int64), x["start"].astype(np.int32), x["n"].astype(np.int32), x["inner"])], names=["fp", "content", "sig", "n_words", "start", "n", "inner"])
+                    joined = w.joined()
+                    sig = signatures(w, joined)
+                    _, one, which, count = np.unique(sig, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                    copies = np.zeros(len(sig), np.int64)
+                    copies[one] = count
+                    some = copies[x["text"]] > 0
+                    text, first, n = x["text"][some], x["first"][some], x["n"][some]
+                    content = digests(joined[0], joined[1][first], joined[2][first + n + size - 2])
+                    held.append((x["fp"][some].view(np.int64), content[:, 0], content[:, 1], sig[text, 0], sig[text, 1], (first - w.first[text]).astype(np.int32), n.astype(np.int32), x["inner"][some], copies[text]))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=pa.schema([("fp", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("inner", pa.bool_()), ("copies", pa.int64())]))
 
-    return mapped(docs.select(F.col(text_col).cast("string")), run, ENTRY)
+    return mapped(docs.select(F.col(text_col).cast("string")), run, SPAN)
+
+
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """Distinct spans, with the number of all and the least place."""
+    found = rows.groupBy("fp", "c1", "c2").agg(F.sum("copies").alias("copies"), F.min(F.struct("s1", "s2", "start", "n", "inner")).alias("one"))
+    return found.select("fp", "c1", "c2", "one.s1", "one.s2", "one.start", "one.n", "one.inner", "copies")
 
 
 class FingerprintIndex:
@@ -89,108 +115,115 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.made = 0
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, kinds: DataFrame) -> DataFrame:
         self.made += 1
-        saved(rows.sortWithinPartitions("fp"), self.folder, f"run-{self.made}")
+        # content is in the order too, so that a fingerprint of many different spans isn't one task's
+        run = saved(kinds.repartitionByRange("fp", "c1").sortWithinPartitions("fp", "c1", "c2"), self.folder, f"run-{self.made}")
         self.runs.append(f"{self.folder}/run-{self.made}")
-
-    def add(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Writes the batch as a new run; compacts when there are too many."""
-        self._write(entries(docs, text_col, self.size))
-        if len(self.runs) > self.most_runs:
-            self.compact()
-
-    def known(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """The batch's spans whose fingerprint the runs so far have, by a merge join."""
-        return entries(docs, text_col, self.size).join(self.rows().select("fp").distinct().hint("merge"), "fp", "left_semi")
+        return run
 
     def compact(self) -> None:
         """Merges all runs into one, in order of the fingerprints."""
-        old = self.runs
-        rows = self.rows()
+        old, rows = self.runs, self.rows()
         self.runs = []
-        self._write(rows.repartitionByRange("fp"))
+        self._write(kinds_of(rows))
         for path in old:
             removed(self.spark, path)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], ENTRY)
+        """The spans of all runs; a span that several batches have is in several."""
+        return self.spark.read.schema(SPAN).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], SPAN)
+
+    def known(self, batch: DataFrame) -> DataFrame:
+        """The runs' spans whose fingerprint the batch's spans have too: a merge join."""
+        return self.rows().join(batch.select("fp").distinct().hint("merge"), "fp")
 
     def drop(self) -> None:
+        """Deletes the runs. What add() has given stays readable no longer."""
         removed(self.spark, self.folder)
 
-    def repeats(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """(sig, n_words, start, n): runs of windows that occur elsewhere too. docs holds all texts that were added."""
-        rows = self.rows()
-        weight = F.sum(F.when(F.col("inner"), 2).otherwise(1))
-        # written, so that the join's sides are both dealt anew and a hot key can be split
-        shared = saved(rows.groupBy("fp").agg(weight.alias("w")).filter("w > 1").select("fp"), self.folder, "shared")
-        candidates = saved(rows.join(shared, "fp"), self.folder, "candidates")
-        kinds = candidates.groupBy("fp", "content").agg(F.count("*").alias("copies"), F.min(F.struct("sig", "n_words", "start", "n", "inner")).alias("one"))
-        kinds = saved(kinds, self.folder, "kinds")
-        whole = kinds.filter("copies > 1").select("fp", "content")
-        found = candidates.join(whole, ["fp", "content"]).select("sig", "n_words", "start", "n").distinct()
-        # windows of spans that are not alone with their fingerprint, one span for each content
-        several = kinds.groupBy("fp").agg(F.count("*").alias("k"), F.max(F.col("one.inner") & (F.col("copies") == 1)).alias("inner")).filter("k > 1 or inner").select("fp")
-        several = saved(several, self.folder, "several")
-        ones = kinds.join(several, "fp").select("one.sig", "one.n_words", "one.start", "one.n", "copies")
-        wanted = ones.groupBy("sig", "n_words").agg(F.collect_list(F.struct("start", "n", "copies")).alias("places"))
-        wanted = saved(wanted, self.folder, "wanted")
-        windows = saved(self._windows(distinct_texts(docs, text_col, wanted).join(wanted, ["sig", "n_words"])), self.folder, "windows")
-        twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("h1", "h2")
-        twice = saved(twice, self.folder, "twice")
-        edge = windows.filter("copies = 1").join(twice, ["h1", "h2"]).select("sig", "n_words", "start", F.lit(1).cast("int").alias("n"))
-        return found.unionByName(edge)
+    def add(self, docs: DataFrame, text_col: str = "text", texts: DataFrame | None = None, texts_col: str = "text") -> DataFrame:
+        """Adds a batch and gives (s1, s2, start, n): the runs of windows, of this batch or earlier ones, that are now known
+        to occur elsewhere too. `texts` has the texts of all batches so far, this one too; they are read by digest."""
+        at = f"batch-{self.made}"
+        names = ("found", "seen", "several", "wanted", "windows", "twice")
+        keep = lambda df, name: saved(df, self.folder, f"{at}-{name}")
+        if len(self.runs) >= self.most_runs:
+            self.compact()
+        found = keep(entries(docs, text_col, self.size), "found")
+        known = self.known(found).withColumn("old", F.col("copies"))
+        new = self._write(kinds_of(found))
+        both = known.unionByName(new.withColumn("old", F.lit(0).cast("bigint")))
+        # where both have a span, an earlier place is wanted: it is the one to give out if it was the only one
+        place = F.min(F.when(F.col("old") > 0, F.struct("s1", "s2", "start", "n")))
+        seen = both.groupBy("fp", "c1", "c2").agg(F.sum("copies").alias("copies"), F.sum("old").alias("old"), F.min(F.struct("s1", "s2", "start", "n", "inner")).alias("one"), place.alias("before"))
+        seen = keep(seen, "seen")
+        whole = seen.filter("copies > 1 and copies > old")
+        places = found.join(whole.select("fp", "c1", "c2"), ["fp", "c1", "c2"]).select("s1", "s2", "start", "n").distinct()
+        places = places.unionByName(whole.filter("old = 1").select("before.s1", "before.s2", "before.start", "before.n"))
+        # windows of spans that aren't alone with their fingerprint, one span for each content
+        several = keep(seen.groupBy("fp").agg(F.count("*").alias("k"), F.max(F.col("one.inner") & (F.col("copies") == 1)).alias("inner")).filter("k > 1 or inner").select("fp"), "several")
+        ones = seen.join(several, "fp").select("one.s1", "one.s2", "one.start", "one.n", "copies")
+        wanted = keep(ones.groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "n", "copies")).alias("places")), "wanted")
+        texts, texts_col = (docs, text_col) if texts is None else (texts, texts_col)
+        windows = keep(self._windows(distinct_texts(texts, texts_col, wanted).join(wanted, ["s1", "s2"])), "windows")
+        twice = keep(windows.groupBy("h1", "h2").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("h1", "h2"), "twice")
+        edge = windows.filter("copies = 1").join(twice, ["h1", "h2"]).select("s1", "s2", "start", F.lit(1).cast("int").alias("n"))
+        out = keep(places.unionByName(edge), "repeats")
+        for name in names:
+            removed(self.spark, f"{self.folder}/{at}-{name}")
+        return out
 
     def _windows(self, texts: DataFrame) -> DataFrame:
+        """The digests of the windows at the places of each text."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sig, places = batch.column(1).to_numpy(), batch.column(3)
-                n_words, out = batch.column(2).to_numpy(), []
+                sig, places, out = np.column_stack([batch.column(k).to_numpy() for k in (1, 2)]), batch.column(3), []
                 for at, w in hashed(batch.column(0)):
-                    one, other = w.windows(size)[0].view(np.int64), w.windows(size, OTHER)[0].view(np.int64)
+                    joined, begin, end = w.joined()
                     for i in range(len(w.first) - 1):
                         mine = places[at + i].values
                         start, n, copies = (mine.field(k).to_numpy() for k in range(3))
                         word = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        k = len(word)
-                        out.append((one[w.first[i] + word], other[w.first[i] + word], np.full(k, sig[at + i]), np.full(k, n_words[at + i]), word.astype(np.int32), np.minimum(np.repeat(copies, n), 2).astype(np.int64)))
+                        digest, k = digests(joined, begin[w.first[i] + word], end[w.first[i] + word + size - 1]), len(word)
+                        out.append((digest[:, 0], digest[:, 1], np.full(k, sig[at + i, 0]), np.full(k, sig[at + i, 1]), word.astype(np.int32), np.minimum(np.repeat(copies, n), 2).astype(np.int64)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h1", "h2", "sig", "n_words", "start", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h1", "h2", "s1", "s2", "start", "copies"])
 
-        return mapped(texts.select("text", "sig", "n_words", "places"), run, "h1 bigint, h2 bigint, sig bigint, n_words bigint, start int, copies bigint")
+        return mapped(texts.select("text", "s1", "s2", "places"), run, "h1 bigint, h2 bigint, s1 bigint, s2 bigint, start int, copies bigint")
 
 
 def signed(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with the hash of their word sequence, __sig, and n_words; columns of the operator's results are replaced."""
+    """The rows with the digest of their word sequence, __s1 and __s2, and n_words; columns of the operator's results are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
     place = kept.index(text_col)
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__sig", T.LongType()), T.StructField("n_words", T.LongType())])
+    long = T.LongType()
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__s1", long), T.StructField("__s2", long), T.StructField("n_words", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sig, n = np.zeros((batch.num_rows, 2), np.int64), np.zeros(batch.num_rows, np.int64)
             for at, w in hashed(batch.column(place)):
-                sig[at : at + len(w.counts)], n[at : at + len(w.counts)] = signatures(w), w.counts
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig), pa.array(n)], names=schema.names)
+                sig[at : at + len(w.counts)], n[at : at + len(w.counts)] = signatures(w, w.joined()), w.counts
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.array(n)], names=schema.names)
 
     return mapped(docs.select(*kept), run, schema)
 
 
 def distinct_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(sig, n_words, text) of the wanted texts, each once."""
-    some, _ = by_bucket(signed(docs.select(F.col(text_col).cast("string").alias("text")), "text"), wanted, "__sig", "sig")
-    return some.withColumnRenamed("__sig", "sig").dropDuplicates(["sig", "n_words"])
+    """(s1, s2, text) of the wanted texts, each once."""
+    some, _ = by_bucket(signed(docs.select(F.col(text_col).cast("string").alias("text")), "text"), wanted, "__s1", "s1")
+    return some.select("text", F.col("__s1").alias("s1"), F.col("__s2").alias("s2")).dropDuplicates(["s1", "s2"])
 
 
 def without(docs: DataFrame, repeats: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """The rows with n_words, n_removed and kept_text: the words left, joined by one space. Each word under a repeated window goes."""
-    by_text = repeats.groupBy(F.col("sig").alias("__sig"), "n_words").agg(F.collect_list(F.struct("start", "n")).alias("__places"))
+    by_text = repeats.groupBy(F.col("s1").alias("__s1"), F.col("s2").alias("__s2")).agg(F.collect_list(F.struct("start", "n")).alias("__places"))
     by_text = saved(by_text, shared_folder(docs.sparkSession), "repeats")
-    some, rest = by_bucket(signed(docs, text_col), by_text, "__sig", "__sig")
-    rows = some.join(by_text, ["__sig", "n_words"], "left").unionByName(rest, allowMissingColumns=True)
+    some, rest = by_bucket(signed(docs, text_col), by_text, "__s1", "__s1")
+    rows = some.join(by_text, ["__s1", "__s2"], "left").unionByName(rest, allowMissingColumns=True)
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
     place = kept.index(text_col)
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
@@ -219,8 +252,10 @@ def without(docs: DataFrame, repeats: DataFrame, text_col: str = "text", size: i
 def remove_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE, batches: int = BATCHES, most_runs: int = MOST_RUNS) -> DataFrame:
     """Adds the table to an index batch by batch and removes each word under a window that starts anywhere else too."""
     index = FingerprintIndex(docs.sparkSession, size=size, most_runs=most_runs)
+    batch, found = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(batches)), None
     for k in range(batches):
-        index.add(docs.filter(F.pmod(F.xxhash64(text_col), F.lit(batches)) == k), text_col)
-    kept = without(docs, index.repeats(docs, text_col), text_col, size)
+        places = index.add(docs.filter(batch == k), text_col, docs.filter(batch <= k), text_col)
+        found = places if found is None else found.unionByName(places)
+    kept = without(docs, found, text_col, size)
     index.drop()  # the places to remove are written apart
     return kept

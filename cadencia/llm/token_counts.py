@@ -5,12 +5,16 @@ for one. No piece of the vocabulary has that mark behind another character, so n
 encoder's leading mark stands for the blank. Equal parts are encoded once for each cache; the parts still unknown are
 encoded in batches of about equal bytes, and only their lengths are kept.
 
-Nulls count as empty texts and have 0 tokens; extra columns of the input are ignored; an empty table gives no rows.
+Whether a model allows that is checked when a worker loads it; with one that doesn't, whole texts are encoded.
+
+Nulls count as empty texts and have 0 tokens; very long texts are encoded by parts, whole; repeated rows are counted each;
+extra columns of the input are ignored, and those named like a result are too; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordCache, mapped, small_batches
-from .wordhash import Powers, Words, byte_values, separators, text_slices
+from .wordhash import Words, separators, text_slices
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -32,6 +36,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache
 def split_is_safe(model: str) -> bool:
     """Whether no piece of the vocabulary has the mark of a blank behind another character."""
     import sentencepiece
@@ -43,8 +48,7 @@ def split_is_safe(model: str) -> bool:
 class Parts(Words):
     """Words whose ends are the safe boundaries; other blanks belong to a part."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, powers: Powers, values: np.ndarray) -> None:
-        data = data.copy()
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         blank = data == 0x20
         n = len(data)
         prev, after = np.full(n, 0x20, np.uint8), np.full(n, 0x20, np.uint8)
@@ -57,20 +61,27 @@ class Parts(Words):
         ends[0xFF] = True  # no byte of UTF-8
         shown = data.copy()
         shown[cut] = 0xFF
-        super().__init__(shown, offsets, powers, values, ends)
+        super().__init__(shown, offsets, ends)
+
+
+class Texts(Words):
+    """Each whole text as one word, for models that may join pieces over any blank."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        super().__init__(data, offsets, np.zeros(256, bool))
 
 
 def batches_by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """The texts in order, in runs of about `most` bytes; a longer one is a run of its own."""
-    out, size = [], 0
-    for t in texts:
-        if out and size + len(t) > most:
-            yield out
-            out, size = [], 0
-        out.append(t)
-        size += len(t)
-    if out:
-        yield out
+    """The texts in order, in as few runs as hold about `most` bytes each, of about equal bytes; a longer one is a run of its own."""
+    ends = np.cumsum([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts])
+    if not len(ends):
+        return
+    runs = -(-int(ends[-1]) // most) or 1
+    # the run that the middle of a text falls into
+    run = (ends - np.diff(ends, prepend=0) / 2) * runs // max(1, int(ends[-1]))
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield texts[a:b]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, batch_bytes: int = BATCH_BYTES, cache_words: int = 1 << 19) -> DataFrame:
@@ -85,11 +96,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             # a lone part begins with the blank's mark, which the encoder puts there
             return np.array([len(ids) for some in batches_by_bytes(parts, batch_bytes) for ids in sp.encode(some, num_threads=1)], np.int64)
 
-        cache, powers, values = WordCache(lengths, cache_words), Powers(0xD6E8FEB86659FD93), byte_values()
+        cache, kind = WordCache(lengths, cache_words), Parts if split_is_safe(model or tokenizer_path(MODEL)) else Texts
         for batch in batches:
             n_tokens, n_bytes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for at, data, offsets in text_slices(batch.column(1)):
-                w = Parts(data, offsets, powers, values)
+                w = kind(data, offsets)
                 each = np.concatenate([[0], np.cumsum(cache(w))])
                 n_tokens[at : at + len(offsets) - 1] = each[w.first[1:]] - each[w.first[:-1]]
                 n_bytes[at : at + len(offsets) - 1] = np.diff(offsets)

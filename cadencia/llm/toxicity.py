@@ -4,10 +4,13 @@ A document is a bag of sentences. A sentence's probability is logistic in its di
 the weights of hashed parts (the word, its beginnings, its runs of 4 characters); the document's is
 their noisy-or, 1 - prod(1 - p). Only document labels are learned from: the loss is the log loss of the noisy-or, and
 its gradient reaches the sentences through it. Afterwards all sentences of probability 0.5 or more are the offending
-ones. Words of any length are scored whole. The weights are fitted on a bounded sample: the `most_docs` labelled documents with the least hash of their id.
+ones. Words of any length are scored whole. The weights are fitted on a bounded sample: of the labelled documents of at most
+`most_bytes` / 64 bytes, the `most_docs` with the least hash of their id, as many of them as have `most_bytes` bytes together.
 
-Null and empty texts have no sentence and score 0. Documents with a null label teach nothing; a document with several
-labels counts as toxic if any says so; with nothing to learn from, all scores are 0. Repeated rows are scored each.
+Null and empty texts have no sentence and score 0; very long texts are scored whole; an empty table gives no rows.
+Documents with a null label teach nothing; a document with several labels counts as toxic if any says so; with nothing to
+learn from, all scores are 0. Repeated rows are scored each; of sentences of one probability the first is the worst;
+extra columns of the input are ignored, also those named like a result.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, mapped, small_batches
-from .wordhash import Powers, U, Words, byte_values, mix, separators, text_slices
+from .wordhash import U, Words, mix, separators, text_slices
 
-#: Labelled documents that are fitted to, and the number of hashed weights.
-MOST_DOCS, BITS = 4000, 18
+#: Labelled documents that are fitted to, their bytes in all, and the number of hashed weights.
+MOST_DOCS, MOST_BYTES, BITS = 4000, 32 << 20, 18
 #: A word's weight is learned if so many of the sample's documents have it.
 LEAST_DOCS = 4
 START, ROUNDS, RATE, SHRINK = -9.0, 200, 0.5, 2e-5
@@ -70,9 +73,9 @@ def ascii_marks(data: np.ndarray) -> np.ndarray:
 
 def bags(texts: pa.Array) -> Iterator[tuple[int, Words, np.ndarray]]:
     """(index of the first text, Words, the texts' own bytes) for slices of texts."""
-    powers, values, ends = Powers(0xD6E8FEB86659FD93), byte_values(lower=True), separators(NOT_WORDS)
+    ends = separators(NOT_WORDS)
     for at, data, offsets in text_slices(texts):
-        yield at, Words(ascii_marks(data), offsets, powers, values, ends), data
+        yield at, Words(ascii_marks(data), offsets, ends, lower=True), data
 
 
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,10 +149,13 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, rounds: int = R
     return np.append(weights, bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = MOST_DOCS) -> np.ndarray | None:
-    """Weights fitted to at most most_docs labelled documents."""
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> np.ndarray | None:
+    """Weights fitted to at most most_docs labelled documents of at most most_bytes in all."""
     some = labels.filter(learnable & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label")).orderBy(F.xxhash64(id_col), id_col).limit(most_docs)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(some), id_col).orderBy(F.xxhash64(id_col), id_col, "__text").limit(most_docs).select("__text", "__label").toArrow()
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).withColumns({"__size": F.coalesce(F.octet_length("__text"), F.lit(0)).cast("bigint"), "__hash": F.xxhash64(id_col)})
+    rows = rows.filter(F.col("__size") <= most_bytes // 64).join(F.broadcast(some), id_col).orderBy("__hash", id_col, "__text").limit(most_docs)
+    so_far = F.sum("__size").over(Window.orderBy("__hash", id_col, "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__so_far", so_far).filter(F.col("__so_far") <= most_bytes).select("__text", "__label").toArrow()
     return train(rows.column(0), rows.column(1).to_numpy().astype(np.int64))
 
 

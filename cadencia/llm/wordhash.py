@@ -1,12 +1,17 @@
 """Vectorised hashing of words and word windows over Arrow string arrays.
 
 A text's words are its maximal runs of bytes outside 0x20 and 0x09-0x0D, which in UTF-8 are the runs of
-``[^\\x20\\x09-\\x0D]+``. A word's hash is a polynomial over a random table of byte values, taken from prefix sums
-modulo 2**64 and mixed; a window's hash is a polynomial over its words' hashes, so that no Python loop runs over words.
+``[^\\x20\\x09-\\x0D]+``. Words and windows have 64-bit hashes that are mixed at every step, so that no Python loop runs
+over words. Hashes find candidates; where a decision rests on equality, the words' own bytes are compared, or their
+BLAKE2b digests.
+
+Memory: a slice of texts takes about 5 bytes for each of its bytes and 150 for each of its words. A text of more than
+SLICE_BYTES is a slice of its own, so a worker holds about 30 times its longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +40,6 @@ def separators(extra: bytes = b"") -> np.ndarray:
     return out
 
 
-def byte_values(lower: bool = False) -> np.ndarray:
-    """A fixed random number for each byte; with lower, A-Z have those of a-z."""
-    out = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    if lower:
-        out[65:91] = out[97:123]
-    return out
-
-
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, its bytes, offsets of the texts in them) for runs of texts; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -63,29 +60,22 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, made as far as they are asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse, self.up, self.down = U(base), U(pow(base, -1, 1 << 64)), np.ones(1, U), np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
-            step = np.full(size, self.base, U)
-            step[0] = 1
-            self.up = np.cumprod(step, dtype=U)
-            step[1:] = self.inverse
-            self.down = np.cumprod(step, dtype=U)
-        return self.up, self.down
+#: Bytes of a word's block, and the key of the hash of words.
+BLOCK, KEY, STEP = 8, U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Words:
-    """Words of a slice of texts: hash, byte range, and for each text the range of its words."""
+    """Words of a slice of texts: hash, byte range, their bytes as blocks of 8, and for each text the range of its words.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, powers: Powers, values: np.ndarray, ends: np.ndarray) -> None:
+    A word's hash is the sum of its mixed blocks, each keyed with its place, mixed with the length. It is no polynomial,
+    so that no structure of the letters cancels out; words of one length of at most 8 bytes never share one.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, lower: bool = False) -> None:
         n = len(data)
-        inside = ~ends[data]
+        self.inside = inside = ~ends[data]
         new = np.zeros(n + 1, bool)
         new[offsets] = True
         before = np.empty(n, bool)
@@ -96,11 +86,22 @@ class Words:
         after[n - 1 :] = False
         after[:-1] = inside[1:]
         self.end = np.flatnonzero(inside & (~after | new[1:])) + 1
-        up, down = powers.to(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(values[data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U))
-        self.data, self.first = data, np.searchsorted(self.start, offsets)
+        self.data, self.first = LOWER[data] if lower else data, np.searchsorted(self.start, offsets)
+        self.size = self.end - self.start
+        per = (self.size + BLOCK - 1) // BLOCK
+        #: The first block of each word, and where the last one's end.
+        self.block = np.concatenate([[0], np.cumsum(per)])
+        place = np.arange(self.block[-1]) - np.repeat(self.block[:-1], per)
+        at = np.repeat(self.start, per) + BLOCK * place
+        padded = np.concatenate([self.data, np.zeros(BLOCK, np.uint8)])
+        self.blocks = np.ndarray((n + 1,), "<u8", buffer=padded, strides=(1,))[at]
+        spare = np.maximum(BLOCK - (np.repeat(self.end, per) - at), 0).astype(U)
+        self.blocks &= U(0xFFFFFFFFFFFFFFFF) >> (U(8) * spare)
+        keyed = mix(self.blocks ^ KEY)
+        later = place > 0
+        keyed[later] = mix(keyed[later] + place[later].astype(U) * STEP)
+        self.hash = np.add.reduceat(keyed, self.block[:-1]) if len(self.start) else np.zeros(0, U)
+        self.hash = mix(self.hash + self.size.astype(U) * KEY)
 
     @property
     def counts(self) -> np.ndarray:
@@ -110,7 +111,15 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def windows(self, size: int, base: int = 0x9E3779B97F4A7C15 | 1) -> tuple[np.ndarray, np.ndarray]:
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words of each text joined by one blank, and where each word begins and ends there."""
+        keep = self.inside.copy()
+        keep[self.end[self.end < len(keep)]] = True
+        out = np.where(self.inside, self.data, np.uint8(0x20))[keep]
+        begin = np.cumsum(keep)[self.start] - 1 if len(self.start) else np.zeros(0, np.int64)
+        return out.tobytes(), begin, begin + self.size
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows of size words that start at each word, and a mark where the window lies in one text."""
         n = len(self.hash)
         if n < size:
@@ -118,27 +127,32 @@ class Words:
         last = self.first[1:][self.text_of()]
         whole = np.arange(n) + size <= last
         out = np.zeros(n, U)
-        out[: n - size + 1] = mix(rolling(self.hash, size, base))
+        out[: n - size + 1] = rolling(self.hash, size)
         return out, whole
 
 
-def rolling(x: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial hashes of all runs of size values, by doubling."""
-    done, out, power, part, width, q = 0, None, None, x, 1, U(base)
-    bits = size
+def rolling(x: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size values, by doubling; each step mixes, so that they aren't polynomials."""
+    done, out, part, width, bits = 0, None, x, 1, size
     while bits:
         if bits & 1:
             if out is None:
                 out, done = part, width
             else:
                 m = len(x) - (done + width) + 1
-                out, done = out[:m] * q + part[done : done + m], done + width
+                out, done = mix(out[:m] * STEP + part[done : done + m]), done + width
         bits >>= 1
         if bits:
             m = len(x) - 2 * width + 1
-            part, width = part[:m] * q + part[width : width + m], 2 * width
-            q = U(int(q) * int(q) % (1 << 64))
-    return out
+            part, width = mix(part[:m] * STEP + part[width : width + m]), 2 * width
+    return mix(out)
+
+
+def digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b of each range of bytes, as two 64-bit numbers each."""
+    view, hashing = memoryview(text), hashlib.blake2b
+    found = b"".join([hashing(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -153,6 +167,6 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 def hashed(texts: pa.Array, lower: bool = False, extra: bytes = b"") -> Iterator[tuple[int, Words]]:
     """(index of the first text, Words) for slices of texts."""
-    powers, values, ends = Powers(0xD6E8FEB86659FD93), byte_values(lower), separators(extra)
+    ends = separators(extra)
     for at, data, offsets in text_slices(texts):
-        yield at, Words(data, offsets, powers, values, ends)
+        yield at, Words(data, offsets, ends, lower)

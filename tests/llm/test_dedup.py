@@ -47,7 +47,7 @@ def rows(spark, sf_dir):
 def test_rolling_hash_is_that_of_the_window():
     x = mix(np.arange(40, dtype=np.uint64))
     for size in (1, 2, 3, 5, 7, 31, 35):
-        r = rolling(np.tile(x, 3), size, 0x9E3779B97F4A7C15)
+        r = rolling(np.tile(x, 3), size)
         assert (r[:40] == r[40:80]).all() and len(set(r[:40].tolist())) == 40
     y = np.random.default_rng(1).integers(0, 1000, 100)
     for size in (1, 2, 3, 27):
@@ -60,35 +60,58 @@ def test_substring_dedup(spark, rows):
     assert got == brute.substring_dedup(rows)
 
 
-def test_substring_dedup_with_compaction(spark, rows):
-    some = rows[-140:]
-    got = remove_repeats(spark.createDataFrame(some, DOCS), batches=5, most_runs=2)
-    got = sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect())
-    assert got == brute.substring_dedup(some)
+def thue_morse(n, letters="ab"):
+    """Two words whose polynomial hashes modulo 2**64 are equal for every base."""
+    word = "".join(letters[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    one, other = thue_morse(1024)
+    rows = [(i, " ".join([*(f"w{k}" for k in range(17)), x, *(f"v{k}" for k in range(17))])) for i, x in enumerate((one, other))]
+    df = spark.createDataFrame(rows, DOCS)
+    assert [(r.doc_id, r.n_removed) for r in remove_repeats(df).orderBy("doc_id").collect()] == [(0, 0), (1, 0)]
+    assert [(r.doc_id, r.component_id) for r in ngram_join(df).orderBy("doc_id").collect()] == [(0, 0), (1, 1)]
+    # the same with words in place of letters
+    a, b = (" ".join(t) for t in thue_morse(2048, "xy"))
+    df = spark.createDataFrame([(0, a), (1, b)], DOCS)
+    assert sorted(tuple(r) for r in remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()) == brute.substring_dedup([(0, a), (1, b)])
 
 
-def test_index_knows_earlier_batches(spark):
+def test_index_gives_what_a_batch_makes_known(spark, rows):
     passage = " ".join(f"p{i}" for i in range(60))
     index = FingerprintIndex(spark)
     assert index.rows().count() == 0
-    index.add(spark.createDataFrame([(1, "a " + passage)], DOCS))
+    first = spark.createDataFrame([(1, "a " + passage)], DOCS)
+    assert index.add(first).count() == 0
     new = spark.createDataFrame([(2, passage), (3, " ".join(f"n{i}" for i in range(80)))], DOCS)
-    found = index.known(new)
-    n = found.count()
-    assert n > 0 and found.select("sig").distinct().count() == 1
-    index.add(new)
+    plan = index.known(new.select(F.xxhash64("text").alias("fp")))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan
+    places = index.add(new, texts=first.unionByName(new))
+    # the late batch's text, and the earlier one, which occurred once so far
+    assert places.select("s1", "s2").distinct().count() == 2
     assert len(index.runs) == 2
-    index.compact()
-    assert len(index.runs) == 1 and index.rows().count() > n
+    index.add(spark.createDataFrame([(4, "b c d")], DOCS), texts=first.unionByName(new))
+    assert len(index.runs) == 2  # the first two are one now
+    fps = [r.fp for r in spark.read.parquet(index.runs[0]).collect()]
+    assert fps == sorted(fps)
     index.drop()
 
 
+def test_substring_dedup_is_the_same_for_any_number_of_batches(spark, rows):
+    some = rows[-150:]
+    want = brute.substring_dedup(some)
+    for batches, most_runs in ((1, 1), (2, 4), (6, 1)):
+        got = remove_repeats(spark.createDataFrame(some, DOCS).withColumns({"n_words": F.lit("x"), "Kept_Text": F.lit(0)}), batches=batches, most_runs=most_runs)
+        assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()) == want
+
+
 def test_ngram_join(spark, rows):
     df = spark.createDataFrame(rows, DOCS).repartition(5).withColumn("sig", F.lit("extra")).withColumn("n_shingles", F.lit(1))
     want = brute.ngram_join(rows)
     assert sum(d != c for d, _, c, _ in want) > 100
-    for most in (2048, 32):
-        assert sorted(tuple(r) for r in ngram_join(df, most_in_cell=most).collect()) == want
+    for shingles, sets in ((1 << 20, 256), (1 << 20, 20), (2000, 1000)):
+        assert sorted(tuple(r) for r in ngram_join(df, most_shingles=shingles, least_sets=sets).collect()) == want
 
 
 def test_linked_sets_share_a_key():
