@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""From raw documents to packed sequences: each stage works on all that the one before it kept.
+
+All stages but the last keep the columns of documents, extra ones too, whatever their names. Null and empty texts go in the
+first stage; very long texts are taken whole; of equal rows one stays (the second stage), of linked documents the one with
+the least id; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,20 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadencia.llm import language_id
-from cadencia.llm.common import by_bucket, saved, shared_folder, table
-from cadencia.llm.decontamination import decontaminate
+from cadencia.llm.common import WRITTEN, by_bucket, drop_written, removed, saved, shared_folder, table
+from cadencia.llm.decontamination import RESULTS, decontaminate
 from cadencia.llm.ngram_join import ngram_join
 from cadencia.llm.packing import pack
 from cadencia.llm.substring_dedup import remove_repeats
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Input columns that are named like a column of an operator wait under this and their name.
+KEPT = "__kept_"
+
+
+def like(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with the columns of docs, whatever they are."""
+    return rows.select(*(F.col(KEPT + c if KEPT + c in rows.columns else c).alias(c) for c in docs.columns))
+
+
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs whose columns of these names wait."""
+    return docs.withColumnsRenamed({c: KEPT + c for c in docs.columns if c.lower() in names})
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null texts and texts without a letter go."""
+    """Documents in one of the corpus's languages: null texts and texts without a letter go, and those that no language has
+    at least half of the probability of."""
     model = language_id.learn(docs, F.lit(True))
-    verdict = language_id.judge(docs, model)
-    return verdict.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+    verdict = language_id.judge(aside(docs, "lang_pred", "score"), model)
+    known = verdict.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5))
+    return like(known, docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +49,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     # only rows whose id falls into the bucket of one of these are shuffled
     some, rest = by_bucket(docs, gone.unionByName(repeated), "doc_id")
-    return rest.unionByName(some.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    return like(rest.unionByName(some.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere too; those of which nothing is left go."""
-    rows = remove_repeats(docs)
+    rows = remove_repeats(aside(docs, "n_words", "n_removed", "kept_text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return rows.filter("kept_text <> ''").withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    rows = rows.filter("kept_text <> ''").withColumn("text", text)
+    return like(rows.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else rows, docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no near copy of a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_items = 0").select(*COLUMNS)
+    rows = decontaminate(aside(docs, *RESULTS), table(spark, sf_dir, "benchmark"))
+    return like(rows.filter("n_items = 0"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +81,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written and read again."""
+    """All stages over the table documents, each written and read again. A stage's input and what it wrote on the way are
+    deleted when its output is written; the last one's output stays, until common.drop_written()."""
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    before = len(WRITTEN)
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), folder, name)
+        drop_written(spark, before)
+        if last:
+            removed(spark, f"{folder}/{last}")
+        last = name
     return docs
 
 
