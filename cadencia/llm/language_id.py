@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,13 +133,19 @@ def word_scores(words: list[str], model: PieceModel) -> np.ndarray:
     return out
 
 
+@lru_cache
 def piece_keys(vocabulary: str) -> list[np.ndarray]:
-    """The sorted hashes of the pieces of each length."""
+    """The sorted hashes of the pieces of each length, as string_hashes() gives them."""
     texts = piece_texts(vocabulary)
-    by_size: list[set[int]] = [set() for _ in range(max(map(len, texts), default=1))]
-    for p in texts:
-        by_size[len(p) - 1].add(int(list(string_hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32), len(p)))[len(p) - 1][0]))
-    return [np.array(sorted(x), U) for x in by_size]
+    out = []
+    for size in range(1, max(map(len, texts), default=1) + 1):
+        some = [p for p in texts if len(p) == size]
+        codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), size).astype(U)
+        key = np.zeros(len(some), U)
+        for k in range(size):
+            key = key * BASE + codes[:, k] + U(1)
+        out.append(np.unique(mix(key)))
+    return out
 
 
 def fit_one(counts: Counter, keys: list[np.ndarray], rounds: int = ROUNDS) -> PieceModel:
@@ -237,11 +244,11 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", id_col: st
 
     def fitted(key: tuple, group: pa.Table) -> pa.Table:
         counts = Counter(dict(zip(group.column("word").to_pylist(), group.column("n").to_pylist(), strict=True)))
-        model = fit_one(counts, piece_keys(vocabulary))
+        model = fit_one(counts, keys)
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "logp": pa.array([np.concatenate(model.logp)[:, 0].tobytes()], pa.binary()), "unknown": pa.array([float(model.unknown[0])])})
 
-    words = mapped(found.select("__lang", F.col(text_col).cast("string")), word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     keys, models = piece_keys(vocabulary), {}
+    words = mapped(found.select("__lang", F.col(text_col).cast("string")), word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ends = np.cumsum([len(k) for k in keys])[:-1]
     for r in words.groupBy("lang").applyInArrow(fitted, "lang string, logp binary, unknown double").collect():
         models[r["lang"]] = PieceModel([r["lang"]], keys, [x[:, None] for x in np.split(np.frombuffer(r["logp"]), ends)], np.array([r["unknown"]]))
