@@ -29,9 +29,14 @@ def trimp(minutes: Column, hr: Column, hr_rest: Column, hr_max: Column, sex: Col
     return F.when(hr_max > hr_rest, F.when(minutes <= 0, 0.0).otherwise(minutes * reserve * factor))
 
 
+def not_negative(x: Column) -> Column:
+    """0 for what isn't positive: a session of no length has no load."""
+    return F.when(x <= 0, 0.0).otherwise(x)
+
+
 def power_load(seconds: Column, power: Column, threshold: Column) -> Column:
     intensity = present(power) / present(threshold)
-    return 100 * (seconds / 3600) * intensity * intensity
+    return 100 * (not_negative(seconds) / 3600) * intensity * intensity
 
 
 def hr_load(minutes: Column, hr: Column, hr_rest: Column, hr_max: Column, lthr: Column, sex: Column) -> Column:
@@ -41,14 +46,15 @@ def hr_load(minutes: Column, hr: Column, hr_rest: Column, hr_max: Column, lthr:
 
 def pace_load(seconds: Column, pace: Column, threshold: Column, power: int) -> Column:
     factor = present(threshold) / present(pace)
-    out = 100 * (seconds / 3600)
+    out = 100 * (not_negative(seconds) / 3600)
     for _ in range(power):
         out = out * factor
     return out
 
 
 def rpe_load(minutes: Column, rpe: Column) -> Column:
-    return minutes * present(rpe) * F.lit(RPE_CALIBRATION)
+    """An effort outside 1 to 10 scores nothing (null), unless the session has no length, which scores 0."""
+    return F.when((minutes <= 0) & present(rpe).isNotNull(), 0.0).when(rpe.between(1, 10), minutes * rpe * F.lit(RPE_CALIBRATION))
 
 
 def inputs(c=F.col) -> dict[str, Column]:
@@ -90,3 +96,14 @@ def training_load(c=F.col) -> Column:
             best = F.when(c("sport").isin(*sports), first(order)).otherwise(best)
     best = F.coalesce(best, F.struct(F.lit(0.0).alias("score"), F.lit("none").alias("source"), F.lit(CONFIDENCE["none"]).alias("confidence")))
     return best
+
+
+def load_detail(c=F.col) -> Column:
+    """What the score was made of, by name, over load_source and inputs(): empty without a source."""
+    entries = lambda **x: F.map_from_arrays(F.array(*(F.lit(k) for k in x)), F.array(*(v.cast("double") for v in x.values())))
+    r = lambda x, n: F.round(x + 1e-9, n)
+    power = entries(intensity_factor=r(c("in_power") / c("in_threshold"), 3), power_used_w=r(c("in_power"), 1))
+    swim, land = entries(pace_s_per_100m=r(100 / c("in_speed"), 1)), entries(pace_s_per_km=r(1000 / c("in_speed"), 1))
+    by_source = F.when(c("load_source") == "power", power).when(c("load_source") == "heart_rate", entries(avg_hr=r(c("avg_hr"), 1)))
+    by_source = by_source.when((c("load_source") == "pace") & (c("sport") == "swim"), swim).when(c("load_source") == "pace", land)
+    return by_source.when(c("load_source") == "rpe", entries(rpe=c("rpe"))).otherwise(F.create_map().cast("map<string,double>"))

@@ -66,10 +66,10 @@ def so_far(by: str = "user_id", order: str = "dayno") -> WindowSpec:
     return Window.partitionBy(by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
 
 
-def ewma(load: Column, since: Column, days_constant: float, window: WindowSpec, seed: Column | float = 0.0, rebase: float = 500.0) -> Column:
+def ewma(load: Column, since: Column, days_constant: float, window: WindowSpec, seed: Column | float = 0.0) -> Column:
     """Exponentially weighted mean over dense days, from sparse rows: days without a row add nothing.
 
-    since is the day's number from the athlete's first, 0 there. Beyond `rebase` time constants (57 years for 42 days,
+    since is the day's number from the athlete's first, 0 there. Beyond 500 time constants (57 years for 42 days,
     9 for 7) the running sum would overflow; carry the state into a new series before that.
     """
     alpha = 1 - F.exp(F.lit(-1.0 / days_constant))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clamp, half_even
-from ..params import LOAD_PER_HOUR, RAMP_CAP_PCT, RECOVERY_EVERY, RECOVERY_SHARE, STARTING_LOAD, TAPER_SHARES
+from ..params import LOAD_PER_HOUR, RAMP_CAP_PCT, RECOVERY_EVERY, RECOVERY_SHARE, SESSION_NOTES, STARTING_LOAD, TAPER_SHARES
 
 
 def lookup(values: dict, key: Column) -> Column:
@@ -58,7 +58,7 @@ def template(phase: Column, n: Column) -> Column:
 
 
 def sessions(plan: DataFrame) -> DataFrame:
-    """slot, day_offset, intensity, is_key, target_load, duration_min, sport and title of each session of each week."""
+    """slot, day_offset, intensity, is_key, target_load, duration_min, sport, title and notes of each session of each week."""
     rows = plan.withColumn("slots", template(F.col("phase"), F.col("sessions_per_week")))
     rows = rows.withColumn("shares", F.aggregate("slots", F.lit(0.0), lambda a, s: a + s.share)).withColumn("n", F.size("slots"))
     rows = rows.select("*", F.posexplode("slots").alias("slot", "s")).drop("slots")
@@ -70,7 +70,7 @@ def sessions(plan: DataFrame) -> DataFrame:
     rows = rows.withColumns({"day_offset": (c("week") * 7 + day).cast("int"), "intensity": c("s.intensity"), "is_key": c("s.is_key"), "target_load": F.round(load + 1e-9, 1), "duration_min": F.greatest(F.lit(20), half_even(60 * load / lookup(LOAD_PER_HOUR, c("s.intensity")))), "sport": sport})
     label = lookup({"recovery": "Recovery", "easy": "Aerobic", "tempo": "Tempo", "threshold": "Threshold", "vo2max": "VO2max intervals"}, c("intensity"))
     prefix = F.when(c("is_key") & (c("intensity") != "easy"), "Key ").when(c("is_key"), "Long ").otherwise("")
-    return rows.withColumn("title", F.concat(prefix, F.initcap("sport"), F.lit(" "), label)).drop("s")
+    return rows.withColumns({"title": F.concat(prefix, F.initcap("sport"), F.lit(" "), label), "notes": lookup(SESSION_NOTES, c("intensity"))}).drop("s")
 
 
 def weekly_compliance(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import NUDGE, clamp, day_number, days, present, smallest_worthwhile_change, z_score
-from ..params import BASELINE_DAYS, BASELINE_POINTS, DEEP_REM_TARGET, LEAST_DATA_QUALITY, LOAD_PER_HOUR, READINESS_BANDS, READINESS_TOP, READINESS_WEIGHTS, RISK_BANDS, RISK_CAP, RISK_COEFFICIENTS, RISK_INTERCEPT, RISK_TOP, SLEEP_NEED_MIN
+from ..params import BASELINE_DAYS, BASELINE_POINTS, DEEP_REM_TARGET, LEAST_DATA_QUALITY, LOAD_PER_HOUR, READINESS_BANDS, READINESS_TOP, READINESS_WEIGHTS, RISK_BANDS, RISK_CAP, RISK_COEFFICIENTS, RISK_INTERCEPT, RISK_TOP, SESSION_NOTES, SLEEP_NEED_MIN
 from .series import form_curve, workload
 
 
@@ -124,22 +126,28 @@ def risk_features(c=F.col) -> dict[str, Column]:
     }
 
 
-def injury_risk(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """risk, risk_band and risk_drivers; contributions are log-odds and add up to the logit with the intercept."""
+def logistic_risk(features: dict[str, Column]) -> Column:
+    """The probability that the shipped model gives: logistic in the features."""
+    return 1 / (1 + F.exp(-sum((F.lit(RISK_COEFFICIENTS[n]) * features[n] for n in RISK_COEFFICIENTS), F.lit(RISK_INTERCEPT))))
+
+
+def injury_risk(rows: DataFrame, profiles: DataFrame, predict: Callable[[dict[str, Column]], Column] = logistic_risk) -> DataFrame:
+    """risk, risk_band and risk_drivers; contributions are log-odds and add up to the logit with the intercept. Another model
+    takes the place of the shipped one as `predict`, from the features by name to a probability; the drivers stay its."""
     rows = rows.join(profiles.select("user_id", "age", "injuries_last_12m", "training_age_years"), "user_id", "left")
     rows = rows.withColumns({f"f_{n}": x for n, x in risk_features().items()})
     term = lambda n: F.lit(RISK_COEFFICIENTS[n]) * F.col(f"f_{n}")
-    logit = sum((term(n) for n in RISK_COEFFICIENTS), F.lit(RISK_INTERCEPT))
     driver = lambda i, n: F.when(F.abs(term(n)) > 1e-9, F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.round(F.col(f"f_{n}") + 1e-9, 3).alias("value"), F.round(term(n) + 1e-9, 4).alias("contribution")))
     drivers = F.filter(F.array(*(driver(i, n) for i, n in enumerate(RISK_COEFFICIENTS))), lambda d: d.isNotNull())
-    rows = rows.withColumn("p", 1 / (1 + F.exp(-logit)))
+    rows = rows.withColumn("p", predict({n: F.col(f"f_{n}") for n in RISK_COEFFICIENTS}))
     return rows.withColumns({"risk": F.round(F.col("p") + 1e-9, 4), "risk_band": band(F.col("p"), RISK_BANDS, RISK_TOP), "risk_drivers": by_size(drivers)})
 
 
 def adapt_today(rows: DataFrame) -> DataFrame:
-    """action, new_intensity, new_duration_min and new_load for each planned session, by the day's readiness and risk.
+    """action, new_intensity, new_duration_min, new_load, new_notes and reason for each planned session, by the day's readiness and risk.
 
-    Expects intensity (null: no session), is_key, duration_min, target_load, readiness, data_quality and risk_band.
+    Expects intensity (null: no session), is_key, duration_min, target_load, readiness, band, data_quality, drivers (the
+    largest first) and risk_band.
     """
     c = F.col
     per_hour = F.create_map(*(F.lit(x) for kv in LOAD_PER_HOUR.items() for x in kv))
@@ -153,8 +161,25 @@ def adapt_today(rows: DataFrame) -> DataFrame:
     minutes = lambda share: F.greatest(F.lit(20), F.floor(c("duration_min") * share).cast("int"))
     to = lambda name: F.round(c("target_load") * F.element_at(per_hour, name) / F.element_at(per_hour, c("intensity")) + 1e-9, 1)
     null = F.lit(None)
+    top = F.coalesce(F.get("drivers", F.lit(0)).getField("name"), lit("recovery data"))
+    score = F.concat(lit("Readiness "), F.bround("readiness", 0).cast("int").cast("string"), lit("/100"))
+    say = lambda *x: F.concat(*(lit(y) if isinstance(y, str) else y for y in x))
+    thin_or_green = F.when(thin, lit("Not enough recovery data this morning to adjust — keeping the plan as written.")).otherwise(say(score, " (", c("band"), "). Go as planned."))
+    reasons = (
+        lit("No session scheduled today."),
+        thin_or_green,
+        say(score, " (", c("band"), "), driven by ", top, ". Full rest today."),
+        say(score, ", limited by ", top, ". Aerobic only today; the quality work moves."),
+        say(score, ", held back by ", top, ". One intensity band down."),
+        say(score, ", held back by ", top, ". Volume trimmed 20%."),
+        lit("Recovery looks fine, but your recent load pattern is in the elevated-risk band — capping today's intensity as a precaution."),
+    )
+    note = lambda x: F.try_element_at(F.create_map(*(lit(y) for kv in SESSION_NOTES.items() for y in kv)), x)
+    same = note(c("intensity"))
     return rows.withColumns(
         {
+            "reason": case(*reasons),
+            "new_notes": case(null, same, null, note(lit("easy")), note(down), same, note(lit("tempo"))),
             "action": case(lit("rest"), lit("as_planned"), lit("rest"), lit("easy_only"), lit("reduce_intensity"), lit("reduce_volume"), lit("reduce_intensity")),
             "new_intensity": case(null, c("intensity"), null, lit("easy"), down, c("intensity"), lit("tempo")),
             "new_duration_min": case(null, c("duration_min"), null, minutes(0.6), minutes(0.9), minutes(0.8), minutes(0.85)),

@@ -43,11 +43,14 @@ def keep_faster(stored: DataFrame, new: DataFrame, keys: list[str], time: str =
 
 
 def as_of(rows: DataFrame, versions: DataFrame, at: str, start: str = "active_from", end: str = "active_to") -> DataFrame:
-    """Each row with the version in force at its time (an open end is null). Versions are few and never broadcast by hand: the
-    equi-join on the month keeps the range join from meeting every row with every version."""
+    """Each row with the version in force at its time (an open end is null). The equi-join on the month keeps the range join
+    from meeting every row with every version; a version has a row for each month that it shares with the rows' own times,
+    whatever its span."""
     month = lambda c: F.date_trunc("month", c)
-    last = F.coalesce(F.col(end), F.lit("2100-01-01").cast("timestamp_ntz"))
-    spans = versions.withColumn("__month", F.explode(F.sequence(month(F.col(start)), month(F.least(last, F.add_months(month(F.col(start)), 1200).cast("timestamp_ntz"))), F.expr("INTERVAL 1 MONTH"))))
+    span = rows.agg(F.min(at).alias("__low"), F.max(at).alias("__high"))  # one row
+    first, last = month(F.greatest(start, "__low")), month(F.least(F.coalesce(end, "__high"), "__high"))
+    months = F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
+    spans = versions.crossJoin(F.broadcast(span)).withColumn("__month", F.explode(months)).drop("__low", "__high")
     joined = rows.withColumn("__month", month(F.col(at))).join(spans, "__month")
     return joined.filter((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("__month")
 
@@ -82,17 +85,26 @@ def streaks(days: DataFrame, by: str = "user_id", day: str = "day") -> DataFrame
     return days.withColumn("island", island).groupBy(by, "island").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.count("*").alias("length")).drop("island")
 
 
+#: Parts that rows of one score are numbered in.
+TIE_PARTS = 1024
+
+
 def ranked(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """rank (ties share it) and place (ties in order of a unique column), highest score first.
+    """rank (ties share it) and place (ties in order of a unique whole number), highest score first.
 
-    A group's rows are never sorted together: scores are counted first, the counts are summed from the top, and only equal
-    scores are numbered among themselves.
+    A group's rows are never sorted together, nor those of one score: they are counted by score and by part of the tie
+    column's range, the counts are summed from the top, and only rows of one part are numbered among themselves.
     """
-    counts = rows.groupBy(group, score).agg(F.count("*").alias("__n"))
-    above = F.sum("__n").over(Window.partitionBy(group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(group, score, F.coalesce(above, F.lit(0)).alias("__above"))
-    order = F.row_number().over(Window.partitionBy(group, score).orderBy(tie))
-    return rows.join(counts, [group, score]).withColumns({"rank": F.col("__above") + 1, "place": F.col("__above") + order}).drop("__above")
+    low, high = rows.agg(F.min(tie), F.max(tie)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // TIE_PARTS))
+    rows = rows.withColumn("__part", F.floor((F.col(tie) - F.lit(low or 0)) / width))
+    counts = rows.groupBy(group, score, "__part").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(group).orderBy(F.desc(score), "__part")
+    above = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(group, score, "__part", above.alias("__above"))
+    counts = counts.withColumn("rank", F.min("__above").over(Window.partitionBy(group, score)) + 1)
+    order = F.row_number().over(Window.partitionBy(group, score, "__part").orderBy(tie))
+    return rows.join(counts, [group, score, "__part"]).withColumn("place", F.col("__above") + order).drop("__above", "__part")
 
 
 def fifo_expiry(earned: DataFrame, spent: DataFrame, by: str = "user_id") -> DataFrame:
@@ -122,13 +134,123 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-SENSITIVE = "password|passwd|secret|token|authorization|cookie|api_key|apikey|private_key|credential|session|otp|mfa|ssn|iban|card|cvv|refresh|access_key|signature|email|phone|address|birth|latitude|longitude"
-ALLOWED = ("token_count", "session_count", "card_count")
+# A key that holds one of these is sensitive, but for the keys that are allowed.
+SENSITIVE = (
+    "password",
+    "secret",
+    "token",
+    "authorization",
+    "api_key",
+    "apikey",
+    "private_key",
+    "credential",
+    "signature",
+    "cookie",
+    "session_id",
+    "email",
+    "phone",
+    "display_name",
+    "full_name",
+    "first_name",
+    "last_name",
+    "birth_date",
+    "date_of_birth",
+    "address",
+    "hrv",
+    "rmssd",
+    "resting_hr",
+    "heart_rate",
+    "avg_hr",
+    "max_hr",
+    "sleep",
+    "weight",
+    "height",
+    "vo2max",
+    "readiness",
+    "injury",
+    "iban",
+    "account_number",
+    "destination_ref",
+)
+ALLOWED = ("token_family_id", "refresh_token_id", "user_id", "subject_user_id", "actor_user_id")
+REDACTED = "[redacted]"
+
+
+def sensitive(key: Column) -> Column:
+    return F.lower(key).rlike("|".join(SENSITIVE)) & ~F.lower(key).isin(*ALLOWED)
 
 
 def redacted(record: Column) -> Column:
     """A map with the values of sensitive keys hidden."""
-    return F.transform_values(record, lambda k, v: F.when(F.lower(k).rlike(SENSITIVE) & ~F.lower(k).isin(*ALLOWED), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(record, lambda k, v: F.when(sensitive(k), F.lit(REDACTED)).otherwise(v))
+
+
+def redacted_nested(records: Column) -> Column:
+    """A map of maps: under a sensitive key all is hidden, else the inner sensitive values are, and the rest is given as JSON."""
+    return F.transform_values(records, lambda k, v: F.when(sensitive(k), F.lit(REDACTED)).otherwise(F.to_json(redacted(v))))
+
+
+# The work queues and what is in them.
+QUEUES = {
+    "pending_events": "processed_at IS NULL",
+    "active_plans": "plan_status = 'active'",
+    "unscored_activities": "trust_score IS NULL AND deleted_at IS NULL",
+    "unverified_streams": "checksum_verified_at IS NULL",
+    "pending_review": "resolution = 'pending_review'",
+    "due_renewals": "subscription_status IN ('trialing', 'active', 'grace')",
+    "unverified_webhooks": "signature_verified = false",
+    "live_entitlements": "revoked_at IS NULL AND expires_at IS NOT NULL",
+    "open_fraud": "resolved_at IS NULL",
+}
+
+
+def queues_of(names: tuple[str, ...] = tuple(QUEUES)) -> Column:
+    """The work queues that a row is in, by the columns that they look at."""
+    return F.filter(F.array(*(F.when(F.expr(QUEUES[name]), name) for name in names)), lambda x: x.isNotNull())
+
+
+def outcomes(predictions: DataFrame, actuals: DataFrame, key: str = "prediction_id") -> DataFrame:
+    """Predictions that came due, with absolute_error, percent_error and whether the actual value is within the interval."""
+    c = F.col
+    rows = predictions.join(actuals.select(key, "actual_value"), key)
+    off = F.abs(c("actual_value") - c("predicted_value"))
+    return rows.withColumns({"absolute_error": off, "percent_error": 100 * off / F.nullif(F.abs(c("actual_value")), F.lit(0)), "within_interval": c("actual_value").between(c("interval_low"), c("interval_high"))})
+
+
+def accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean absolute error and the share of actual values within the interval."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("absolute_error"), 2).alias("mae"), F.round(F.avg(F.col("within_interval").cast("int")), 6).alias("coverage"))
+
+
+def uuid7(milliseconds: Column, counter: Column, random: Column) -> Column:
+    """A time-ordered id: 48 bits of time, version 7, 12 bits of a counter, the variant and 62 bits of a random number."""
+    part = lambda x, digits: F.lpad(F.lower(F.hex(x)), digits, "0")
+    ver = F.lit(0x7000).bitwiseOR(counter.cast("int").bitwiseAND(F.lit(0xFFF)))
+    tail = part(random.bitwiseAND(F.lit((1 << 62) - 1)), 16)
+    variant = F.lower(F.hex(F.shiftrightunsigned(random.bitwiseAND(F.lit((1 << 62) - 1)), 60) + 8))
+    digits = F.concat(part(milliseconds, 12), part(ver, 4), variant, F.substring(tail, 2, 15))
+    return F.concat_ws("-", F.substring(digits, 1, 8), F.substring(digits, 9, 4), F.substring(digits, 13, 4), F.substring(digits, 17, 4), F.substring(digits, 21, 12))
+
+
+def uuid7_milliseconds(uuid: Column) -> Column:
+    """The time of a time-ordered id; null for ids of other versions, whose first bits mean nothing."""
+    digits = F.replace(uuid, F.lit("-"), F.lit(""))
+    return F.when(F.substring(digits, 13, 1) == "7", F.conv(F.substring(digits, 1, 12), 16, 10).cast("bigint"))
+
+
+def shared_devices(rows: DataFrame, device: str = "device_id", user: str = "user_id") -> DataFrame:
+    """Devices that more than one account uses."""
+    return rows.groupBy(device).agg(F.countDistinct(user).alias("users"), F.count("*").alias("sessions")).filter("users > 1")
+
+
+def challenge_metrics(sessions: DataFrame) -> DataFrame:
+    """Distance, duration, elevation, load, session_count, the best single session by three of them, and the longest streak of days."""
+    totals = sessions.groupBy("user_id").agg(
+        F.sum("distance_m").alias("distance"), F.sum("duration_s").alias("duration"), F.sum("elevation_gain_m").alias("elevation"), F.sum("load").alias("load"), F.count("*").alias("session_count"),
+        F.max("duration_s").alias("best_duration"), F.max("distance_m").alias("best_distance"), F.max("load").alias("best_load"),
+    )
+    longest = streaks(sessions.select("user_id", "day").distinct()).groupBy("user_id").agg(F.max("length").alias("streak_days"))
+    return totals.join(longest, "user_id")
 
 
 def suppressed(groups: DataFrame, users: str, least: int) -> DataFrame:

@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.load import inputs, scores, training_load
+from ..functions.load import inputs, load_detail, scores, training_load
 from ..functions.stats import day_number, days, ewma, ewma_fold, so_far
 from ..params import ATL_DAYS, CTL_DAYS
 
 
 def score_sessions(activities: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Activities with load, load_source and load_confidence. Sessions without a profile are scored by what needs none."""
+    """Activities with load, load_source, load_confidence and load_detail. Sessions without a profile are scored by what needs none."""
     joined = activities.join(profiles, "user_id", "left")
     rows = joined.withColumns(inputs())
     rows = rows.withColumns({f"load_{name}": x for name, x in scores().items()}).withColumn("best", training_load())
-    return rows.withColumns({"load": F.round(F.col("best.score") + 1e-9, 2), "load_source": F.col("best.source"), "load_confidence": F.col("best.confidence")}).drop("best", *inputs())
+    return rows.withColumns({"load": F.round(F.col("best.score") + 1e-9, 2), "load_source": F.col("best.source"), "load_confidence": F.col("best.confidence")}).withColumn("load_detail", load_detail()).drop("best", *inputs())
 
 
 def daily_load(sessions: DataFrame) -> DataFrame:

@@ -65,3 +65,12 @@ RECOVERY_EVERY, RECOVERY_SHARE, TAPER_SHARES = 4, 0.65, (0.70, 0.50)
 # Activity quality.
 MAX_SPEED_M_S = {"run": 12.5, "bike": 33.0, "swim": 3.0, "multisport": 33.0, "strength": 5.0, "other": 33.0}
 MAX_POWER_W, MAX_DURATION_S, HOLD_BELOW = 2500.0, 108000.0, 0.6
+
+# What is said with a session of each intensity.
+SESSION_NOTES = {
+    "recovery": "Zone 1 only. If it does not feel easy, stop.",
+    "easy": "Zone 2. Conversational the whole way.",
+    "tempo": "Zone 3 blocks with full warm-up and cool-down.",
+    "threshold": "Zone 4 intervals. Hold the pace, do not race it.",
+    "vo2max": "Zone 5 intervals with full recoveries between reps.",
+}

@@ -1,9 +1 @@
 """Named queries over the driver's tables, each with the SQL that another engine can check it by."""
-
-#: Queries over whole tables whose SQL covers a part of the rows only, under the name without _all.
-WHOLE: dict = {}
-
-
-def whole(f):
-    WHOLE[f.__name__] = f
-    return f

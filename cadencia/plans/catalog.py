@@ -9,7 +9,7 @@ from ..operators import relational as rel
 from ..sources import provider as pv
 from ..sources import sinks, synthetic
 from ..sources.bridge import activities, profiles, table
-from . import sql, whole
+from . import sql
 from .ingest import payloads
 
 SPARK: dict = {}
@@ -58,16 +58,6 @@ def tokens_with_users(spark, d):
     return table(spark, d, "events").filter("event_id % 5 <> 0").join(users, "user_id").select(F.col("event_id").alias("token_id"), "name")
 
 
-@register("""WITH g AS (SELECT n_nationkey AS group_id, n_nationkey % 3 = 0 AS public, n_nationkey * 5 AS owner FROM nation)
-SELECT group_id FROM g WHERE public OR owner = 7 OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = group_id AND c_custkey = 7)""")
-def visible_groups(spark, d):
-    """Groups that are public, one's own, or that one is a member of."""
-    groups = table(spark, d, "nation").select(F.col("n_nationkey").alias("group_id"), (F.col("n_nationkey") % 3 == 0).alias("public"), (F.col("n_nationkey") * 5).alias("owner"))
-    mine = table(spark, d, "customer").filter("c_custkey = 7").select(F.col("c_nationkey").alias("group_id")).distinct()
-    joined = groups.join(mine.withColumn("member", F.lit(True)), "group_id", "left")
-    return joined.filter(F.col("public") | (F.col("owner") == 7) | F.coalesce("member", F.lit(False))).select("group_id")
-
-
 @register("""SELECT DISTINCT b.c_custkey AS user_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey = 7""")
 def fellow_members(spark, d):
     """A semi join of the members with themselves."""
@@ -93,15 +83,9 @@ def patched_profiles(spark, d):
     return rel.upsert(stored, patch, ["user_id"]).filter("hr_max > hr_rest")
 
 
-@register("""WITH s AS (SELECT o_custkey AS user_id, o_orderkey AS snapshot, o_orderdate AS t FROM orders) SELECT e.l_orderkey, e.l_linenumber, e.l_shipdate, max(s.snapshot) FILTER (s.t = m) AS snapshot FROM (
-  SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, o_custkey, (SELECT max(t) FROM s WHERE s.user_id = o_custkey AND t <= l_shipdate) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0) e JOIN s ON s.user_id = e.o_custkey AND s.t = m GROUP BY ALL""")
+@register("""WITH s AS (SELECT o_custkey AS user_id, o_orderdate AS t, max(o_orderkey) AS snapshot FROM orders GROUP BY ALL), e AS (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, o_custkey AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, l_shipdate, snapshot FROM e ASOF JOIN s ON e.user_id = s.user_id AND e.l_shipdate >= s.t""")
 def twin_as_of(spark, d):
-    """The rows of twin_as_of_all that the SQL covers."""
-    return snapshots(spark, d, table(spark, d, "lineitem").filter("l_partkey % 10 = 0"))
-
-
-@whole
-def twin_as_of_all(spark, d):
     """For every row of lineitem."""
     return snapshots(spark, d, table(spark, d, "lineitem"))
 
@@ -139,26 +123,20 @@ def pending_imports(spark, d):
     return sinks.pending_chunks(chunks.select("user_id", "chunk"), chunks, ["user_id", "chunk"])
 
 
-@register("""SELECT provider_activity_id, channels, samples, checksum FROM (SELECT 's' || event_id AS provider_activity_id, CASE WHEN event_id % 2 = 0 THEN 'heartRate,power' ELSE 'heartRate' END AS channels, 2 AS samples,
-  sha256('[{"heartRate":' || (100 + event_id % 60) || '},{' || CASE WHEN event_id % 2 = 0 THEN '"power":' || (event_id % 300) || ',' ELSE '' END || '"heartRate":' || (101 + event_id % 60) || '}]') AS checksum FROM events WHERE event_id % 5 <> 0)""")
+@register("""SELECT 's' || event_id AS provider_activity_id, CASE WHEN event_id % 2 = 0 THEN 'heartRate,power' ELSE 'heartRate' END AS channels, 2 AS samples,
+  sha256('[{"heartRate":' || (100 + event_id % 60) || '},{"heartRate":' || (101 + event_id % 60) || '.5' || CASE WHEN event_id % 2 = 0 THEN ',"power":' || (event_id % 300) ELSE '' END || '}]') AS checksum FROM events WHERE event_id % 5 <> 0""")
 def stream_blobs(spark, d):
-    """Channels, number and digest of the samples of an activity; bodies without samples have none."""
+    """Channels, number and digest of the samples of an activity, whatever the order of their keys and the blanks between; bodies without samples have none."""
     e = F.col("event_id")
     s = lambda c: c.cast("string")
-    samples = F.concat(F.lit('[{"heartRate":'), s(100 + e % 60), F.lit("},{"), F.when(e % 2 == 0, F.concat(F.lit('"power":'), s(e % 300), F.lit(","))).otherwise(""), F.lit('"heartRate":'), s(101 + e % 60), F.lit("}]"))
+    samples = F.concat(F.lit('[ {"heartRate" : '), s(100 + e % 60), F.lit("},{"), F.when(e % 2 == 0, F.concat(F.lit('"power": '), s(e % 300), F.lit(", "))).otherwise(""), F.lit('"heartRate":'), s(101 + e % 60), F.lit(".50}]"))
     body = F.concat(F.lit('{"summaryId":"s'), s(e), F.lit('","samples":'), F.when(e % 5 == 0, "[]").otherwise(samples), F.lit("}"))
     rows = table(spark, d, "events").select(F.concat(F.lit("s"), s(e)).alias("provider_activity_id"), pv.stream_blob(body).alias("blob")).filter("blob IS NOT NULL")
     return rows.select("provider_activity_id", F.array_join("blob.channels", ",").alias("channels"), "blob.samples", "blob.checksum")
 
 
-@register("""WITH s AS (SELECT event_id AS activity_id, unnest(range(0, least(900 + event_id * 37 % 6300, 3600), 60)) AS offset_s FROM events WHERE event_id % 50 = 0) SELECT activity_id, count(*) AS samples, CAST(max(offset_s) AS BIGINT) AS last_offset FROM s GROUP BY 1""")
+@register("""WITH s AS (SELECT event_id AS activity_id, unnest(range(0, least(900 + event_id * 37 % 6300, 3600), 60)) AS offset_s FROM events) SELECT activity_id, count(*) AS samples, CAST(max(offset_s) AS BIGINT) AS last_offset FROM s GROUP BY 1""")
 def synthetic_heart_rate(spark, d):
-    """The rows of synthetic_heart_rate_all that the SQL covers: each fiftieth session."""
-    return synthetic_heart_rate_all(spark, d).filter("activity_id % 50 = 0")
-
-
-@whole
-def synthetic_heart_rate_all(spark, d):
     """One sample a minute of the first hour, for every session."""
     rows = activities(spark, d).select("activity_id", F.col("duration_s").cast("double").alias("duration_s"), "avg_hr")
     return synthetic.heart_rate_stream(rows).groupBy("activity_id").agg(F.count("*").alias("samples"), F.max("offset_s").cast("bigint").alias("last_offset"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import quality as fq
 from ..sources import provider as pv
 from ..sources import synthetic
-from . import whole
 from ..sources.bridge import activities, table
 
 SPARK: dict = {}
@@ -26,6 +25,10 @@ def register(oracle: str | None = None):
 
 
 def payloads(spark, d) -> DataFrame:
+    return payloads_of(table(spark, d, "events"))
+
+
+def payloads_of(events: DataFrame) -> DataFrame:
     """An event as a body: some lack an id, a duration or a valid form, some are lists, some begin before 2000."""
     e = F.col("event_id")
     s = lambda c: c.cast("string")
@@ -39,7 +42,7 @@ def payloads(spark, d) -> DataFrame:
         F.lit(',"maxHeartRateInBeatsPerMinute":'), s(91 + e % 197), F.lit(',"averagePowerInWatts":'), s(e * 7 % 3200), F.lit(',"manual":'), F.when(e % 13 == 0, "true").otherwise("false"), F.lit(',"laps":['), lap(3), F.lit(","), lap(7), F.lit("]}"),
     )
     body = F.when(e % 23 == 0, F.substring(body, 1, 30)).when(e % 29 == 0, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    return table(spark, d, "events").select("event_id", "ts", body.alias("body"))
+    return events.select("event_id", "ts", body.alias("body"))
 
 
 _NORMAL = """n AS (SELECT event_id AS e, user_id, 1700000000 + event_id * 977 AS epoch, (20 + event_id * 37 % 5000)::DOUBLE AS dur, nullif(event_id * 53 % 30000, 0)::DOUBLE AS dist,
@@ -53,7 +56,10 @@ laps AS (SELECT e, hr AS x, l.i AS lap_index, CASE WHEN l.d > 0 THEN l.d END::DO
 
 @register(f"WITH {_NORMAL} SELECT 's' || e AS provider_activity_id, 'u' || user_id AS provider_user_id, sport, epoch AS start_epoch, (make_timestamp((epoch + off) * 1000000))::DATE AS local_date, dur AS duration_s, dist AS distance_m, round(coalesce(dist / dur, NULL), 6) AS avg_speed_m_s, hr AS avg_hr, mx AS max_hr, pw AS avg_power_w, manual AS is_manual FROM n")
 def normalise_activity(spark, d):
-    rows = pv.normalise_activities(payloads(spark, d))
+    return normalised(pv.normalise_activities(payloads(spark, d)))
+
+
+def normalised(rows: DataFrame) -> DataFrame:
     return rows.select("provider_activity_id", "provider_user_id", "sport", F.unix_seconds("start_time").alias("start_epoch"), "local_date", "duration_s", "distance_m", F.round("avg_speed_m_s", 6).alias("avg_speed_m_s"), "avg_hr", "max_hr", "avg_power_w", "is_manual")
 
 
@@ -182,32 +188,20 @@ def local_dates(spark, d):
     return rows.select("event_id", pv.local_date(F.col("ts"), F.col("offset")).alias("local_date"))
 
 
-@register("""WITH k AS (SELECT c_custkey AS id, DATE '2026-01-01' + unnest(range(60))::INT AS day FROM customer WHERE c_custkey <= 50),
+@register("""WITH k AS (SELECT c_custkey AS id, DATE '2026-01-01' + unnest(range(60))::INT AS day FROM customer),
 p AS (SELECT *, CASE dayofweek(day) WHEN 1 THEN 'run' WHEN 2 THEN 'bike' WHEN 3 THEN 'swim' WHEN 4 THEN 'run' WHEN 6 THEN 'strength' WHEN 0 THEN 'bike' END AS sport, CASE dayofweek(day) WHEN 1 THEN 3600 WHEN 2 THEN 4500 WHEN 3 THEN 2700 WHEN 4 THEN 3000 WHEN 6 THEN 2400 WHEN 0 THEN 9000 END::DOUBLE AS base, [1, 1.08, 1.16, 0.55]::DOUBLE[] AS cyc FROM k)
 SELECT id, day, sport, round(base * cyc[1 + ((day - DATE '2026-01-01') // 7) % 4] * (1 + ((('0x' || substr(sha256('athlete-' || id || '|' || day || '|' || sport), 1, 16))::UBIGINT % 10000) / 10000.0::DOUBLE * 2 - 1) * 0.08::DOUBLE), 0) AS duration_s FROM p WHERE sport IS NOT NULL""")
 def synthetic_activities(spark, d):
-    """The rows of synthetic_activities_all that the SQL covers."""
-    return synthetic_activities_all(spark, d).filter("id <= 50")
-
-
-@whole
-def synthetic_activities_all(spark, d):
     """For every customer."""
     athletes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     rows = synthetic.activities(athletes.withColumn("athlete", F.concat(F.lit("athlete-"), F.col("id").cast("string"))), "2026-01-01", 60)
     return rows.select("id", "day", "sport", F.round("duration_s", 0).alias("duration_s"))
 
 
-@register("""WITH k AS (SELECT c_custkey AS id, DATE '2026-01-01' + unnest(range(60))::INT AS day FROM customer WHERE c_custkey <= 50),
+@register("""WITH k AS (SELECT c_custkey AS id, DATE '2026-01-01' + unnest(range(60))::INT AS day FROM customer),
 p AS (SELECT *, day - DATE '2026-01-01' AS o, ('0x' || substr(sha256('athlete-' || id || '|' || day || '|wellness'), 1, 16))::UBIGINT % 10000 AS s FROM k)
 SELECT id, day, round(CASE WHEN o BETWEEN 40 AND 46 THEN 5.4 ELSE 7.6 END::DOUBLE * (1 + (s / 10000.0::DOUBLE * 2 - 1) * 0.06::DOUBLE), 4) AS sleep_h, round(CASE WHEN o BETWEEN 40 AND 46 THEN 44 ELSE 58 END::DOUBLE * (1 + ((s + 1) % 10000 / 10000.0::DOUBLE * 2 - 1) * 0.09::DOUBLE), 4) AS hrv FROM p WHERE o % 23 <> 0""")
 def synthetic_wellness(spark, d):
-    """The rows of synthetic_wellness_all that the SQL covers."""
-    return synthetic_wellness_all(spark, d).filter("id <= 50")
-
-
-@whole
-def synthetic_wellness_all(spark, d):
     """For every customer."""
     athletes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     rows = synthetic.wellness(athletes.withColumn("athlete", F.concat(F.lit("athlete-"), F.col("id").cast("string"))), "2026-01-01", 60)

@@ -14,7 +14,7 @@ from ..operators import plan as po
 from ..operators import trend
 from ..params import RACES_M, TRANSITIONS_S
 from ..sources.bridge import activities, profiles, table
-from . import sql, whole
+from . import sql
 from .training import daily
 
 SPARK: dict = {}
@@ -180,7 +180,7 @@ def vdot(spark, d):
     return races(spark, d).select("k", F.round(fp.vdot(F.col("dist"), F.col("t")), 4).alias("vdot"))
 
 
-_EQUAL = """shown AS (SELECT r.*, f.exponent, f.r2, target FROM races r JOIN fits f ON r.user_id = f.user_id, (SELECT unnest([1500, 5000, 10000, 21097.5, 42195]::DOUBLE[]) AS target) WHERE r.k % 20 = 0),
+_EQUAL = """shown AS (SELECT r.*, f.exponent, f.r2, target FROM races r JOIN fits f ON r.user_id = f.user_id, (SELECT unnest([1500, 5000, 10000, 21097.5, 42195]::DOUBLE[]) AS target)),
 steps AS (
   WITH RECURSIVE b AS (
     SELECT k, target, exponent, dist, t, (-4.60 + 0.182258 * (dist / (t / 60)) + 0.000104 * (dist / (t / 60)) * (dist / (t / 60))) / (0.8 + 0.1894393 * exp(-0.012778 * (t / 60)) + 0.2989558 * exp(-0.1932605 * (t / 60))) AS v, 30.0::DOUBLE AS lo, 43200.0::DOUBLE AS hi, 0 AS i FROM shown
@@ -194,12 +194,6 @@ steps AS (
 
 @register(sql.query(_RACES, _BESTS, _EQUAL, select="SELECT k, 'time_' || CAST(floor(target) AS INT) || 'm' AS metric, round((a + g) / 2 + 1e-9, 1) AS value, round(least(a, g) + 1e-9, 1) AS low, round(greatest(a, g) + 1e-9, 1) AS high, round(greatest(0.2, 1 - abs(a - g) / ((a + g) / 2) * 5) + 1e-9, 2) AS confidence FROM steps"))
 def equivalent_times(spark, d):
-    """The rows of equivalent_times_all that the SQL covers: each twentieth race."""
-    return equivalent_times_all(spark, d).filter("k % 20 = 0")
-
-
-@whole
-def equivalent_times_all(spark, d):
     """For every race."""
     fits = trend.riegel_fit(trend.bests(races(spark, d)))
     return trend.equivalent_times(races(spark, d).join(fits, "user_id")).select("k", "metric", "value", "low", "high", "confidence")
@@ -253,7 +247,7 @@ def triathlon_prediction(spark, d):
     return rows.groupBy("user_id").agg(F.round(F.sum("t") + TRANSITIONS_S + 1e-9, 1).alias("total_s"), F.countDistinct("dist").alias("n")).filter("n = 3").drop("n")
 
 
-_PLAN = """requests AS (SELECT c_custkey AS id, (4 + c_custkey % 14)::INT AS weeks, (1 + c_custkey % 9)::INT AS per_week, ['beginner', 'intermediate', 'advanced'][1 + c_custkey % 3] AS level, (c_custkey * 7 % 90)::DOUBLE AS ctl, c_custkey % 4 <> 0 AS race, ['run', 'bike', 'swim'][1 + c_custkey % 3] AS sport FROM customer WHERE c_custkey <= 200),
+_PLAN = """requests AS (SELECT c_custkey AS id, (4 + c_custkey % 14)::INT AS weeks, (1 + c_custkey % 9)::INT AS per_week, ['beginner', 'intermediate', 'advanced'][1 + c_custkey % 3] AS level, (c_custkey * 7 % 90)::DOUBLE AS ctl, c_custkey % 4 <> 0 AS race, ['run', 'bike', 'swim'][1 + c_custkey % 3] AS sport FROM customer),
 shape AS (SELECT *, CASE WHEN weeks >= 8 THEN 2 WHEN weeks >= 4 THEN 1 ELSE 0 END AS taper, CASE WHEN weeks >= 12 THEN 2 WHEN weeks >= 6 THEN 1 ELSE 0 END AS peak,
   CASE level WHEN 'beginner' THEN 0.05 WHEN 'intermediate' THEN 0.08 ELSE 0.10 END::DOUBLE AS ramp, greatest(ctl * 7, CASE level WHEN 'beginner' THEN 150 WHEN 'intermediate' THEN 300 ELSE 500 END)::DOUBLE AS base FROM requests),
 phased AS (SELECT *, CASE WHEN NOT race THEN CASE WHEN w < greatest(1, weeks // 3) THEN 'base' ELSE 'build' END
@@ -275,12 +269,6 @@ def requests(spark, d) -> DataFrame:
 
 @register(sql.query(_PLAN, select="SELECT id, w AS week, phase, rec AS is_recovery, round(load + 1e-9, 1) AS target_load FROM weeks"))
 def plan_weeks(spark, d):
-    """The rows of plan_weeks_all that the SQL covers."""
-    return weeks_of(requests(spark, d).filter("id <= 200"))
-
-
-@whole
-def plan_weeks_all(spark, d):
     """For every customer."""
     return weeks_of(requests(spark, d))
 
@@ -301,12 +289,6 @@ shares AS (SELECT *, load * t[2]::DOUBLE / sum(t[2]::DOUBLE) OVER (PARTITION BY
 @register(sql.query(_PLAN, _SLOTS, select="""SELECT id, w AS week, s AS slot, (w * 7 + CASE WHEN cnt >= 7 THEN s % 7 ELSE least(6, CAST(round_even(s * 7.0::DOUBLE / cnt, 0) AS INT)) END)::INT AS day_offset, t[1] AS intensity, t[3] AS is_key, round(sl + 1e-9, 1) AS target_load,
   greatest(20, CAST(round_even(60 * sl / ph, 0) AS INT)) AS duration_min, CASE WHEN id % 5 <> 0 OR s % 2 = 0 THEN sport WHEN (s // 2) % 2 = 0 THEN 'swim' ELSE 'bike' END AS sport FROM shares"""))
 def plan_sessions(spark, d):
-    """The rows of plan_sessions_all that the SQL covers."""
-    return sessions_of(requests(spark, d).filter("id <= 200"))
-
-
-@whole
-def plan_sessions_all(spark, d):
     """For every customer."""
     return sessions_of(requests(spark, d))
 

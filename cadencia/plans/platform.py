@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as rel
 from ..sources.bridge import activities, table
-from . import sql, whole
+from . import sql
 from .training import daily
 
 SPARK: dict = {}
@@ -76,13 +76,6 @@ def lost_events(spark, d):
     return known.join(table(spark, d, "events").select("event_id"), "event_id", "left_anti")
 
 
-@register("SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN 'pending' WHEN event_id % 7 = 1 THEN 'unscored' ELSE 'review' END AS queue FROM events WHERE event_type <> 'error' AND event_id % 7 < 3 AND ts >= TIMESTAMP '2024-01-15'")
-def work_queues(spark, d):
-    e = F.col("event_id")
-    rows = table(spark, d, "events").filter((F.col("event_type") != "error") & (e % 7 < 3) & (F.col("ts") >= lit_ts("2024-01-15 00:00:00")))
-    return rows.select("user_id", "event_id", F.when(e % 7 == 0, "pending").when(e % 7 == 1, "unscored").otherwise("review").alias("queue"))
-
-
 @register("""WITH s AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 50 END AS weight, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name FROM customer WHERE c_custkey % 5 <> 0),
 n AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 70 END AS weight, CASE WHEN c_custkey % 6 = 0 THEN 'new ' || c_name END AS name FROM customer WHERE c_custkey % 7 <> 0)
 SELECT coalesce(s.user_id, n.user_id) AS user_id, coalesce(n.weight, s.weight) AS weight, coalesce(n.name, s.name) AS name FROM s FULL JOIN n ON s.user_id = n.user_id""")
@@ -161,14 +154,8 @@ def leaderboard(spark, d):
     return rel.ranked(progress(spark, d), "group_id", "sessions", "user_id").select("group_id", "user_id", "sessions", "rank", "place")
 
 
-@register('WITH x AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_id % 3 = 0), i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS g FROM x) SELECT user_id, min(day) AS start, max(day) AS "end", count(*) AS length FROM i GROUP BY user_id, g')
+@register('WITH x AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS g FROM x) SELECT user_id, min(day) AS start, max(day) AS "end", count(*) AS length FROM i GROUP BY user_id, g')
 def streaks(spark, d):
-    """Of the activities that the SQL covers, a third; gaps are rarer in streaks_all."""
-    return rel.streaks(activities(spark, d).filter("activity_id % 3 = 0").select("user_id", "day").distinct())
-
-
-@whole
-def streaks_all(spark, d):
     """Of all activities."""
     return rel.streaks(activities(spark, d).select("user_id", "day").distinct())
 
@@ -183,22 +170,6 @@ def policy_as_of(spark, d):
     return rel.as_of(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), versions, "o_orderdate").select("o_orderkey", "version", "bps")
 
 
-@register("""WITH p AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 3 AS version, lag(o_totalprice) OVER w AS predicted, o_totalprice AS actual FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-SELECT version, count(*) AS n, round(avg(abs(actual - predicted)), 2) AS mae, round(avg(CASE WHEN abs(actual - predicted) <= 0.5::DOUBLE * predicted THEN 1 ELSE 0 END), 6) AS coverage FROM p WHERE predicted IS NOT NULL GROUP BY version""")
-def prediction_accuracy(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, d, "orders").select((F.col("o_orderkey") % 3).alias("version"), F.lag("o_totalprice").over(w).alias("predicted"), F.col("o_totalprice").alias("actual")).filter("predicted IS NOT NULL")
-    off = F.abs(F.col("actual") - F.col("predicted"))
-    return rows.groupBy("version").agg(F.count("*").alias("n"), F.round(F.avg(off), 2).alias("mae"), F.round(F.avg((off <= 0.5 * F.col("predicted")).cast("int")), 6).alias("coverage"))
-
-
-@register("SELECT conv_id % 50 AS user_id, role, count(*) AS messages, CAST(sum(ceil(length(coalesce(text, '')) / 4.0)) AS BIGINT) AS tokens, CAST(sum(ceil(length(coalesce(text, '')) / 4.0) * CASE role WHEN 'assistant' THEN 15 ELSE 3 END) AS BIGINT) AS cost_micro FROM conversations GROUP BY ALL")
-def ai_usage(spark, d):
-    tokens = F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4)
-    price = F.when(F.col("role") == "assistant", 15).otherwise(3)
-    return table(spark, d, "conversations").groupBy((F.col("conv_id") % 50).alias("user_id"), "role").agg(F.count("*").alias("messages"), F.sum(tokens).cast("bigint").alias("tokens"), F.sum(tokens * price).cast("bigint").alias("cost_micro"))
-
-
 @register("SELECT lang, source, count(*) AS replies, round(avg(l.quality), 6) AS helpful FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL HAVING count(DISTINCT d.doc_id) >= 5")
 def feedback_with_suppression(spark, d):
     """Feedback by variant; groups of fewer than five people aren't shown."""
@@ -207,11 +178,6 @@ def feedback_with_suppression(spark, d):
     return rel.suppressed(groups, "people", 5).drop("people")
 
 
-@register("SELECT CAST(('0x' || substr(md5('exp1:' || user_id), 1, 8))::UBIGINT % 3 AS INT) AS variant, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
-def variant_comparison(spark, d):
-    return table(spark, d, "events").groupBy(rel.variant(F.col("user_id"), "exp1", 3).alias("variant")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
-
-
 @register("SELECT event_id, ts < TIMESTAMP '2024-01-10' AS expired, CASE WHEN event_id % 4 = 0 THEN 'v1' ELSE 'v2' END <> 'v2' AS recompute FROM events WHERE ts < TIMESTAMP '2024-01-10' OR event_id % 4 = 0")
 def retention_and_recompute(spark, d):
     """What retention drops and what an older engine computed."""
@@ -243,21 +209,6 @@ def name_search(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(s, 6).alias("similarity")).filter(F.col("similarity") >= 0.3)
 
 
-@register("""WITH m AS (SELECT event_id, unnest(['k', 'auth_token', 'token_count', 'Email']) AS key, unnest([props, 'x' || event_id, '5', 'a@b']) AS value FROM events)
-SELECT event_id, key, CASE WHEN key IN ('auth_token', 'Email') THEN '[redacted]' ELSE value END AS value FROM m""")
-def redaction(spark, d):
-    m = F.create_map(F.lit("k"), F.col("props"), F.lit("auth_token"), F.concat(F.lit("x"), F.col("event_id").cast("string")), F.lit("token_count"), F.lit("5"), F.lit("Email"), F.lit("a@b"))
-    return table(spark, d, "events").select("event_id", F.explode(rel.redacted(m)).alias("key", "value"))
-
-
-@register("""SELECT c_custkey AS user_id, CASE WHEN v IS NULL THEN 'ok' ELSE v END AS verdict FROM (SELECT c_custkey, CASE WHEN 10 + c_custkey % 110 NOT BETWEEN 13 AND 110 THEN 'age' WHEN 100 + c_custkey % 150 <= 90 + c_custkey % 40 THEN 'hr_max_not_above_rest' WHEN c_acctbal < 0 THEN 'negative' END AS v FROM customer)""")
-def row_validation(spark, d):
-    """Rows with the first check that they fail; what isn't ok goes to quarantine."""
-    k = F.col("c_custkey")
-    verdict = F.when(~(10 + k % 110).between(13, 110), "age").when(100 + k % 150 <= 90 + k % 40, "hr_max_not_above_rest").when(F.col("c_acctbal") < 0, "negative").otherwise("ok")
-    return table(spark, d, "customer").select(k.alias("user_id"), verdict.alias("verdict"))
-
-
 @register(sql.query(*sql.READY, select="SELECT count(*) FILTER (acwr > 1.5 OR monotony > 2) AS overreaching_days, round(avg(CASE WHEN band IN ('good', 'prime') THEN 1 ELSE 0 END), 6) AS good_share, CAST(count(*) AS BIGINT) AS days, level FROM ready r JOIN profiles p ON r.user_id = p.user_id GROUP BY level"))
 def product_outcomes(spark, d):
     from ..sources.bridge import profiles
@@ -277,14 +228,6 @@ def data_gaps(spark, d):
     return wellness(spark, d).select("user_id", "day", missing.alias("missing")).filter("missing <> ''")
 
 
-@register(sql.query(*sql.CURVE, select="SELECT user_id, day, round(avg(load) OVER (PARTITION BY user_id ORDER BY n RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) - avg(load) OVER (PARTITION BY user_id ORDER BY n RANGE BETWEEN 27 PRECEDING AND CURRENT ROW), 6) AS trend FROM numbered"))
-def load_trend(spark, d):
-    from ..functions.stats import day_number, days
-
-    rows = daily(spark, d).withColumn("dayno", day_number(F.col("day")))
-    return rows.select("user_id", "day", F.round(F.avg("load").over(days(-6, 0)) - F.avg("load").over(days(-27, 0)), 6).alias("trend"))
-
-
 @register("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.s, 'missing') AS ours, coalesce(b.s, 'missing') AS theirs FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'P' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 4 <> 0) b ON a.k = b.k WHERE a.s IS DISTINCT FROM b.s""")
 def subscription_drift(spark, d):
     k = F.col("o_orderkey")

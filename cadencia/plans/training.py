@@ -207,9 +207,13 @@ _PLANNED = """planned AS (
   CASE g WHEN 'keep' THEN dur WHEN 'easy' THEN greatest(20, floor(dur * 0.6::DOUBLE)) WHEN 'down' THEN greatest(20, floor(dur * 0.9::DOUBLE)) WHEN 'volume' THEN greatest(20, floor(dur * 0.8::DOUBLE)) WHEN 'cap' THEN greatest(20, floor(dur * 0.85::DOUBLE)) END::BIGINT AS new_duration_min,
   CASE g WHEN 'keep' THEN tl WHEN 'easy' THEN round(tl * 0.5 + 1e-9, 1) WHEN 'down' THEN round(tl * lower_ph / ph + 1e-9, 1) WHEN 'volume' THEN round(tl * 0.8::DOUBLE + 1e-9, 1) WHEN 'cap' THEN round(tl * 72 / ph + 1e-9, 1) END AS new_load FROM gated"""))
 def adapt_today(spark, d):
+    return ro.adapt_today(planned_rows(spark, d)).select("user_id", "day", "action", "new_intensity", F.col("new_duration_min").cast("bigint").alias("new_duration_min"), "new_load")
+
+
+def planned_rows(spark, d) -> DataFrame:
+    """A planned session, or none, for each athlete and day with readiness and risk."""
     m = (F.col("user_id") * 3 + F.datediff("day", F.lit("2024-01-01").cast("date"))) % 11
     kinds = F.array(*(F.lit(x) for x in ("vo2max", "threshold", "tempo", "easy", "recovery")))
     rows = risk_rows(spark, d).withColumn("m", m)
     m = F.col("m")
-    rows = rows.withColumns({"intensity": F.when(m != 0, F.get(kinds, (m % 5).cast("int"))), "is_key": m % 2 == 0, "duration_min": (30 + m * 7 % 60).cast("int"), "target_load": (40 + m * 11 % 90).cast("double")})
-    return ro.adapt_today(rows).select("user_id", "day", "action", "new_intensity", F.col("new_duration_min").cast("bigint").alias("new_duration_min"), "new_load")
+    return rows.withColumns({"intensity": F.when(m != 0, F.get(kinds, (m % 5).cast("int"))), "is_key": m % 2 == 0, "duration_min": (30 + m * 7 % 60).cast("int"), "target_load": (40 + m * 11 % 90).cast("double")})

@@ -7,11 +7,46 @@ from pyspark.sql import functions as F
 
 # The provider's sport names.
 SPORTS = {
-    "run": "running run trail_running treadmill_running indoor_running track_running street_running virtual_run ultra_run walking hiking",
-    "bike": "cycling bike road_biking mountain_biking gravel_cycling indoor_cycling virtual_ride cyclocross track_cycling bmx e_bike_fitness",
-    "swim": "swimming swim lap_swimming open_water_swimming open_water",
-    "strength": "strength_training strength weight_training indoor_cardio hiit pilates yoga crossfit",
-    "multisport": "multi_sport multisport triathlon duathlon swimrun",
+    "running": "run",
+    "run": "run",
+    "trail_running": "run",
+    "treadmill_running": "run",
+    "indoor_running": "run",
+    "track_running": "run",
+    "street_running": "run",
+    "virtual_run": "run",
+    "ultra_run": "run",
+    "walking": "run",
+    "hiking": "run",
+    "cycling": "bike",
+    "bike": "bike",
+    "road_biking": "bike",
+    "mountain_biking": "bike",
+    "gravel_cycling": "bike",
+    "indoor_cycling": "bike",
+    "virtual_ride": "bike",
+    "cyclocross": "bike",
+    "track_cycling": "bike",
+    "bmx": "bike",
+    "e_bike_fitness": "bike",
+    "swimming": "swim",
+    "swim": "swim",
+    "lap_swimming": "swim",
+    "open_water_swimming": "swim",
+    "open_water": "swim",
+    "strength_training": "strength",
+    "strength": "strength",
+    "weight_training": "strength",
+    "indoor_cardio": "strength",
+    "hiit": "strength",
+    "pilates": "strength",
+    "yoga": "strength",
+    "crossfit": "strength",
+    "multi_sport": "multisport",
+    "multisport": "multisport",
+    "triathlon": "multisport",
+    "duathlon": "multisport",
+    "swimrun": "multisport",
 }
 # Keys of a webhook's body and the kind of subject that each holds.
 SUBJECT_KINDS = {
@@ -46,8 +81,7 @@ def lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def map_sport(name: Column) -> Column:
-    names = {x: sport for sport, some in SPORTS.items() for x in some.split()}
-    return F.coalesce(lookup(names, F.lower(F.trim(name))), F.lit("other"))
+    return F.coalesce(lookup(SPORTS, F.lower(F.trim(name))), F.lit("other"))
 
 
 def positive(x: Column, upper: float | None = None) -> Column:
@@ -155,13 +189,38 @@ def backfill_chunks(imports: DataFrame, kinds: tuple[str, ...] = ("activity_summ
     return rows.withColumn("task", F.explode(F.array(*(F.lit(k) for k in kinds))))
 
 
+def backfill_days(imports: DataFrame, task: str = "activity_summary") -> DataFrame:
+    """One window for each day of an import, since included and until not; none where until isn't after since."""
+    days = F.when(F.col("since") < F.col("until"), F.sequence(F.col("since"), F.date_sub("until", 1)))
+    rows = imports.withColumn("window_start", F.explode(days)).withColumn("window_end", F.date_add("window_start", 1))
+    return rows.withColumns({"task": F.lit(task), "priority": F.lit("backfill")})
+
+
+def pace_to_speed(pace_s_per_km: Column) -> Column:
+    """Seconds for a kilometre as metres a second; null for what isn't positive."""
+    return F.when(pace_s_per_km > 0, 1000 / pace_s_per_km)
+
+
+def speed_to_pace(speed_m_s: Column) -> Column:
+    return F.when(speed_m_s > 0, 1000 / speed_m_s)
+
+
 def event_key(event_id: Column, body: Column, provider: str = "provider") -> Column:
     """The provider's id of the event, else a digest of its body, so that a retry has the same key."""
     return F.concat(F.lit(f"{provider}:"), F.coalesce(event_id, F.concat(F.lit("sha256:"), F.sha2(body, 256))))
 
 
 def stream_blob(body: Column) -> Column:
-    """(channels, samples, checksum) of a body's samples: the sorted union of their keys and a digest of the array as it came."""
-    samples = F.from_json(F.get_json_object(body, "$.samples"), "array<map<string,double>>")
+    """(channels, samples, checksum) of a body's samples: the sorted union of their keys, and the SHA-256 digest of the
+    samples as canonical JSON: keys in order, no blanks, numbers in their shortest form; null without samples. Numbers are
+    taken as integers or doubles; a digest of numbers beyond 1e7 or below 1e-3 that aren't integers may differ from other
+    writers' forms."""
+    raw = F.get_json_object(body, "$.samples")
+    samples = F.from_json(raw, "array<map<string,string>>")
     channels = F.array_sort(F.array_distinct(F.flatten(F.transform(samples, F.map_keys))))
-    return F.when(F.size(samples) > 0, F.struct(channels.alias("channels"), F.size(samples).alias("samples"), F.sha2(F.get_json_object(body, "$.samples"), 256).alias("checksum")))
+    number = lambda x: F.when(x.rlike("^-?[0-9]+$") | x.isin("true", "false"), x).when(x.try_cast("double").isNotNull(), x.try_cast("double").cast("string")).otherwise(F.concat(F.lit('"'), x, F.lit('"')))
+    value = lambda x: F.when(x.isNull(), "null").otherwise(number(x))
+    entry = lambda e: F.concat(F.lit('"'), e.key, F.lit('":'), value(e.value))
+    one = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(m)), entry), ","), F.lit("}"))
+    canonical = F.concat(F.lit("["), F.array_join(F.transform(samples, one), ","), F.lit("]"))
+    return F.when(F.size(samples) > 0, F.struct(channels.alias("channels"), F.size(samples).alias("samples"), F.sha2(canonical, 256).alias("checksum"), canonical.alias("content")))

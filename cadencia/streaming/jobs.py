@@ -17,14 +17,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.series import form_curve
 from ..params import ATL_DAYS, CTL_DAYS
 from ..sources import provider as pv
+from ..sources.sinks import VersionedTable
 
 STATE = "last_day date, ctl double, atl double"
 FORM = "user_id bigint, day date, load double, ctl double, atl double, tsb double"
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Files of raw events in the order of arrival; the number of files a batch is the back pressure."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, name: str | None = None) -> DataFrame:
+    """Files of raw events in the order of arrival, all in the folder or those of a name; the number of files a batch is the back pressure."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return (stream.option("pathGlobFilter", name) if name else stream).parquet(path)
+
+
+def json_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """The same for files of JSON lines, plain or gzipped (.json.gz); a malformed line's columns are null."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
+def prioritised(spark: SparkSession, live: str, backfill: str, schema, live_files: int = 16, backfill_files: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Two streams of raw events, live ones ahead of history: a batch of the live stream takes so many files, one of the
+    import only a few, and each runs as a query of its own, so that a long import never holds up what comes in."""
+    return file_stream(spark, live, schema, live_files).withColumn("priority", F.lit("live")), file_stream(spark, backfill, schema, backfill_files).withColumn("priority", F.lit("backfill"))
 
 
 def deduplicated(events: DataFrame, key: str = "event_key", received: str = "received_at", delay: str = "1 hour") -> DataFrame:
@@ -82,6 +95,11 @@ def recompute_from(stored_loads: DataFrame, changed: DataFrame) -> DataFrame:
     return rows.join(earliest, "user_id").filter("day >= from_day").drop("from_day", "dayno", "since")
 
 
+def upsert_once(rows: DataFrame, target: VersionedTable, checkpoint: str):
+    """Merges the stream into the table, batch by batch, over all that is there, and ends."""
+    return rows.writeStream.foreachBatch(target.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_once(rows: DataFrame, path: str, checkpoint: str):
     """Runs the stream over all that is there and ends; exactly once by the checkpoint."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

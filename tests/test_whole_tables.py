@@ -1,14 +1,12 @@
-"""Queries over whole tables, whose SQL covers a part of the rows."""
+"""Queries take every row of their tables."""
 
 from datetime import timedelta
 
 import __spark_entry__ as entry
 
 
-def both(spark, sf_dir, name):
-    """The rows of the query that its SQL checks, and those of the whole one."""
-    queries = entry.queries()
-    return ({tuple(r) for r in queries[n](spark, sf_dir).collect()} for n in (name, f"{name}_all"))
+def rows_of(spark, sf_dir, name):
+    return {tuple(r) for r in entry.queries()[name](spark, sf_dir).collect()}
 
 
 def read(spark, sf_dir, name, *columns):
@@ -16,27 +14,21 @@ def read(spark, sf_dir, name, *columns):
 
 
 def test_equivalent_times_of_every_race(spark, sf_dir):
-    part, rows = both(spark, sf_dir, "equivalent_times")
+    rows = rows_of(spark, sf_dir, "equivalent_times")
     fitted = {r.user_id for r in entry.queries()["riegel_fit"](spark, sf_dir).collect()}
     races = {k for k, user in read(spark, sf_dir, "orders", "o_orderkey", "o_custkey") if user in fitted}
     assert {r[0] for r in rows} == races and len(rows) == 5 * len(races)
-    assert {r for r in rows if r[0] % 20 == 0} == part and len(part) < len(rows)
 
 
 def test_plans_of_every_customer(spark, sf_dir):
     sf_dir = sf_dir.replace("0.001", "0.01")  # the smallest has few customers
     customers = {k for (k,) in read(spark, sf_dir, "customer", "c_custkey")}
-    assert max(customers) > 200
-    for name in ("plan_weeks", "plan_sessions"):
-        part, rows = both(spark, sf_dir, name)
-        assert {r[0] for r in rows} == customers
-        assert {r for r in rows if r[0] <= 200} == part
     weeks = {(k, w) for k in customers for w in range(4 + k % 14)}
-    assert {r[:2] for r in rows} == weeks
+    for name in ("plan_weeks", "plan_sessions"):
+        assert {r[:2] for r in rows_of(spark, sf_dir, name)} == weeks
 
 
 def test_a_snapshot_for_every_row(spark, sf_dir):
-    part, rows = both(spark, sf_dir, "twin_as_of")
     snaps, user = {}, {}
     for k, u, at in read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"):
         snaps.setdefault(u, []).append((at, k))
@@ -46,7 +38,7 @@ def test_a_snapshot_for_every_row(spark, sf_dir):
         before = [s for s in snaps.get(user.get(k), []) if s[0] <= at]
         if before:
             want.add((k, n, at, max(before)[1]))
-    assert rows == want and part < rows
+    assert rows_of(spark, sf_dir, "twin_as_of") == want
 
 
 def test_streaks_of_all_activities(spark, sf_dir):
@@ -58,17 +50,13 @@ def test_streaks_of_all_activities(spark, sf_dir):
         for first in (x for x in some if x - timedelta(1) not in some):
             n = next(k for k in range(1, len(some) + 1) if first + timedelta(k) not in some)
             want.add((user, first, first + timedelta(n - 1), n))
-    rows = entry.queries()["streaks_all"](spark, sf_dir).select("user_id", "start", "end", "length").collect()
+    rows = entry.queries()["streaks"](spark, sf_dir).select("user_id", "start", "end", "length").collect()
     assert {tuple(r) for r in rows} == want
 
 
 def test_synthetic_rows_of_every_athlete_and_session(spark, sf_dir):
     customers = {k for (k,) in read(spark, sf_dir, "customer", "c_custkey")}
     for name in ("synthetic_activities", "synthetic_wellness"):
-        part, rows = both(spark, sf_dir, name)
-        assert {r[0] for r in rows} == customers and max(customers) > 50
-        assert {r for r in rows if r[0] <= 50} == part
-    part, rows = both(spark, sf_dir, "synthetic_heart_rate")
+        assert {r[0] for r in rows_of(spark, sf_dir, name)} == customers
     want = {(e, -(-min(900 + e * 37 % 6300, 3600) // 60)) for (e,) in read(spark, sf_dir, "events", "event_id")}
-    assert {r[:2] for r in rows} == want
-    assert {r for r in rows if r[0] % 50 == 0} == part
+    assert {r[:2] for r in rows_of(spark, sf_dir, "synthetic_heart_rate")} == want
