@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadencia.llm.components import components
-from cadencia.llm.common import shared_folder
-from cadencia.llm.decontamination import decontaminate
+from cadencia.llm.common import WRITTEN, drop_written, shared_folder
+from cadencia.llm.decontamination import decontaminate, differs, packed_bits, radius, sums_of_bits
 from cadencia.llm.ngram_join import keys, most_different, ngram_join, size_class
 from cadencia.llm.queries import QUERIES
 from cadencia.llm.substring_dedup import FingerprintIndex, remove_repeats
@@ -101,7 +101,7 @@ def test_index_gives_what_a_batch_makes_known(spark, rows):
 def test_substring_dedup_is_the_same_for_any_number_of_batches(spark, rows):
     some = rows[-150:]
     want = brute.substring_dedup(some)
-    for batches, most_runs in ((1, 1), (2, 4), (6, 1)):
+    for batches, most_runs in ((1, 1), (5, 1)):
         got = remove_repeats(spark.createDataFrame(some, DOCS).withColumns({"n_words": F.lit("x"), "Kept_Text": F.lit(0)}), batches=batches, most_runs=most_runs)
         assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()) == want
 
@@ -174,9 +174,46 @@ def test_decontamination(spark, rows, items):
     assert {r.doc_id: r.item_ids for r in blocks.collect()} == {d: r.item_ids for d, r in got.items()}
 
 
+def test_decontamination_by_ids_of_any_kind_with_several_texts(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    items = spark.createDataFrame([("q-1", one), ("q-1", two), ("q-2", one), (None, two), ("q-1", one)], "item_id string, text string")
+    long = " ".join(f"w{i % 7001}" for i in range(60_000))
+    rows = [(1, f"x {one} y"), (2, f"{long} {two} {long}"), (3, long), (4, None), (4, f"a {two}"), (5, f"{two} and {two}")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"n_items": F.lit("x"), "best_item": F.lit(1)})
+    for n in (20_000, 1):
+        got = decontaminate(df, items, block_items=n).orderBy("doc_id", F.col("n_items").desc()).collect()
+        assert [(r.doc_id, r.n_items, r.item_ids, r.best_item) for r in got] == [(1, 2, ["q-1", "q-2"], "q-1"), (2, 2, [None, "q-1"], "q-1"), (3, 0, [], None), (4, 2, [None, "q-1"], "q-1"), (4, 0, [], None), (5, 2, [None, "q-1"], "q-1")]
+        assert [m.start for m in got[1].matches] == [60_000, 60_000] and {m.start for m in got[5].matches} == {0}  # of equal windows the first
+
+
+def test_radius_goes_by_the_items_length():
+    assert [radius(n) for n in (1, 2, 4)] == [0, 0, 0] and all(10 < radius(n) < 24 for n in (5, 8, 20, 100, 5000))
+    assert differs(9, 9, 9) == 0 and differs(1, 1, 0) == pytest.approx(0.5)
+    rnd = np.random.default_rng(1)
+    for n, common in ((9, 8), (45, 40)):  # similarity 0.8 at the least
+        far = []
+        for _ in range(400):
+            x = rnd.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, 2 * n - common, dtype=np.uint64)
+            a, b = (packed_bits(sums_of_bits(y)[-1:])[0] for y in (x[:n], x[n - common :]))
+            far.append(int(np.bitwise_count(a ^ b)))
+        assert np.mean(np.array(far) <= radius(n)) >= 0.99
+
+
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_decontamination", "op6_ngram_join"])
+def test_query_equals_brute_force(spark, sf_dir, name):
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*(("doc_id", "text") if t == "documents" else ("item_id", "text"))).collect()]
+    rows, got = read("documents"), [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
+    if name == "op4_decontamination":
+        assert {r[0]: set(r[3]) for r in got} == {d: set(hits) for d, hits in brute.contaminated(rows, read("benchmark")).items()}
+    else:
+        assert sorted(got) == {"op3_substring_dedup": brute.substring_dedup, "op6_ngram_join": brute.ngram_join}[name](rows)
+
+
 def test_pipeline(spark, rows, items, tmp_path):
-    en = [(i, t, "en" if i % 2 else "fr", "s", len(t or "")) for i, t in rows]
-    spark.createDataFrame(en, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, t) for i, t in rows if i < 100_060 or i > 100_200]
+    extra = {"score": F.lit("s"), "kept_text": F.lit(7), "matches": F.col("doc_id") + 1, "sig": F.lit(None).cast("string")}
+    en = [(i, t, "en" if i % 2 else "fr", f"s{i % 3}", len(t or "")) for i, t in rows]
+    spark.createDataFrame(en, "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = [(i, t) for i, t in dict.fromkeys(rows) if any(c.isalpha() for c in t or "")]
     least = {i: c for i, _, c, _ in brute.ngram_join(kept)}
@@ -187,14 +224,28 @@ def test_pipeline(spark, rows, items, tmp_path):
     want = {i: t for i, t in kept if not bad[i]}
 
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == corpus_pipeline.COLUMNS
+        assert docs.columns == columns
     got = {r.doc_id: r for r in docs.collect()}
     assert {i: r.text for i, r in got.items()} == want
-    assert all(r.n_chars == len(r.text) for r in got.values())
-    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in pieces} == set(want)
+    assert all((r.n_chars, r.source, r.lang, r.score, r.kept_text, r.matches) == (len(r.text), f"s{i % 3}", "en" if i % 2 else "fr", "s", 7, i + 1) for i, r in got.items())
+
+
+def test_pipeline_runs_over_a_small_and_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "le chat noir dort " + passage, "fr", "a", 1), (2, "the black cat sleeps", "en", "b", 1), (3, None, None, None, None), (4, "... 123", "en", "b", 1), (5, "the dog " + passage, "en", "a", 1), (6, "the black cat sleeps", "en", "b", 1), (7, "what is the answer to all of it", "en", "b", 1)]
+    for k, some in enumerate((rows, [])):
+        at = f"{tmp_path}/{k}"
+        spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, "What is the answer to all of it?")], ITEMS).write.parquet(f"{at}/benchmark.parquet")
+        before = len(WRITTEN)
+        pieces = corpus_pipeline.run(spark, at)
+        assert {r.doc_id for r in pieces.collect()} == ({1, 2, 5} if some else set())
+        assert len(WRITTEN) == before + 1  # the result's folder alone is left
+    drop_written(spark, before)
 
 
 def test_empty_tables(spark):

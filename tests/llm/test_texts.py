@@ -1,7 +1,10 @@
 """Quality rules, toxicity, chat formatting, token counts, language ID, license scans and packing."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -171,13 +174,17 @@ def test_toxicity_finds_documents_and_sentences(spark):
 def test_quality_rules(spark, docs, texts):
     rows = quality_rules.apply_rules(docs)
     got = {r.doc_id: r for r in rows.collect()}
+    lazy = {r.doc_id: r for r in quality_rules.apply_rules(docs, counts=False).collect()}
+    assert {i: r.kept for i, r in got.items()} == {i: r.kept for i, r in lazy.items()} and "n_words" not in lazy[0].asDict()
     for i, t in texts:
         w, r = brute.words(t), got[i]
         triples = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        covered = {k + o for k, g in enumerate(triples) if triples.count(g) > 1 for o in range(3)} if len(w) < 2000 else None
-        assert (r.n_words, r.word_chars) == (len(w), sum(map(len, w)))
-        if covered is not None:
-            assert r.n_repeat_words == len(covered)
+        times = Counter(triples)
+        covered = {k + o for k, g in enumerate(triples) if times[g] > 1 for o in range(3)}
+        lines = [x for x in (t or "").split("\n") if brute.words(x)]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
+        assert (r.n_symbols, r.n_dup_lines) == (sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert r.kept == (r.rejected_by is None) and not (r.base_failed and r.kept)
     ordered = quality_rules.estimate(docs, quality_rules.rules(), "text", sample_rows=50, runs=1)
     rates = [e.rejects / e.cost for e in ordered]
@@ -216,8 +223,132 @@ def test_chat_round_trip_of_odd_texts(spark):
         assert r.loss == "".join(x[3] for x in mine if x[2] == "assistant")
 
 
+def test_chat_turns_of_one_number_are_ordered_by_raw_content(spark):
+    rows = [(1, 0, "user", "<|z"), (1, 0, "user", "<az"), (1, 0, "user", "<az")] + [(2, k, "assistant" if k % 2 else "user", f"t{k} \\ <s>") for k in reversed(range(700))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"parts": chat_format.text_parts(F.col("text")), "formatted": F.lit(0)})
+    got = {r.conv_id: r for r in chat_format.format_chats(df).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("segments")).alias("loss")).collect()}
+    assert [x.text for x in got[1].t] == ["<az", "<az", "<|z"]
+    assert [x.text for x in got[2].t] == [f"t{k} \\ <s>" for k in range(700)] and got[2].loss == "".join(f"t{k} \\ <s>" for k in range(1, 700, 2))
+
+
+def plain_toxicity(text, weights):
+    """The noisy-or of a text of ASCII, in plain Python."""
+    none = 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        words = {w.lower() for w in re.findall(r"[A-Za-z0-9]+", sentence)}
+        if words:
+            x = sum(weights[f] for w in words for f in toxicity.word_features(w)) + weights[-1]
+            none *= 1 - 1 / (1 + math.exp(-min(60, max(-60, x))))
+    return 1 - none
+
+
+def test_toxicity_is_the_plain_noisy_or(spark):
+    rnd = random.Random(7)
+    weights = np.append(np.random.default_rng(2).normal(0, 0.4, 1 << toxicity.BITS), -3.0)
+    some = ["".join(rnd.choices(["ab ", "Cde", " ", ". ", "! ", "xyz1 ", "\n", "-"], k=rnd.randint(0, 40))) for _ in range(150)]
+    long = " ".join(f"w{i}" for i in range(40_000)) + ". bad one."
+    rows = [*enumerate(some), (900, None), (901, ""), (902, long), (902, long), (903, "same words. same words. same words")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("x"), "offending": F.lit(1)})
+    got = toxicity.score(df, weights).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        assert r.score == pytest.approx(plain_toxicity(texts[r.doc_id], weights), abs=1e-9)
+    assert next(r.worst_sentence for r in got if r.doc_id == 903) == 0  # of equals the first
+    assert toxicity.score(df.limit(0), weights).count() == 0
+
+
+def test_toxicity_learns_by_the_gradient_of_the_noisy_or():
+    import pyarrow as pa
+
+    texts, labels = pa.array(["good day. fine bad", "good day", "bad thing. day", "fine day. thing"] * 4), np.array([1, 0, 1, 0] * 4)
+
+    def loss(weights):
+        p = [min(max(plain_toxicity(t, weights), 1e-12), 1 - 1e-12) for t in texts.to_pylist()]
+        return -np.mean([math.log(x if y else 1 - x) for x, y in zip(p, labels, strict=True)])
+
+    losses = [loss(toxicity.train(texts, labels, rounds=n)) for n in (1, 5, 30, 120)]
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.2
+
+
+def test_sample_for_toxicity_is_bounded_in_bytes(spark):
+    rows = [(i, ("bad " if i % 2 else "good ") * (5 if i < 40 else 3000), i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], DOCS), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert toxicity.learn(docs, labels, F.lit(True), most_bytes=64 * 1000) is not None  # the short ones
+    assert toxicity.learn(docs, labels, F.lit(True), most_bytes=64) is None
+
+
+def test_language_model_is_fitted_by_expectation_maximisation(spark):
+    vocabulary = tokenizer_path("piece_bpe_32k.model")
+    keys, counts = language_id.piece_keys(vocabulary), Counter({"the": 3, "hat": 2, "that": 1})
+    pieces = {int(list(language_id.string_hashes(np.frombuffer(p.encode("utf-32-le"), np.uint32), len(p)))[len(p) - 1][0]): p for p in language_id.piece_texts(vocabulary)}
+    flat = sum(map(len, keys))
+    prob = dict.fromkeys(pieces.values(), 1 / flat)
+
+    def ways(word):
+        if not word:
+            yield ()
+        for k in range(1, len(word) + 1):
+            if word[:k] in prob:
+                yield from ((word[:k], *rest) for rest in ways(word[k:]))
+
+    expected = dict.fromkeys(prob, 0.01)
+    for word, n in counts.items():
+        every = [(w, math.prod(prob[x] for x in w)) for w in ways(language_id.MARK + word)]
+        total = sum(p for _, p in every)
+        for w, p in every:
+            for x in w:
+                expected[x] += n * p / total
+    whole = sum(expected.values())
+    model = language_id.fit_one(counts, keys, rounds=1)
+    for size, (k, logp) in enumerate(zip(model.keys, model.logp, strict=True)):
+        want = [math.log(expected[pieces[x]] / whole) for x in k.tolist()]
+        assert np.allclose(logp[:, 0], want), size
+    # the same from a table, each language in a task of its own
+    rows = [(i, w, "aa" if i % 2 else "bb") for i, w in enumerate(["the hat", "that", "das haus", "hut", "x" * 70_000])]
+    learned = language_id.learn(spark.createDataFrame(rows, DOCS + ", lang string"), F.lit(True), most_bytes=64 * 60_000)
+    plain = language_id.fit({"aa": Counter(["that", "hut"]), "bb": Counter(["the", "hat", "das", "haus"])}, vocabulary)
+    assert learned.langs == plain.langs and all(np.allclose(a, b) for a, b in zip(learned.logp, plain.logp, strict=True)) and np.allclose(learned.unknown, plain.unknown)
+
+
+def plain_licenses(text, templates, least=0.8):
+    """License: best containment over all windows of twice its class, at every class length."""
+    split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    words, out = split(text), {}
+    for name, t in templates.items():
+        own, s = grams(split(t)), license_scan.FIRST_CLASS
+        while s < len(split(t)):
+            s *= 2
+        best = max((len(own & grams(words[i : i + 2 * s])) / len(own) for i in range(0, max(1, len(words) - 4), s)), default=0)
+        if best >= least:
+            out[name] = best
+    return out
+
+
+def test_license_templates_of_any_length(spark):
+    rnd = random.Random(6)
+    long = " ".join(f"clause{rnd.randint(0, 400)}" for _ in range(1100))
+    templates = {"long": long, "mit-text": license_scan.TEMPLATES["mit-text"], "bsd-3-clause-text": license_scan.TEMPLATES["bsd-3-clause-text"], "short": "granted under the tiny license"}
+    filler = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(24):
+        w = templates[("long", "mit-text", "bsd-3-clause-text", "short")[i % 4]].split()
+        for _ in range(rnd.randint(0, max(1, len(w) // 60))):
+            w[rnd.randrange(len(w))] = "changed"
+        a = rnd.randint(0, 300)
+        rows.append((i, " ".join([*filler[:a], *(w[len(w) // 3 :] if i % 7 == 0 else w), *filler[a:]])))
+    rows += [(100, " ".join(filler * 30) + " " + templates["mit-text"]), (100, rows[1][1]), (101, templates["short"] + " " + templates["short"]), (102, None)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, DOCS).withColumn("containment", F.lit("x")), templates=templates).collect()
+    assert sorted((r.doc_id, sorted((m.license, round(m.containment, 9)) for m in r.licenses)) for r in got) == sorted((i, sorted((k, round(x, 9)) for k, x in plain_licenses(t, templates).items())) for i, t in rows)
+    assert any("long" in plain_licenses(t, templates) for _, t in rows)
+    with pytest.raises(ValueError):
+        license_scan.scan_licenses(spark.createDataFrame([], DOCS), templates={"x": "four words are few"})
+
+
 def test_license_scan(spark, docs):
     gpl, mit = license_scan.TEMPLATES["gpl-3.0"], license_scan.TEMPLATES["mit-permission"]
+    assert max(license_scan.word_count(t) for t in license_scan.TEMPLATES.values()) > 200
     filler = " ".join(f"w{i}" for i in range(300))
     cut = " ".join(mit.split()[3:])
     rows = [(1, f"{filler} {gpl.upper()} {filler}"), (2, f"{filler} {cut} {filler}"), (3, " ".join(mit.split()[12:])), (4, None), (5, "released under the MIT licence"), (6, f"{gpl} {filler} {mit}")]
