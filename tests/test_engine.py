@@ -149,8 +149,16 @@ def test_risk_drivers_and_intercept_make_the_logit(spark):
 def test_adaptation_ladder(spark):
     rows = [("vo2max", True, 80.0, 1.0, "low"), ("threshold", True, 60.0, 1.0, "low"), ("easy", True, 60.0, 1.0, "low"), ("tempo", True, 40.0, 1.0, "low"), ("tempo", True, 20.0, 1.0, "low"), ("threshold", True, 90.0, 1.0, "very_high"), ("tempo", True, 10.0, 0.2, "low"), (None, None, 90.0, 1.0, "low")]
     df = spark.createDataFrame([(i, *r, 60, 90.0) for i, r in enumerate(rows)], "i int, intensity string, is_key boolean, readiness double, data_quality double, risk_band string, duration_min int, target_load double")
+    drivers = F.when(F.col("i") != 3, F.array(F.struct(F.lit("hrv").alias("name"))))
+    df = df.withColumns({"band": F.when(F.col("readiness") < 25, "compromised").otherwise("good"), "drivers": drivers})
     got = [(r.action, r.new_intensity, r.new_duration_min, r.new_load) for r in readiness.adapt_today(df).orderBy("i").collect()]
     assert got == [("as_planned", "vo2max", 60, 90.0), ("reduce_intensity", "tempo", 54, 67.5), ("reduce_volume", "easy", 48, 72.0), ("easy_only", "easy", 36, 45.0), ("rest", None, None, None), ("reduce_intensity", "tempo", 51, 67.5), ("as_planned", "tempo", 60, 90.0), ("rest", None, None, None)]
+    said = {r.i: (r.reason, r.new_notes) for r in readiness.adapt_today(df).collect()}
+    assert said[0] == ("Readiness 80/100 (good). Go as planned.", "Zone 5 intervals with full recoveries between reps.")
+    assert said[1] == ("Readiness 60/100, held back by hrv. One intensity band down.", "Zone 3 blocks with full warm-up and cool-down.")
+    assert said[3] == ("Readiness 40/100, limited by recovery data. Aerobic only today; the quality work moves.", "Zone 2. Conversational the whole way.")
+    assert said[4] == ("Readiness 20/100 (compromised), driven by hrv. Full rest today.", None)
+    assert said[6][0].startswith("Not enough recovery data") and said[7] == ("No session scheduled today.", None)
 
 
 def test_zones(spark):
