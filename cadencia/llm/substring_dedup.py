@@ -195,19 +195,26 @@ class FingerprintIndex:
         return mapped(texts.select("text", "s1", "s2", "places"), run, "h1 bigint, h2 bigint, s1 bigint, s2 bigint, start int, copies bigint")
 
 
-def signed(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with the digest of their word sequence, __s1 and __s2, and n_words; columns of the operator's results are replaced."""
+def signed(docs: DataFrame, text_col: str, whole: bool = False) -> DataFrame:
+    """The rows with the digest of their word sequence, __s1 and __s2, and n_words; columns of the operator's results are
+    replaced. With whole also with n_removed (0) and kept_text (all words), the result for a text without repeats."""
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
     place = kept.index(text_col)
     long = T.LongType()
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__s1", long), T.StructField("__s2", long), T.StructField("n_words", long)])
+    more = [T.StructField("n_removed", long), T.StructField("kept_text", T.StringType())] if whole else []
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__s1", long), T.StructField("__s2", long), T.StructField("n_words", long), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, n = np.zeros((batch.num_rows, 2), np.int64), np.zeros(batch.num_rows, np.int64)
+            sig, n, texts = np.zeros((batch.num_rows, 2), np.int64), np.zeros(batch.num_rows, np.int64), []
             for at, w in hashed(batch.column(place)):
-                sig[at : at + len(w.counts)], n[at : at + len(w.counts)] = signatures(w, w.joined()), w.counts
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.array(n)], names=schema.names)
+                joined = w.joined()
+                sig[at : at + len(w.counts)], n[at : at + len(w.counts)] = signatures(w, joined), w.counts
+                if whole:
+                    text, begin, end = joined
+                    texts += [text[begin[a] : end[b - 1]] if b > a else b"" for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            made = [pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(texts, pa.binary()).cast(pa.string())] if whole else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.array(n), *made], names=schema.names)
 
     return mapped(docs.select(*kept), run, schema)
 
@@ -222,8 +229,10 @@ def without(docs: DataFrame, repeats: DataFrame, text_col: str = "text", size: i
     """The rows with n_words, n_removed and kept_text: the words left, joined by one space. Each word under a repeated window goes."""
     by_text = repeats.groupBy(F.col("s1").alias("__s1"), F.col("s2").alias("__s2")).agg(F.collect_list(F.struct("start", "n")).alias("__places"))
     by_text = saved(by_text, shared_folder(docs.sparkSession), "repeats")
-    some, rest = by_bucket(signed(docs, text_col), by_text, "__s1", "__s1")
-    rows = some.join(by_text, ["__s1", "__s2"], "left").unionByName(rest, allowMissingColumns=True)
+    # texts whose digest falls into no repeat's bucket are done in one pass
+    some, _ = by_bucket(signed(docs, text_col), by_text, "__s1", "__s1")
+    _, rest = by_bucket(signed(docs, text_col, whole=True), by_text, "__s1", "__s1")
+    rows = some.join(by_text, ["__s1", "__s2"], "left")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
     place = kept.index(text_col)
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
@@ -246,7 +255,7 @@ def without(docs: DataFrame, repeats: DataFrame, text_col: str = "text", size: i
                 out.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array(n_removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return mapped(rows.select(*kept, "n_words", "__places"), run, schema)
+    return mapped(rows.select(*kept, "n_words", "__places"), run, schema).unionByName(rest.select(*schema.names))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE, batches: int = BATCHES, most_runs: int = MOST_RUNS) -> DataFrame:
