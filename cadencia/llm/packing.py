@@ -108,7 +108,7 @@ class Encoder:
     PROBES = ("a", "The", "don't", "'s", "7", "42", "...", "#", "é", "e\u0301", "\u0301", "ﬁ", "漢字", "😀", "<|endoftext|>", "\x00")
     BLANKS = (" ", "  ", "\n", "\t ", "\r\n", "\x0b", "\x0c")
 
-    def __init__(self, path: str, most: int = 1 << 20) -> None:
+    def __init__(self, path: str, most: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
