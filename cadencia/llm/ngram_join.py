@@ -49,7 +49,7 @@ SIZE = 4
 #: Similarity as a fraction: 85 / 100.
 SHARE, OF = 85, 100
 #: Shingles of a block of a large cell, at most about; sets of a block at least, if they fit; and blocks of a class that are aimed at.
-MOST_SHINGLES, LEAST_SETS, COPIES = 1 << 20, 256, 32
+MOST_SHINGLES, LEAST_SETS, COPIES = 1 << 20, 128, 32
 #: Shingles whose hash is below this share of the range are counted for pruning.
 LOW = 0.3
 #: Shingles of a trie's node.
