@@ -67,6 +67,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
+@lru_cache(4096)
 def walk(n: int) -> np.ndarray:
     """The chances that n signs add up to -n, -n + 2, ... n."""
     return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
@@ -74,8 +75,14 @@ def walk(n: int) -> np.ndarray:
 
 def differs(a: int, b: int, common: int) -> float:
     """The chance that a bit differs between the fingerprints of a and of b shingles that have so many in common."""
-    at = lambda n: np.arange(-n, n + 1, 2)
-    up = lambda n: np.array([walk(n - common)[at(n - common) + x > 0].sum() for x in at(common)])
+
+    def up(n: int) -> np.ndarray:
+        """The chance that the sum is above 0 with n - common signs more, by the common ones' sum."""
+        own = n - common
+        above = np.append(np.cumsum(walk(own)[::-1])[::-1], 0.0)  # at least k of the own signs are up
+        least = (own + common - 2 * np.arange(common + 1)) // 2 + 1  # so many must be, for the common ones' sum
+        return above[np.clip(least, 0, own + 1)]
+
     one, other = up(a), up(b)
     return float((walk(common) * (one * (1 - other) + other * (1 - one))).sum())
 

@@ -182,7 +182,7 @@ def test_decontamination_by_ids_of_any_kind_with_several_texts(spark):
     df = spark.createDataFrame(rows, DOCS).withColumns({"n_items": F.lit("x"), "best_item": F.lit(1)})
     for n in (20_000, 1):
         got = decontaminate(df, items, block_items=n).orderBy("doc_id", F.col("n_items").desc()).collect()
-        assert [(r.doc_id, r.n_items, r.item_ids, r.best_item) for r in got] == [(1, 2, ["q-1", "q-2"], "q-1"), (2, 2, [None, "q-1"], "q-1"), (3, 0, [], None), (4, 2, [None, "q-1"], "q-1"), (4, 0, [], None), (5, 2, [None, "q-1"], "q-1")]
+        assert [(r.doc_id, r.n_items, r.item_ids, r.best_item) for r in got] == [(1, 2, ["q-1", "q-2"], "q-1"), (2, 2, ["q-1", None], "q-1"), (3, 0, [], None), (4, 2, ["q-1", None], "q-1"), (4, 0, [], None), (5, 2, ["q-1", None], "q-1")]
         assert [m.start for m in got[1].matches] == [60_000, 60_000] and {m.start for m in got[5].matches} == {0}  # of equal windows the first
 
 
