@@ -236,7 +236,8 @@ def test_pipeline(spark, rows, items, tmp_path):
 def test_pipeline_runs_over_a_small_and_an_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     passage = " ".join(f"p{i}" for i in range(60))
-    rows = [(1, "le chat noir dort " + passage, "fr", "a", 1), (2, "the black cat sleeps", "en", "b", 1), (3, None, None, None, None), (4, "... 123", "en", "b", 1), (5, "the dog " + passage, "en", "a", 1), (6, "the black cat sleeps", "en", "b", 1), (7, "what is the answer to all of it", "en", "b", 1)]
+    own = lambda x: " ".join(f"{x}{i}" for i in range(40)) + " "
+    rows = [(1, "le chat noir dort " + own("chat") + passage, "fr", "a", 1), (2, "the black cat sleeps", "en", "b", 1), (3, None, None, None, None), (4, "... 123", "en", "b", 1), (5, "the dog " + own("dog") + passage, "en", "a", 1), (6, "the black cat sleeps", "en", "b", 1), (7, "what is the answer to all of it", "en", "b", 1)]
     for k, some in enumerate((rows, [])):
         at = f"{tmp_path}/{k}"
         spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
