@@ -5,8 +5,8 @@ fingerprint, a winnowing) form a span. Equal windows have equal fingerprints, so
 equal windows. The index is a list of immutable runs: the distinct spans of a batch of documents with their number and
 one place, range-partitioned and sorted by fingerprint. Adding a batch
 
-1. writes its spans as a new run (if there are too many runs, these are compacted into one before),
-2. merge-joins its fingerprints with the earlier runs, so that only earlier spans that share one go on,
+1. merge-joins its fingerprints with the earlier runs, so that only earlier spans that share one go on,
+2. writes its spans as a new run,
 3. verifies: spans are equal if the BLAKE2b digests (128 bits) of their words are; of the spans that share a fingerprint
    only, the texts are read again and their windows compared by such digests,
 4. gives the places of all windows that are known to repeat now and weren't before: those of the batch, and those of
@@ -39,7 +39,7 @@ from .wordhash import STEP, U, Words, digests, hashed, mix, sliding_min
 
 SIZE, SHINGLE = 35, 9
 #: Runs of an index before they are compacted, and batches that a whole table is added in.
-MOST_RUNS, BATCHES = 2, 3
+MOST_RUNS, BATCHES = 1, 2
 #: A span: its fingerprint, the digest of its words, that of its text, its first word, its windows, whether a window recurs in it, and how often it was met.
 SPAN = "fp bigint, c1 bigint, c2 bigint, s1 bigint, s2 bigint, start int, n int, inner boolean, copies bigint"
 PLACES = "s1 bigint, s2 bigint, start int, n int"
@@ -148,8 +148,6 @@ class FingerprintIndex:
         at = f"batch-{self.made}"
         names = ("found", "seen", "several", "wanted", "windows", "twice")
         keep = lambda df, name: saved(df, self.folder, f"{at}-{name}")
-        if len(self.runs) >= self.most_runs:
-            self.compact()
         found = keep(entries(docs, text_col, self.size), "found")
         known = self.known(found).withColumn("old", F.col("copies"))
         new = self._write(kinds_of(found))
@@ -172,6 +170,8 @@ class FingerprintIndex:
         out = keep(places.unionByName(edge), "repeats")
         for name in names:
             removed(self.spark, f"{self.folder}/{at}-{name}")
+        if len(self.runs) > self.most_runs:
+            self.compact()
         return out
 
     def _windows(self, texts: DataFrame) -> DataFrame:
