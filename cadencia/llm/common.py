@@ -53,7 +53,7 @@ def drop_written(spark: SparkSession, kept: int = 0) -> None:
 
 
 #: Bytes of an Arrow batch, about: what a Python worker holds of the input.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -121,7 +121,7 @@ class WordCache:
     It starts anew beyond `most` words or 8 times as many blocks of bytes, so its memory is bounded.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 1 << 19) -> None:
+    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 1 << 18) -> None:
         self.make, self.most = make, most
         self.rows = None
         self._clear()

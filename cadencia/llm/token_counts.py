@@ -84,7 +84,7 @@ def batches_by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list
         yield texts[a:b]
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, batch_bytes: int = BATCH_BYTES, cache_words: int = 1 << 19) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, batch_bytes: int = BATCH_BYTES, cache_words: int = 1 << 18) -> DataFrame:
     """id, n_bytes (UTF-8) and n_tokens of each whole text, as the sentencepiece model counts them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are hashed in slices of about this many bytes, which bounds memory; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
