@@ -12,6 +12,8 @@ from . import ingest, training
 
 SPARK: dict = {}
 ORACLE: dict[str, str] = {}
+#: Files of a batch of the written tables.
+FILES_PER_BATCH = 1000
 
 
 def register(oracle: str | None = None):
@@ -57,10 +59,10 @@ def stream_recomputes(spark, d):
 
 @register(training.ORACLE["form_curve"])
 def stream_form(spark, d):
-    """Form from state, day by day."""
+    """Form from state, day by day. All days of an athlete are in one file, and so in one batch, however many files there are."""
     path = f"{sinks.work_folder(spark)}/daily"
-    training.daily(spark, d).select("user_id", "day", "load").write.parquet(path)
-    rows = jobs.form_updates(jobs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1000))
+    training.daily(spark, d).select("user_id", "day", "load").repartition("user_id").write.parquet(path)
+    rows = jobs.form_updates(jobs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=FILES_PER_BATCH))
     return written(rows, spark).select("user_id", "day", F.round("load", 2).alias("load"), "ctl", "atl", F.round("tsb", 2).alias("tsb"))
 
 
@@ -70,7 +72,7 @@ def stream_activities(spark, d):
     folder = sinks.work_folder(spark)
     raw = ingest.payloads_of(events(spark, d)).withColumn("verdict", F.when(F.col("event_id") % 41 == 0, "signed_invalid").otherwise("signed_valid"))
     jobs.write_once(raw, f"{folder}/raw", f"{folder}/raw-checkpoint").awaitTermination()
-    kept = jobs.file_stream(spark, f"{folder}/raw", raw.schema, files_per_batch=1000)
+    kept = jobs.file_stream(spark, f"{folder}/raw", raw.schema, files_per_batch=FILES_PER_BATCH)
     rows = jobs.parsed_activities(jobs.verified(kept)).drop("body", "verdict")
     target = sinks.VersionedTable(spark, f"{folder}/activities", ["provider_activity_id"], ["ts"], rows.schema)
     jobs.upsert_once(rows, target, f"{folder}/checkpoint").awaitTermination()

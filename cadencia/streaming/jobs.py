@@ -64,23 +64,23 @@ def coalesced_recomputes(events: DataFrame, received: str = "received_at", delay
 def form_updates(daily: DataFrame) -> DataFrame:
     """Form from state: an athlete's (last day, ctl, atl) is carried over batches, and rest days decay it.
 
-    Expects user_id, day and load, each day once and in order over the batches; a day that isn't after the last one is
-    left to recompute_from().
+    Expects user_id, day and load, each day once and in order over the batches, within one in any order; a day that isn't
+    after the last of an earlier batch is left to recompute_from(). An athlete's days of a batch, which may come in
+    several frames, are held together.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ctl, atl = state.get if state.exists else (None, 0.0, 0.0)
         out = []
-        for frame in frames:
-            for day, load in sorted(zip(frame["day"], frame["load"], strict=True)):
-                if last is not None and day <= last:
-                    continue
-                gap = 1 if last is None else (day - last).days
-                ctl = ctl * math.exp(-gap / CTL_DAYS) + (1 - math.exp(-1 / CTL_DAYS)) * load
-                atl = atl * math.exp(-gap / ATL_DAYS) + (1 - math.exp(-1 / ATL_DAYS)) * load
-                last = day
-                c, a = round(ctl + 1e-9, 2), round(atl + 1e-9, 2)
-                out.append((key[0], day, load, c, a, c - a))
+        for day, load in sorted(row for frame in frames for row in zip(frame["day"], frame["load"], strict=True)):
+            if last is not None and day <= last:
+                continue
+            gap = 1 if last is None else (day - last).days
+            ctl = ctl * math.exp(-gap / CTL_DAYS) + (1 - math.exp(-1 / CTL_DAYS)) * load
+            atl = atl * math.exp(-gap / ATL_DAYS) + (1 - math.exp(-1 / ATL_DAYS)) * load
+            last = day
+            c, a = round(ctl + 1e-9, 2), round(atl + 1e-9, 2)
+            out.append((key[0], day, load, c, a, c - a))
         if last is not None:
             state.update((last, ctl, atl))
         yield pd.DataFrame(out, columns=["user_id", "day", "load", "ctl", "atl", "tsb"])

@@ -94,6 +94,23 @@ def test_stream_of_loads_equals_batch(spark, tmp_path):
     assert all(got[k] == pytest.approx(want[k], abs=0.011) for k in want)
 
 
+def test_form_updates_over_frames_in_any_order(spark, tmp_path):
+    rows = [(u, dt.date(2026, 1, 1) + dt.timedelta(days=(i * 7) % 40), float(20 + u * i)) for u in (1, 2) for i in range(40)]
+    schema = "user_id bigint, day date, load double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "3")  # an athlete's days come in several frames, in the order of the file
+    try:
+        stream = jobs.form_updates(jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema))
+        run_stream(jobs.write_once(stream, f"{tmp_path}/out", f"{tmp_path}/cp"))
+    finally:
+        spark.conf.unset(key)
+    got = {(r.user_id, r.day): (r.ctl, r.atl) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(r.user_id, r.day): (r.ctl, r.atl) for r in form_curve(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=0.011) for k in want)
+
+
 def test_stream_dedupes_and_coalesces(spark, tmp_path):
     t = dt.datetime(2026, 1, 1, 8)
     rows = [(f"k{i % 5}", 1 + i % 2, dt.date(2026, 1, 1 + i % 3), t + dt.timedelta(seconds=i * 7)) for i in range(20)]
