@@ -88,11 +88,24 @@ def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
+#: Lets Spark delete the shuffle files of a query that has ended, which else stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again, so that a lost executor costs no recomputation."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows, written to the shared folder and read again, so that a lost executor costs no recomputation. The shuffle
+    files of the writing go when it has ended, so that disk is needed for one step at a time."""
+    path, spark = f"{folder}/{name}", df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
