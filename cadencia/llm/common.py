@@ -114,17 +114,20 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Buckets of by_bucket, and so the most rows that it broadcasts, whatever the size of the keys.
-BUCKETS = 1 << 20
+#: Words of 64 bits of by_bucket's bitmap, and so the most rows that it broadcasts, whatever the number and size of the keys.
+BITMAP = 1 << 19
 
 
 def by_bucket(rows: DataFrame, keys: DataFrame, column: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be among keys, and the others, without a shuffle: by hash bucket. The buckets in use are broadcast."""
+    """The rows whose key may be among keys, and the others, without a shuffle: by hash bucket. The buckets in use are
+    broadcast, 64 in a row, so that few of 2^25 hold a key that isn't meant as long as there are some million keys."""
     key = key or keys.columns[0]
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    some = F.broadcast(keys.select(bucket(key).alias("__bucket")).distinct())
-    keyed = rows.withColumn("__bucket", bucket(column))
-    return keyed.join(some, "__bucket", "left_semi").drop("__bucket"), keyed.join(some, "__bucket", "left_anti").drop("__bucket")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * BITMAP))
+    word, bit = F.shiftright("__bucket", 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("__bucket", F.lit(64)).cast("int"))
+    some = keys.select(bucket(key).alias("__bucket")).groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    keyed = rows.withColumn("__bucket", bucket(column)).withColumn("__word", word).join(F.broadcast(some), "__word", "left")
+    among = F.coalesce(F.col("__bits").bitwiseAND(bit), F.lit(0)) != 0
+    return tuple(keyed.filter(x).drop("__bucket", "__word", "__bits") for x in (among, ~among))
 
 
 class WordCache:

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from cadencia.llm.common import drop_written, saved, shared_folder
+from cadencia.llm.common import by_bucket, drop_written, saved, shared_folder
 
 
 def shuffle_files(spark):
@@ -24,3 +24,13 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.5)
     assert len(left) <= 1 and dict(spark.conf.getAll) == settings
     drop_written(spark)
+
+
+def test_few_rows_share_a_bucket_with_a_key(spark):
+    rows = spark.range(600_000).select(F.xxhash64("id").alias("k")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k"))
+    keys = rows.filter("pmod(k, 3) = 0")
+    some, rest = by_bucket(rows, keys, "k")
+    n, others = keys.count(), rows.filter("k IS NULL OR pmod(k, 3) <> 0").count()
+    assert some.columns == rest.columns == ["k"]
+    assert some.filter("pmod(k, 3) = 0").count() == n and rest.filter("pmod(k, 3) = 0").count() == 0
+    assert some.count() + rest.count() == n + others and some.count() - n < 0.02 * others
