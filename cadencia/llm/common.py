@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordhash import U, Words
+from .wordhash import BLOCK, U, Words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,21 +130,41 @@ def by_bucket(rows: DataFrame, keys: DataFrame, column: str, key: str | None = N
     return tuple(keyed.filter(x).drop("__bucket", "__word", "__bits") for x in (among, ~among))
 
 
+#: Bytes of the longest word that stays in a full cache.
+STAYS = 64
+
+
 class WordCache:
     """Results per distinct word; make(words) gives a row of numbers for each new one. Words are found by hash and then
     compared byte by byte, so that two words of one hash each get their own.
 
-    It starts anew beyond `most` words or 8 times as many blocks of bytes, so its memory is bounded.
+    Beyond `most` words, or 8 times as many blocks of bytes, the half that was found again most often of late stays, but no
+    long words, so its memory is bounded. kept(rows) gives the rows of those that stay, if they change with that.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 1 << 18) -> None:
-        self.make, self.most = make, most
-        self.rows = None
-        self._clear()
-
-    def _clear(self) -> None:
-        """No words: sorted hashes, and for each its row, its place in the blocks and its size in bytes."""
-        self.keys, self.place, self.blocks, self.used = np.zeros(0, U), np.zeros((0, 2), np.int64), np.zeros(1 << 12, U), 0
+    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 1 << 18, kept: Callable[[np.ndarray], np.ndarray] = lambda rows: rows) -> None:
+        self.make, self.most, self.kept = make, most, kept
+        #: Sorted hashes and the entry of each; by entry its row, its place in the blocks and its size in bytes, and how often it was found.
+        self.keys, self.entry, self.rows = np.zeros(0, U), np.zeros(0, np.int32), None
+        self.place, self.found = np.zeros((0, 2), np.int32), np.zeros(0, np.int32)
+        self.blocks, self.used = np.zeros(1 << 12, U), 0
+
+    def _shrink(self) -> None:
+        """Leaves the words that stay, in order of their hashes."""
+        n = len(self.keys)
+        stays = (self.found[:n] > 0) & (self.place[:n, 1] <= STAYS)
+        if np.count_nonzero(stays) > self.most // 2:
+            stays &= self.found[:n] > np.partition(self.found[:n], n - self.most // 2)[n - self.most // 2]
+        keep = stays[self.entry]
+        old = self.entry[keep]
+        size = self.place[old, 1]
+        count = (size + BLOCK - 1) // BLOCK
+        ends = np.cumsum(count)
+        self.used = int(ends[-1]) if len(old) else 0
+        self.blocks = np.append(self.blocks[np.repeat(self.place[old, 0] - (ends - count), count) + np.arange(self.used)], np.zeros(1 << 12, U))
+        self.keys, self.entry = self.keys[keep], np.arange(len(old), dtype=np.int32)
+        self.place, self.found = np.column_stack([ends - count, size]).astype(np.int32), self.found[old] // 2
+        self.rows = self.kept(self.rows[old])
 
     def _add(self, w: Words, at: np.ndarray, keys: np.ndarray, first: np.ndarray) -> None:
         """Puts the words at first, whose hashes are keys, into the cache before the entries at."""
@@ -155,23 +175,33 @@ class WordCache:
         while self.used + total > len(self.blocks):
             self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
         self.blocks[self.used : self.used + total] = w.blocks[np.repeat(begin - (ends - count), count) + np.arange(total)]
-        place = np.column_stack([self.used + ends - count, w.size[first]])
+        n, m = len(self.keys), len(keys)
+        if self.rows is None:
+            self.rows = rows[:0].copy()
+        if n + m > len(self.place):
+            more = max(m, n // 4)
+            larger = lambda x: np.concatenate([x[:n], np.zeros((more, *x.shape[1:]), x.dtype)])
+            self.place, self.found, self.rows = larger(self.place), larger(self.found), larger(self.rows)
+        self.place[n : n + m] = np.column_stack([self.used + ends - count, w.size[first]])
+        self.found[n : n + m], self.rows[n : n + m] = 0, rows
         self.used += total
-        self.keys, self.place, self.rows = np.insert(self.keys, at, keys), np.insert(self.place, at, place, axis=0), np.insert(self.rows, at, rows, axis=0)
+        self.keys, self.entry = np.insert(self.keys, at, keys), np.insert(self.entry, at, np.arange(n, n + m, dtype=np.int32))
 
     def __call__(self, w: Words) -> np.ndarray:
         """A row for each word of w."""
         keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if self.rows is None or len(self.keys) > self.most or self.used > 8 * self.most:
-            self._clear()
-            self.rows = self.make([])
+        if not len(keys) and self.rows is None:
+            return self.make([])
+        if len(self.keys) > self.most or self.used > 8 * self.most:
+            self._shrink()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        self.found[self.entry[at[known]]] += 1
         if not known.all():
             self._add(w, at[~known], keys[~known], first[~known])
             at = np.searchsorted(self.keys, keys)
-        entry = at[which]
+        entry = self.entry[at][which]
         count = np.diff(w.block)
         other = self.place[entry, 1] != w.size
         where = np.repeat(self.place[entry, 0] - w.block[:-1], count) + np.arange(len(w.blocks))

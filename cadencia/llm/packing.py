@@ -108,7 +108,7 @@ class Encoder:
     PROBES = ("a", "The", "don't", "'s", "7", "42", "...", "#", "é", "e\u0301", "\u0301", "ﬁ", "漢字", "😀", "<|endoftext|>", "\x00")
     BLANKS = (" ", "  ", "\n", "\t ", "\r\n", "\x0b", "\x0c")
 
-    def __init__(self, path: str, most: int = 1 << 18) -> None:
+    def __init__(self, path: str, most: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
@@ -116,7 +116,7 @@ class Encoder:
         between = self._each([self.BETWEEN])[0]
         self.between = between[0] if len(between) == 1 else None
         self.ids, self.n = np.zeros(1 << 16, np.uint32), 0
-        self.cache = WordCache(self._encode, most)
+        self.cache = WordCache(self._encode, most, self._kept)
         self.by_word = self.between is not None and self.splits_at_blanks()
 
     def _each(self, texts: list[str]) -> list[list[int]]:
@@ -142,19 +142,25 @@ class Encoder:
 
     def _encode(self, words: list[str]) -> np.ndarray:
         """(place, length) of each word's ids in self.ids."""
-        if not words:
-            self.n = 0
-            return np.zeros((0, 2), np.int64)
-        out = []
+        out = [np.zeros((0, 2), np.int32)]
         for some in batches_by_bytes(words):
             ids, length = self._ids(some)
             while self.n + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.n : self.n + len(ids)] = ids
-            out.append(np.column_stack([self.n + np.cumsum(length) - length, length]))
+            out.append(np.column_stack([self.n + np.cumsum(length) - length, length]).astype(np.int32))
             self.n += len(ids)
         return np.concatenate(out)
 
+    def _kept(self, rows: np.ndarray) -> np.ndarray:
+        """Leaves the ids of these words alone, and gives the words' places among them."""
+        begin, length = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
+        ends = np.cumsum(length)
+        self.n = int(ends[-1]) if len(rows) else 0
+        ids = self.ids[np.repeat(begin - (ends - length), length) + np.arange(self.n)]
+        self.ids = np.append(ids, np.zeros(max(1 << 16, self.n // 2), np.uint32))
+        return np.column_stack([ends - length, length]).astype(np.int32)
+
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
         if not self.by_word:

@@ -107,3 +107,33 @@ def test_padding_is_below_one_percent_however_the_input_is_dealt(spark, sf_dir,
     docs = docs.unionByName(docs).repartition(partitions)
     used, sequences = packing.pack(docs).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
     assert 1 - used / (sequences * packing.WINDOW) < 0.01
+
+
+def test_frequent_words_stay_in_a_full_cache():
+    made = []
+
+    def lengths(words):
+        made.extend(words)
+        return np.array([len(x) for x in words], np.int64)
+
+    cache = WordCache(lengths, most=100)
+    for i in range(200):
+        words = [f"often{k}" for k in range(30)] + [f"once{i}x{k}" for k in range(20)] + [f"{i}" + "z" * 5000]
+        ((_, w),) = hashed(pa.array([" ".join(words)]))
+        assert cache(w).tolist() == [len(x) for x in words]
+        assert len(cache.keys) <= 151 and len(cache.place) <= 2 * 151 and len(cache.blocks) < 20_000
+    assert sum(x.startswith("often") for x in made) == 30
+
+
+def test_ids_of_words_when_the_cache_is_full(texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(packing.MODEL)
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path, most=40)
+    rnd = random.Random(2)
+    some = [" ".join(rnd.choice(["often", "the", "of", "Ünï", "x" * rnd.randint(1, 90), str(rnd.random())]) for _ in range(60)) for _ in range(300)]
+    for k in range(0, len(some), 10):
+        part = [*some[k : k + 10], None, ""]
+        got = [ids.tolist() for ids in encode(pa.array(part))]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+    assert len(encode.ids) < 1 << 18
