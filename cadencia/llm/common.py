@@ -71,6 +71,14 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def heaps_trimmed(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, by which their JVMs give free heap back to the system: else an executor keeps
+    the most heap that any step of the session took, beside what the Python workers of the next one need. A task for each
+    core, all at once, reaches every executor that has a free one; it reads no table and changes no result."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, seconds: float = 2.0) -> DataFrame:
     """mapInArrow whose worker gives memory back now and then and at its end."""
 

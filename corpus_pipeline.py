@@ -8,17 +8,20 @@ the least id; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadencia.llm import language_id
-from cadencia.llm.common import WRITTEN, by_bucket, drop_written, removed, saved, shared_folder, table
+from cadencia.llm.common import WRITTEN, by_bucket, drop_written, heaps_trimmed, removed, saved, shared_folder, table
 from cadencia.llm.decontamination import RESULTS, decontaminate
 from cadencia.llm.ngram_join import ngram_join
 from cadencia.llm.packing import pack
 from cadencia.llm.substring_dedup import remove_repeats
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: Input columns that are named like a column of an operator wait under this and their name.
 KEPT = "__kept_"
 
@@ -33,6 +36,17 @@ def aside(docs: DataFrame, *names: str) -> DataFrame:
     return docs.withColumnsRenamed({c: KEPT + c for c in docs.columns if c.lower() in names})
 
 
+def fresh(stage: Stage) -> Stage:
+    """The stage, which begins with the heap given back that the stages before it have left in the executors."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        heaps_trimmed(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the corpus's languages: null texts and texts without a letter go, and those that no language has
     at least half of the probability of."""
@@ -71,12 +85,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", known_language),
-    ("ngram_join", one_of_each_group),
-    ("substring_dedup", without_repeats),
-    ("decontamination", without_benchmark),
-    ("packing", packed),
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", fresh(known_language)),
+    ("ngram_join", fresh(one_of_each_group)),
+    ("substring_dedup", fresh(without_repeats)),
+    ("decontamination", fresh(without_benchmark)),
+    ("packing", fresh(packed)),
 ]
 
 
